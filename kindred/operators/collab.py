@@ -19,9 +19,10 @@ def user_item(ratings: DataFrame) -> DataFrame:
 
 def mean_center(ratings: DataFrame) -> DataFrame:
     """Rating minus the user's mean over their rated (non-zero) items."""
-    own = Window.partitionBy("user_id")
-    mean = F.avg(F.when(F.col("rating") != 0, F.col("rating"))).over(own)
-    return ratings.withColumn("rating", F.coalesce(F.col("rating") - mean, F.lit(0.0)))
+    means = ratings.filter("rating <> 0").groupBy("user_id").agg(F.avg("rating").alias("mean"))
+    return ratings.join(means, "user_id", "left").withColumn(
+        "rating", F.coalesce(F.col("rating") - F.col("mean"), F.lit(0.0))
+    ).drop("mean")
 
 
 def hash_bucket(columns: list[str], buckets: int, seed: int = 42) -> Column:
