@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 def extract_year(text: Column) -> Column:
     """First run of four digits as an int, else NULL ('2010-2015' gives 2010)."""
-    return F.expr("int(null)") if text is None else F.regexp_extract(text.cast("string"), r"(\d{4})", 1).try_cast("int")
+    return F.regexp_extract(text.cast("string"), r"(\d{4})", 1).try_cast("int")
 
 
 def extract_runtime(text: Column) -> Column:

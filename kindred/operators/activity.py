@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.ranking import rank_by, top_n
+from kindred.functions.ranking import rank_by
 from kindred.functions.text import known_names
 
 # Languages of a new user, name rules, text limits.
@@ -196,12 +196,33 @@ def preference_filter(candidates: DataFrame, preferences: DataFrame, items: Data
 FUNNEL = ("search", "view", "add_watchlist")
 
 
+def session_table(activity: DataFrame, gap: str = "30 minutes", extra: Sequence[Column] = (), merge: Sequence[Column] = ()) -> DataFrame:
+    """(user_id, session_start, session_end, events, ...) from gaps between a user's events, in two steps.
+
+    Sessions are first cut inside day-long slices of a user's time line, then neighbouring pieces are
+    joined. Only finished pieces meet per user, so one user with a third of all events is no single task's
+    burden. ``extra`` aggregates a piece and ``merge`` combines those columns over pieces.
+    """
+    length = F.expr(f"INTERVAL {gap}")
+    known = activity.filter("user_id is not null and ts is not null").withColumn("day", F.to_date("ts"))
+
+    def numbered(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(start)
+        fresh = F.coalesce(F.col(start) > F.lag(end).over(order) + length, F.lit(True)).cast("int")
+        return df.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(order))
+
+    pieces = numbered(known, ["user_id", "day"], "ts", "ts").groupBy("user_id", "day", "piece").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"), *extra
+    ).drop("piece")
+    return numbered(pieces, ["user_id"], "first_ts", "last_ts").groupBy("user_id", "piece").agg(
+        F.min("first_ts").alias("session_start"), (F.max("last_ts") + length).alias("session_end"),
+        F.sum("events").alias("events"), *merge,
+    ).drop("piece")
+
+
 def sessions(activity: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """(user_id, session_start, session_end, events) from gaps between a user's events."""
-    grouped = activity.filter("user_id is not null").groupBy("user_id", F.session_window("ts", gap).alias("s"))
-    return grouped.agg(F.count(F.lit(1)).alias("events")).select(
-        "user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"
-    )
+    """(user_id, session_start, session_end, events); the end is the last event plus the gap."""
+    return session_table(activity, gap)
 
 
 def session_funnel(activity: DataFrame, gap: str = "30 minutes", steps: Sequence[str] = FUNNEL) -> DataFrame:
@@ -210,15 +231,13 @@ def session_funnel(activity: DataFrame, gap: str = "30 minutes", steps: Sequence
     Uses ``session_id`` where the log has one, else sessions from gaps.
     """
     firsts = [F.min(F.when(F.col("action") == s, F.col("ts"))).alias(f"first_{s}") for s in steps]
-    known = activity.filter("user_id is not null")
     if "session_id" in activity.columns:
-        grouped = known.groupBy("user_id", "session_id").agg(F.count(F.lit(1)).alias("events"), *firsts)
-    else:
-        grouped = known.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(
+        grouped = activity.filter("user_id is not null").groupBy("user_id", "session_id").agg(
             F.count(F.lit(1)).alias("events"), *firsts
-        ).withColumn("session_start", F.col("s.start")).drop("s")
-    depth = F.lit(0)
-    reached = F.lit(True)
+        )
+    else:
+        grouped = session_table(activity, gap, firsts, [F.min(f"first_{s}").alias(f"first_{s}") for s in steps])
+    depth, reached = F.lit(0), F.lit(True)
     for at, step in enumerate(steps):
         here = F.col(f"first_{step}").isNotNull()
         if at:

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions.ranking import number_rows
 from kindred.operators.clean import dedupe_first
 
 PAYLOAD_SCHEMA = (
@@ -119,18 +120,8 @@ def append_dedupe(existing: DataFrame, new: DataFrame, key: str = "item_id") ->
 
 
 def enrichment_report(results: DataFrame, batch_size: int = 100, order: str = "pos") -> DataFrame:
-    """(batch, ok, failed, total_ok, remaining) per batch of rows in order.
-
-    Row numbers come from counts per range partition, so the table is never ordered in one task; only the
-    batches, a hundredth of the rows, are.
-    """
-    ranged = results.select(order, "ok").repartitionByRange(order).sortWithinPartitions(order)
-    placed = ranged.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    sizes = placed.groupBy("part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("part", "first", F.expr("sum(n) over (order by part) - n").alias("offset"))
-    numbered = placed.join(starts, "part").withColumn(
-        "batch", F.floor((F.col("row") - F.col("first") + F.col("offset")) / batch_size) + 1
-    )
+    """(batch, ok, failed, total_ok, remaining) per batch of rows in order."""
+    numbered = number_rows(results.select(order, "ok"), order).withColumn("batch", F.floor(F.col("row") / batch_size) + 1)
     batches = numbered.groupBy("batch").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
     running = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     done, total = F.sum(F.col("ok") + F.col("failed")).over(running), results.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.functions.ranking import rank_by
+from kindred.functions.ranking import number_rows, rank_by
 
 # Other spellings of the ratings columns.
 RATING_ALIASES = {"userId": "user_id", "movieId": "movie_id", "item_id": "movie_id"}
@@ -103,18 +103,15 @@ def synth_ratings(users: DataFrame, items: DataFrame, low: int = 5, high: int =
     Each user draws ``high`` numbered slots and looks their items up by position, so users never meet the
     whole catalogue. Slots that hit the same item count once; spare slots make up for them.
     """
-    parts = items.select("item_id").distinct().repartitionByRange("item_id")
-    sized = parts.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    size = parts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    start = sized.groupBy("part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    starts = start.select("part", "first", F.expr("sum(n) over (order by part) - n").alias("offset"))
-    placed = sized.join(starts, "part").select("item_id", (F.col("row") - F.col("first") + F.col("offset")).alias("place"))
+    ids = items.select("item_id").distinct().withColumn("h", F.xxhash64("item_id"))
+    size = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
+    placed = number_rows(ids, "h", "item_id", "place").drop("h")
     slots = users.select("user_id").distinct().select(
         "user_id", _draw(seed, "count", low, high, "user_id").alias("wanted"),
         F.explode(F.sequence(F.lit(0), F.lit(4 * high))).alias("slot"),
     ).withColumn("place", F.pmod(F.xxhash64("user_id", "slot", F.lit(f"slot{seed}")), size))
     drawn = slots.groupBy("user_id", "wanted", "place").agg(F.min("slot").alias("slot"))
-    kept = rank_by(drawn, 1_000_000, ["user_id"], [F.col("slot")]).filter(F.col("rank") <= F.col("wanted"))
+    kept = rank_by(drawn, high, ["user_id"], [F.col("slot")]).filter(F.col("rank") <= F.col("wanted"))
     return kept.join(placed, "place").select(
         "user_id", "item_id", _draw(seed, "rating", 1, 10, "user_id", "item_id").cast("double").alias("rating")
     )

@@ -104,12 +104,16 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def traces(spark: SparkSession, folder: str) -> DataFrame:
     """(trace_id, pos, type, data) from the conversations table."""
+    return traces_of(table(spark, folder, "conversations"))
+
+
+def traces_of(turns: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("role") == "user", "request")
         .when(F.col("role") == "assistant", "prediction")
         .otherwise("external_api")
     )
-    return table(spark, folder, "conversations").select(
+    return turns.select(
         F.col("conv_id").alias("trace_id"), F.col("turn").alias("pos"), kind.alias("type"), F.col("text").alias("data")
     )
 

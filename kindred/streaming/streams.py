@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from kindred.functions.ranking import rank_by
 from kindred.operators import activity as act
 from kindred.operators.clean import dedupe_first
 
@@ -53,24 +54,22 @@ def activity_counts_windowed(events: DataFrame, width: str = "1 hour", slide: st
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 day") -> DataFrame:
     """Closed sessions of every user."""
-    return act.sessions(events.withWatermark("ts", lateness), gap)
+    late = events.filter("user_id is not null").withWatermark("ts", lateness)
+    return late.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("events")).select(
+        "user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"
+    )
 
 
-def _upsert(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Store the newest value of each key as its own version; readers take the highest version.
+def trending_windowed(events: DataFrame, path: str, checkpoint: str, width: str = "1 day", slide: str = "6 hours",
+                      lateness: str = "1 day") -> StreamingQuery:
+    """Counts per window and item in update mode; each batch stores the counts that changed.
 
-    The folder of a batch is overwritten on a retry, so a batch that runs twice counts once.
+    A batch's folder is overwritten on a retry, so a batch that runs twice counts once.
     """
-    batch.write.mode("overwrite").parquet(path)
-
-
-def trending_windowed(events: DataFrame, path: str, checkpoint: str, width: str = "1 day", slide: str = "6 hours",
-                      n: int = 10, lateness: str = "1 day") -> StreamingQuery:
-    """Counts per window and item in update mode; each batch stores the counts that changed."""
     counts = act.item_counts(events.withWatermark("ts", lateness), width, slide)
 
     def store(batch: DataFrame, number: int) -> None:
-        _upsert(batch.withColumn("version", F.lit(number)), f"{path}/batch={number}", ["window_start", "item_id"])
+        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
@@ -81,7 +80,7 @@ def read_trending(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
     """The n most used items per window from the newest stored counts."""
     stored = spark.read.parquet(path)
     newest = stored.groupBy("window_start", "window_end", "item_id").agg(F.max_by("n", "version").alias("n"))
-    return act.rank_by(newest, n, ["window_start"], [F.col("n").desc(), F.col("item_id")])
+    return rank_by(newest, n, ["window_start"], [F.col("n").desc(), F.col("item_id")])
 
 
 def trace_stream(traces: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
