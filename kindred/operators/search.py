@@ -6,6 +6,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from kindred.functions.ranking import rank_by
 
@@ -56,7 +57,7 @@ def edit_ratio(query: Column, title: Column) -> Column:
     return 1 - F.levenshtein(query, title) / F.greatest(F.length(query), F.length(title))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(query: pd.Series, title: pd.Series) -> pd.Series:
     """Matching-block ratio of the standard library."""
     return pd.Series([difflib.SequenceMatcher(None, t, q).ratio() for q, t in zip(query, title)])
