@@ -16,15 +16,18 @@ def top_n(
     score: str = "score",
     tie: str = "item_id",
     first: Sequence[Column] = (),
+    digits: int | None = OUTPUT_DIGITS,
 ) -> DataFrame:
     """Keep the n best rows per partition: score rounded to 9 digits descending, then id ascending.
 
-    ``first`` holds sort keys that go before the score. Row numbers compared with a constant let
+    ``first`` holds sort keys that go before the score. ``digits=None`` leaves the scores unrounded, for
+    lists that are combined further. Row numbers compared with a constant let
     Spark prune every partition to n rows before the shuffle, so a hot key never gathers in a task.
     """
     order = [*first, F.round(F.col(score), RANK_DIGITS).desc(), F.col(tie).asc()]
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= n).withColumn(score, F.round(F.col(score), OUTPUT_DIGITS))
+    kept = ranked.filter(F.col("rank") <= n)
+    return kept if digits is None else kept.withColumn(score, F.round(F.col(score), digits))
 
 
 def rank_by(df: DataFrame, n: int, partition: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -68,23 +68,30 @@ def canonicalize(items: DataFrame) -> DataFrame:
     return items.select(*lead, *[c.alias(n) for n, c in out.items()], *rest)
 
 
-def impute_median(items: DataFrame, columns: Sequence[str] = ("rating", "metascore")) -> DataFrame:
+def impute_median(items: DataFrame, columns: Sequence[str] = ("rating", "metascore"), stats: Column | None = None) -> DataFrame:
     """Fill gaps with the column median; a rating column without any value becomes 0."""
     present = [c for c in columns if c in items.columns]
-    stats = stats_lookup(items, present)
+    if not present:
+        return items
+    items = items.withColumn("_stats", stats_lookup(items, present) if stats is None else stats)
     filled = {}
     for c in present:
         last = [F.lit(0.0)] if c == "rating" else []
-        filled[c] = F.coalesce(F.col(c), stats[c]["median"], *last)
-    return items.withColumns(filled)
+        filled[c] = F.coalesce(F.col(c), F.col("_stats")[c]["median"], *last)
+    return items.withColumns(filled).drop("_stats")
 
 
-def clean_catalogue(items: DataFrame, order: str = "pos") -> DataFrame:
-    """Deduplicate, canonicalise and impute. ``order`` is the ingest position that decides which duplicate stays."""
+def tidy_catalogue(items: DataFrame, order: str = "pos") -> DataFrame:
+    """Deduplicate and canonicalise. ``order`` is the ingest position that decides which duplicate stays."""
     key = id_name(items.columns)
     if key and order in items.columns:
         items = dedupe_first(items, key, order)
-    return impute_median(canonicalize(items))
+    return canonicalize(items)
+
+
+def clean_catalogue(items: DataFrame, order: str = "pos") -> DataFrame:
+    """Deduplicate, canonicalise and impute."""
+    return impute_median(tidy_catalogue(items, order))
 
 
 def complete_rows(items: DataFrame) -> DataFrame:

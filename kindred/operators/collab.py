@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.ranking import top_n
+from kindred.functions.ranking import OUTPUT_DIGITS, top_n
 from kindred.operators import similarity as sim
 
 HOT_COLUMN = 8192
@@ -284,16 +284,18 @@ def predict_item_based(ratings: DataFrame, pairs: DataFrame, k: int = 10, neighb
 
 
 def recommend_user_based(
-    ratings: DataFrame, n: int = 10, k: int = 10, neighbours: str = "identity", targets: DataFrame | None = None, **options
+    ratings: DataFrame, n: int = 10, k: int = 10, neighbours: str = "identity", targets: DataFrame | None = None,
+    digits: int | None = OUTPUT_DIGITS, **options
 ) -> DataFrame:
     """Top-n unrated items of every user (or of ``targets``) by user-based prediction: (user_id, item_id, score, rank)."""
     ids = None if targets is None else targets.select(F.col("user_id").alias("id"))
     found = neighbour_predictions(user_cells(ratings), k, neighbours, best=n, targets=ids, **options)
-    return top_n(found.withColumnRenamed("target_id", "user_id"), n, ["user_id"])
+    return top_n(found.withColumnRenamed("target_id", "user_id"), n, ["user_id"], digits=digits)
 
 
 def recommend_item_based(
-    ratings: DataFrame, n: int = 10, k: int = 10, neighbours: str = "identity", targets: DataFrame | None = None, **options
+    ratings: DataFrame, n: int = 10, k: int = 10, neighbours: str = "identity", targets: DataFrame | None = None,
+    digits: int | None = OUTPUT_DIGITS, **options
 ) -> DataFrame:
     """Top-n unrated items of every user (or of ``targets``) by item-based prediction."""
     cells = item_cells(ratings)
@@ -301,7 +303,7 @@ def recommend_item_based(
     found = found.select(F.col("item_id").alias("user_id"), F.col("target_id").alias("item_id"), "score")
     if targets is not None:
         found = found.join(targets.select("user_id").distinct(), "user_id", "left_semi")
-    return top_n(found, n, ["user_id"])
+    return top_n(found, n, ["user_id"], digits=digits)
 
 
 def user_liked(ratings: DataFrame, min_rating: float = 7.0) -> DataFrame:

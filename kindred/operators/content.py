@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.ranking import rank_by, top_n
+from kindred.functions.ranking import OUTPUT_DIGITS, rank_by, top_n
 from kindred.functions.text import known_names, name_list
 from kindred.operators import features
 from kindred.operators import similarity as sim
@@ -42,7 +42,8 @@ def similar_content(
 
 
 def recommend_for_liked(
-    liked: DataFrame, weights: DataFrame, items: DataFrame, size: sim.Extent, n: int = 10, exclude: DataFrame | None = None
+    liked: DataFrame, weights: DataFrame, items: DataFrame, size: sim.Extent, n: int = 10, exclude: DataFrame | None = None,
+    digits: int | None = OUTPUT_DIGITS,
 ) -> DataFrame:
     """Top-n items per user by mean similarity to the liked items that are in the catalogue.
 
@@ -60,7 +61,7 @@ def recommend_for_liked(
     if exclude is not None:
         barred = barred.unionByName(exclude.select(F.col("user_id").alias("id"), F.col("item_id").alias("dim"))).distinct()
     users = liked.select("user_id").distinct().count()
-    found = sim.block_topn(profiles, features.tfidf_cells(weights), n, users, size.rows, exclude=barred)
+    found = sim.block_topn(profiles, features.tfidf_cells(weights), n, users, size.rows, exclude=barred, digits=digits)
     return found.withColumnRenamed("target_id", "user_id")
 
 

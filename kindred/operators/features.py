@@ -28,9 +28,7 @@ def genre_flags(items: DataFrame, match: str = "token") -> DataFrame:
         return items.select("item_id", F.explode(known_names(F.col("genre"))).alias("name"))
     strings = items.select("genre").distinct()
     names = genre_vocabulary(items).agg(F.array_sort(F.collect_set("name")).alias("names")).scalar()
-    hits = strings.select(
-        "genre", F.explode(F.filter(names, lambda x: F.contains(F.col("genre"), x))).alias("name")
-    )
+    hits = strings.select("genre", F.explode(names).alias("name")).filter(F.contains("genre", "name"))
     return items.select("item_id", "genre").join(hits, "genre").select("item_id", "name")
 
 
@@ -46,19 +44,22 @@ def combined_text(columns: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in present]) if present else F.lit("")
 
 
-def minmax_normalize(items: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
-    """Median-fill and scale to 0..1: adds ``<c>_normalized`` for each present column that has values."""
+def minmax_normalize(items: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES, stats: Column | None = None) -> DataFrame:
+    """Median-fill and scale to 0..1: adds ``<c>_normalized`` for each present column (NULL if it has no values).
+
+    ``stats`` are known statistics; filling gaps with the median changes none of them.
+    """
     present = [c for c in columns if c in items.columns]
-    stats = stats_lookup(items, present)
+    items = items.withColumn("_stats", stats_lookup(items, present) if stats is None else stats)
     scaled = []
     for c in present:
-        s = stats[c]
+        s = F.col("_stats")[c]
         value = F.coalesce(F.col(c).cast("double"), s["median"])
         spread = s["hi"] - s["lo"]
         scaled.append(
             F.when(spread == 0, 0.0).otherwise((value - s["lo"]) / F.nullif(spread, F.lit(0.0))).alias(f"{c}_normalized")
         )
-    return items.select("*", *scaled)
+    return items.select("*", *scaled).drop("_stats")
 
 
 def term_counts(items: DataFrame, text: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:

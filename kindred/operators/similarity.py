@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.ranking import top_n
+from kindred.functions.ranking import OUTPUT_DIGITS, top_n
 
 TARGET_BLOCK = 1024
 CANDIDATE_BLOCK = 16384
@@ -218,6 +218,7 @@ def block_topn(
     skip_self: bool = False,
     floor: float | None = ABOVE_ZERO,
     clip: tuple | None = None,
+    digits: int | None = OUTPUT_DIGITS,
 ) -> DataFrame:
     """The n best candidates of each target by dot product: (target_id, item_id, score, rank).
 
@@ -238,13 +239,13 @@ def block_topn(
     if exclude is not None:
         masked = exclude.groupBy(
             block_of("id", across).alias("i"), block_of("dim", down).alias("j"), F.col("id").alias("tid")
-        ).agg(F.collect_list("dim").alias("masked"))
+        ).agg(F.collect_set("dim").alias("masked"))
         rows = rows.unionByName(masked.withColumn("side", F.lit(2)), allowMissingColumns=True)
     rows = rows.withColumn("task", F.col("i") * down + F.col("j"))
     best = by_task(rows, across * down).applyInArrow(
         _best_of_block(n, floor, clip, skip_self), pair_schema(targets, "id", candidates, "id")
     )
-    return top_n(best, n, ["target_id"])
+    return top_n(best, n, ["target_id"], digits=digits)
 
 
 def pair_schema(targets: DataFrame, target: str, items: DataFrame, item: str) -> str:
@@ -341,9 +342,9 @@ def cosine_topn(
     if targets is not None:
         ids = targets.select("id").distinct()
         wanted, wanted_rows = short.join(ids, "id", "left_semi"), ids.count()
-    best = block_topn(wanted, short, n, wanted_rows, size.rows, skip_self=True, floor=floor)
+    best = block_topn(wanted, short, n, wanted_rows, size.rows, skip_self=True, floor=floor, digits=None)
     if long is None:
-        return best
+        return best.withColumn("score", F.round("score", OUTPUT_DIGITS))
     found = long_products(unit, long)
     both_ways = found.select(F.col("id").alias("target_id"), F.col("other").alias("item_id"), "score").unionByName(
         found.join(long.select("id").distinct(), "id", "left_anti")

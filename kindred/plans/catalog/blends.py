@@ -11,11 +11,11 @@ from kindred.plans.catalog.registry import (
 )
 from kindred.sources import warehouse as wh
 
-BOTH = (RATINGS, CATALOGUE, CASTS, ITEM_TEXT, TFIDF, user_based(20), for_liked(20))
+BOTH = (RATINGS, CATALOGUE, CASTS, ITEM_TEXT, TFIDF, user_based(20, False), for_liked(20, False))
 
 
 def both_lists(spark, folder):
-    return collab.recommend_user_based(wh.ratings(spark, folder), 20), liked_list(spark, folder, 20)
+    return collab.recommend_user_based(wh.ratings(spark, folder), 20, digits=None), liked_list(spark, folder, 20, None)
 
 
 WEIGHTED = """mixed AS (SELECT user_id, item_id, sum(score) AS score FROM (SELECT user_id, item_id, score * 0.6 AS score FROM cf
@@ -47,21 +47,22 @@ combined AS (SELECT *, cf_score > 0 AND cb_score > 0 AS in_both, (cf_score + cb_
 feature_list AS (""" + best("combined", 10, "user_id", "user_id, item_id, cf_score, cb_score, in_both") + ")"
 
 
-@query("hybrid_feature_combo", with_(*BOTH, COMBINED, "SELECT * FROM feature_list"))
+@query("hybrid_feature_combo", with_(*BOTH, COMBINED, "SELECT * REPLACE (round(cf_score, 6) AS cf_score, round(cb_score, 6) AS cb_score) FROM feature_list"))
 def _(spark, folder):
-    return blend.feature_combination(*both_lists(spark, folder))
+    found = blend.feature_combination(*both_lists(spark, folder))
+    return found.withColumns({c: F.round(c, 6) for c in ("cf_score", "cb_score")})
 
 
 @query("hybrid_mf")
 def _(spark, folder):
     r = wh.ratings(spark, folder)
-    return blend.hybrid_mf(factor.mf_recommend(r, *factor.mf_fit(r), n=20), liked_list(spark, folder, 20))
+    return blend.hybrid_mf(factor.mf_recommend(r, *factor.mf_fit(r), n=20, digits=None), liked_list(spark, folder, 20, None))
 
 
 @query("recommend_dispatch", with_(*BOTH, WEIGHTED, f"""hybrid AS ({best('mixed', 20, 'user_id', 'user_id, item_id')}),
 methods AS (SELECT 'cf' AS method, * FROM cf UNION ALL SELECT 'cb', * FROM cb UNION ALL SELECT 'hybrid', * FROM hybrid),
 requests AS (SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'cf' WHEN 'MACHINERY' THEN 'content' WHEN 'HOUSEHOLD' THEN 'hybrid' ELSE 'cb' END AS method,
-  c_nationkey % 5 + 3 AS n FROM customer)""", "SELECT user_id, method, item_id, score, rank FROM requests JOIN methods USING (user_id, method) WHERE rank <= n"))
+  c_nationkey % 5 + 3 AS n FROM customer)""", "SELECT user_id, method, item_id, round(score, 6) AS score, rank FROM requests JOIN methods USING (user_id, method) WHERE rank <= n"))
 def _(spark, folder):
     cf, cb = both_lists(spark, folder)
     method = F.when(F.col("c_mktsegment") == "BUILDING", "cf").when(F.col("c_mktsegment") == "MACHINERY", "content").when(
@@ -69,7 +70,7 @@ def _(spark, folder):
     asked = wh.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"), method.alias("method"), (F.col("c_nationkey") % 5 + 3).alias("n")
     )
-    return blend.dispatch(asked, {"cf": cf, "cb": cb, "hybrid": blend.hybrid_weighted(cf, cb, 20, 0.6, 0.4)})
+    return blend.dispatch(asked, {"cf": cf, "cb": cb, "hybrid": blend.hybrid_weighted(cf, cb, 20, 0.6, 0.4)}).withColumn("score", F.round("score", 6))
 
 
 @query("recs_denormalize", with_(*ALL_LISTS, """SELECT l.item_id, category, neighbour_id, score, rank, title, CAST(year AS VARCHAR) AS year,

@@ -147,8 +147,8 @@ alike AS (SELECT query, title, 1 - levenshtein(query, lower(title)) / greatest(l
 fuzzy AS (SELECT query, title, 2 AS stage, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, title) AS rank FROM alike
   ANTI JOIN starts USING (query, title) WHERE score >= 0.4 QUALIFY rank <= 10),
 chosen AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY stage, rank) AS place FROM (FROM starts UNION ALL FROM fuzzy) QUALIFY place <= 10)""", """
-SELECT query, item_id, title, year, CAST(row_number() OVER (PARTITION BY query ORDER BY place, pos) AS INTEGER) AS rank
-  FROM chosen JOIN catalogue USING (title) QUALIFY rank <= 10"""))
+SELECT query, item_id, title, year, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place, pos) AS n
+  FROM (SELECT query, title, place FROM chosen) JOIN catalogue USING (title)) WHERE n <= 10"""))
 def _(spark, folder):
     parts = wh.table(spark, folder, "part")
     asked = parts.select(F.col("p_type").alias("query")).unionByName(parts.select(F.substring("p_name", 1, 3).alias("query")))

@@ -136,9 +136,9 @@ def item_model(spark, folder):
     return (items, *workflows.content_model(items))
 
 
-def liked_list(spark, folder, n):
+def liked_list(spark, folder, n, digits=6):
     items, weights, size = item_model(spark, folder)
-    return content.recommend_for_liked(collab.user_liked(wh.ratings(spark, folder)), weights, items, size, n)
+    return content.recommend_for_liked(collab.user_liked(wh.ratings(spark, folder)), weights, items, size, n, digits=digits)
 
 
 @query("recommend_for_liked", with_(RATINGS, CATALOGUE, CASTS, ITEM_TEXT, TFIDF, for_liked(10), "SELECT * FROM cb"))

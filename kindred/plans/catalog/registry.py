@@ -59,10 +59,10 @@ raw AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM texts)) / (1 +
 weights AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS w FROM raw)"""
 
 
-def best(source: str, n: int, partition: str, columns: str, tie: str = "item_id", first: str = "") -> str:
+def best(source: str, n: int, partition: str, columns: str, tie: str = "item_id", first: str = "", digits: bool = True) -> str:
     """SELECT of the n best rows per partition by the shared ranking rule."""
     return (
-        f"SELECT {columns}, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER "
+        f"SELECT {columns}, {'round(score, 6) AS score' if digits else 'score'}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER "
         f"(PARTITION BY {partition} ORDER BY {first}round(score, 9) DESC, {tie}) AS rank FROM {source}) WHERE rank <= {n}"
     )
 
@@ -78,14 +78,14 @@ dots AS (SELECT a.item_id AS t, b.item_id AS s, sum(a.rating * b.rating) AS dot
 sims AS (SELECT t, s, dot / (x.n * y.n) AS sim FROM dots JOIN norms x ON t = x.item_id JOIN norms y ON s = y.item_id)"""
 
 
-def user_based(n: int, name: str = "cf") -> str:
-    """Parts up to ``name``: the n best unrated items of every user by user-based prediction."""
+def user_based(n: int, digits: bool = True) -> str:
+    """Parts up to cf: the n best unrated items of every user by user-based prediction."""
     return USER_SIMS + f""",
 near AS (SELECT t AS user_id, r.item_id, sim, r.rating FROM sims JOIN ratings r ON s = r.user_id
   QUALIFY row_number() OVER (PARTITION BY t, r.item_id ORDER BY round(sim, 9) DESC, s) <= 10),
 predicted AS (SELECT user_id, item_id, sum(sim * rating) / sum(sim) AS score FROM near
   ANTI JOIN ratings USING (user_id, item_id) GROUP BY 1, 2),
-{name} AS ({best('predicted', n, 'user_id', 'user_id, item_id')})"""
+cf AS ({best('predicted', n, 'user_id', 'user_id, item_id', digits=digits)})"""
 
 
 def item_based(n: int) -> str:
@@ -97,7 +97,7 @@ predicted AS (SELECT user_id, item_id, sum(sim * rating) / sum(sim) AS score FRO
 cf AS ({best('predicted', n, 'user_id', 'user_id, item_id')})"""
 
 
-def for_liked(n: int) -> str:
+def for_liked(n: int, digits: bool = True) -> str:
     """Parts up to cb: the n best items of every user by mean content similarity to the liked ones."""
     return LIKED + f""",
 known AS (SELECT user_id, count(*) AS n_known FROM liked GROUP BY 1),
@@ -105,4 +105,4 @@ profile AS (SELECT user_id, term, sum(w) AS w FROM liked JOIN weights USING (ite
 fit AS (SELECT p.user_id, x.item_id, sum(p.w * x.w) / any_value(n_known) AS score FROM profile p
   JOIN weights x USING (term) JOIN known USING (user_id) GROUP BY 1, 2),
 fresh AS (SELECT * FROM fit ANTI JOIN liked USING (user_id, item_id)),
-cb AS ({best('fresh', n, 'user_id', 'user_id, item_id')})"""
+cb AS ({best('fresh', n, 'user_id', 'user_id, item_id', digits=digits)})"""

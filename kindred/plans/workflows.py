@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.stats import stats_lookup
 from kindred.operators import clean, collab, content, features, metrics
 from kindred.operators.similarity import Extent
 
@@ -13,11 +14,22 @@ def with_text(items: DataFrame) -> DataFrame:
     return items.withColumn("combined_text", features.combined_text(items.columns))
 
 
-def preprocess(items: DataFrame, order: str = "pos", max_features: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Clean, featurise and weigh a raw catalogue: (catalogue with normalised numbers, term weights)."""
-    cleaned = with_text(clean.clean_catalogue(items, order))
-    numeric = [c for c in features.NUMERIC_FEATURES if c in cleaned.columns]
-    return features.minmax_normalize(cleaned, numeric), features.tfidf(cleaned, max_features=max_features)
+def preprocess(
+    items: DataFrame, order: str = "pos", max_features: int = 1000, store: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Clean, featurise and weigh a raw catalogue: (catalogue with normalised numbers, term weights).
+
+    One set of column statistics serves filling and scaling. With ``store`` the tidy catalogue is written
+    there first and both results read it, so the raw table is scanned once.
+    """
+    tidy = with_text(clean.tidy_catalogue(items, order))
+    if store:
+        tidy.write.mode("overwrite").parquet(store)
+        tidy = items.sparkSession.read.parquet(store)
+    numeric = [c for c in features.NUMERIC_FEATURES if c in tidy.columns]
+    stats = stats_lookup(tidy, numeric)
+    filled = clean.impute_median(tidy, stats=stats)
+    return features.minmax_normalize(filled, numeric, stats), features.tfidf(tidy, max_features=max_features)
 
 
 def content_model(items: DataFrame, max_features: int = 1000) -> tuple[DataFrame, Extent]:
