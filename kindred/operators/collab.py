@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +88,18 @@ def _neighbour_scores(scores: np.ndarray, values: np.ndarray, k: int, skip_top:
     return np.where(weight > 0, (scores * values).sum(1) / np.where(weight > 0, weight, 1.0), 0.0)
 
 
-def _similarities(targets: pa.Table, candidates: pa.Table):
+def _similarities(targets: pa.Table, candidates: pa.Table, table: pa.Table):
+    """Products of the task's vectors; those with a long vector come ready-made in rows of side 3."""
     target_ids, candidate_ids = targets.column("tid").to_numpy(), candidates.column("cid").to_numpy()
     scores = sim.block_product(
         len(target_ids), sim.unpack(targets, "dims", "ws"), len(candidate_ids), sim.unpack(candidates, "dims", "ws")
     )
+    if "sim" in table.column_names:
+        given = table.filter(pa.compute.equal(table.column("side"), 3))
+        rows = pd.Index(target_ids).get_indexer(given.column("tid").to_numpy())
+        at = pd.Index(candidate_ids).get_indexer(given.column("cid").to_numpy())
+        hit = (rows >= 0) & (at >= 0)
+        scores[rows[hit], at[hit]] = given.column("sim").to_numpy()[hit]
     at = pd.Index(candidate_ids).get_indexer(target_ids)
     scores[np.flatnonzero(at >= 0), at[at >= 0]] = 0.0
     scores[np.rint(scores * 1e9) <= 0] = 0.0
@@ -103,7 +111,7 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
         targets, candidates, asked = sim.sides(table)
         if not targets.num_rows or not candidates.num_rows:
             return sim.scores_table([], [], [], table)
-        target_ids, _, scores = _similarities(targets, candidates)
+        target_ids, _, scores = _similarities(targets, candidates, table)
         owner, columns, values = sim.unpack(candidates, "columns", "values")
         codes, names = pd.factorize(columns, sort=True)
         order = np.lexsort((owner, codes))
@@ -117,6 +125,8 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
             rows, own, _ = sim.unpack(targets, "dims")
             predicted[predicted <= 0] = -np.inf
             sim.clear(predicted, target_ids, names, target_ids[rows], own)
+            rows, own, _ = sim.unpack(asked, "columns")  # the cells of long vectors
+            sim.clear(predicted, target_ids, names, asked.column("tid").to_numpy()[rows], own)
         else:
             keep = np.zeros(predicted.shape, bool)
             rows, own, _ = sim.unpack(asked, "columns")
@@ -149,7 +159,7 @@ def _hot_block(keep: int):
     """Best partial neighbours of every target for one hot column's slice of candidates."""
     def run(table: pa.Table) -> pa.Table:
         targets, candidates, _ = sim.sides(table)
-        target_ids, candidate_ids, scores = _similarities(targets, candidates)
+        target_ids, candidate_ids, scores = _similarities(targets, candidates, table)
         column = table.column("column")[0].as_py()
         values = candidates.column("value").to_numpy()
         picked = sim.best_columns(scores, keep)
@@ -176,6 +186,7 @@ def neighbour_predictions(
     per_target: bool = True,
     targets: DataFrame | None = None,
     hot_column: int = HOT_COLUMN,
+    longest: int = sim.LONG_VECTOR,
 ) -> DataFrame:
     """Predict cells of a sparse matrix from the k most similar rows that fill the column.
 
@@ -185,7 +196,8 @@ def neighbour_predictions(
     per row (``per_target``) or per column. ``neighbours='skip_top'`` leaves out the most similar row.
 
     The grid is target blocks x column blocks. A column that more than ``hot_column`` rows fill gets tasks
-    of its own, one per slice of those rows; their partial neighbour lists are merged afterwards.
+    of its own, one per slice of those rows; their partial neighbour lists are merged afterwards. The
+    similarities of rows with more than ``longest`` cells are summed by a join first and handed to the tasks.
     """
     skip_top = neighbours == "skip_top"
     size = sim.extent(cells)
@@ -194,14 +206,19 @@ def neighbour_predictions(
         F.count(F.lit(1)).alias("columns"), F.coalesce(F.max("n"), F.lit(0)).alias("most"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
     ).first()
-    unit = sim.unit_cells(cells)
-    packed = sim.pack(unit)
+    packed, unit, long = sim.split_long(cells, size, longest, normalized=False)
+    long_ids = None if long is None else long.select("id").distinct()
+    if long_ids is not None:  # long rows take part without their vector
+        none = [F.array().cast(packed.schema[x].dataType).alias(x) for x in ("dims", "ws")]
+        packed = packed.unionByName(long_ids.select("id", *none))
     wanted, wanted_rows = packed, size.rows
     if targets is not None:
         ids = targets.select("id").distinct()
         wanted, wanted_rows = packed.join(ids, "id", "left_semi"), ids.count()
     across = sim.blocks(wanted_rows, sim.TARGET_BLOCK, sim.cores(cells))
-    down = 1 if size.rows <= sim.CANDIDATE_BLOCK else sim.blocks(shape["total"], sim.CANDIDATE_BLOCK)
+    down = sim.blocks(shape["columns"], sim.CANDIDATE_BLOCK)
+    if size.rows > sim.CANDIDATE_BLOCK:
+        down = max(down, sim.blocks(shape["total"], sim.CANDIDATE_BLOCK))
     i, c = sim.block_of("id", across), sim.block_of("dim", down)
     is_hot = shape["most"] > hot_column
     hot = filled.filter(F.col("n") > hot_column).select("dim") if is_hot else None
@@ -220,13 +237,24 @@ def neighbour_predictions(
             F.collect_list("dim").alias("columns")
         )
         rows = rows.unionByName(wishes.withColumn("side", F.lit(2)), allowMissingColumns=True)
+    elif long_ids is not None:
+        barred = in_block.join(long_ids, "id", "left_semi").select(
+            i.alias("i"), "c", F.lit(2).alias("side"), F.col("id").alias("tid"), F.col("v.dim").alias("columns")
+        )
+        rows = rows.unionByName(barred, allowMissingColumns=True)
+    edges = None if long is None else sim.both_ways(unit, long).select(
+        sim.block_of("target_id", across).alias("i"), F.lit(3).alias("side"),
+        F.col("target_id").alias("tid"), F.col("item_id").alias("cid"), F.col("score").alias("sim"),
+    )
+    if edges is not None:
+        rows = rows.unionByName(edges.withColumn("c", sim.every_block(down)), allowMissingColumns=True)
     schema = sim.pair_schema(cells, "id", cells, "dim")
     rows = rows.withColumn("task", F.col("i") * down + F.col("c"))
     found = sim.by_task(rows, across * down).applyInArrow(
         _predict_block(k, skip_top, asked is None, best, per_target), schema
     )
     if is_hot:
-        found = found.unionByName(_hot_predictions(cells, packed, wanted, hot, across, k, skip_top, asked, hot_column))
+        found = found.unionByName(_hot_predictions(cells, packed, wanted, edges, hot, across, k, skip_top, asked, hot_column))
     if asked is None:
         return found
     return asked.select(F.col("id").alias("target_id"), F.col("dim").alias("item_id")).join(
@@ -234,7 +262,7 @@ def neighbour_predictions(
     ).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def _hot_predictions(cells, packed, wanted, hot, across, k, skip_top, asked, hot_column) -> DataFrame:
+def _hot_predictions(cells, packed, wanted, edges, hot, across, k, skip_top, asked, hot_column) -> DataFrame:
     keep = k + 1 if skip_top else k
     counted = cells.join(hot, "dim", "left_semi")
     slices = counted.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / hot_column).cast("int").alias("slices"))
@@ -252,7 +280,11 @@ def _hot_predictions(cells, packed, wanted, hot, across, k, skip_top, asked, hot
         "i", "column", "slice", F.lit(0).alias("side"), F.col("id").alias("tid"), "dims", "ws"
     )
     id_type, dim_type = (cells.schema[x].dataType.simpleString() for x in ("id", "dim"))
-    partial = left.unionByName(right, allowMissingColumns=True).groupBy("i", "column", "slice").applyInArrow(
+    rows = left.unionByName(right, allowMissingColumns=True)
+    if edges is not None:
+        theirs = edges.join(sliced.select(F.col("id").alias("cid"), "column", "slice"), "cid")
+        rows = rows.unionByName(theirs, allowMissingColumns=True)
+    partial = rows.groupBy("i", "column", "slice").applyInArrow(
         _hot_block(keep), f"target_id {id_type}, item_id {dim_type}, neighbour {id_type}, sim double, value double"
     )
     pair = Window.partitionBy("target_id", "item_id").orderBy(F.round("sim", 9).desc(), F.col("neighbour"))

@@ -28,7 +28,7 @@ def content_cosine(weights: DataFrame, size: sim.Extent) -> DataFrame:
 
 def feature_cosine(items: DataFrame) -> DataFrame:
     """(a, b, sim) of all item pairs over genre flags and normalised numbers."""
-    return sim.cosine_pairs(features.feature_cells(items))
+    return sim.cosine_pairs(features.feature_cells(items), size=features.feature_extent(items))
 
 
 def similar_content(
@@ -61,7 +61,7 @@ def recommend_for_liked(
     if exclude is not None:
         barred = barred.unionByName(exclude.select(F.col("user_id").alias("id"), F.col("item_id").alias("dim"))).distinct()
     users = liked.select("user_id").distinct().count()
-    found = sim.block_topn(profiles, features.tfidf_cells(weights), n, users, size.rows, exclude=barred, digits=digits)
+    found = sim.block_topn(sim.pack(profiles), sim.pack(features.tfidf_cells(weights)), n, users, size.rows, exclude=barred, digits=digits)
     return found.withColumnRenamed("target_id", "user_id")
 
 

@@ -104,6 +104,13 @@ def tfidf_extent(items: DataFrame, max_features: int = 1000) -> Extent:
     return Extent(items.count(), max_features)
 
 
+def feature_extent(items: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) -> Extent:
+    """Bound of the feature vectors: one per item, as long as the most genres of an item and the numbers."""
+    names = F.size(known_names(F.col("genre"))) if "genre" in items.columns else F.lit(0)
+    row = items.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(names), F.lit(0)).alias("most")).first()
+    return Extent(row["rows"], row["most"] + len([c for c in columns if c in items.columns]))
+
+
 def feature_cells(items: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
     """Sparse cells (id, dim, w) of the genre flags and normalised numbers; absent values are 0."""
     present = [c for c in columns if c in items.columns]

@@ -78,10 +78,15 @@ def unit_cells(cells: DataFrame) -> DataFrame:
     )
 
 
-def pack(cells: DataFrame) -> DataFrame:
-    """One row per vector: (id, dims, ws). Callers split off vectors longer than LONG_VECTOR first."""
-    return cells.groupBy("id").agg(F.collect_list(F.struct("dim", "w")).alias("v")).select(
-        "id", F.col("v.dim").alias("dims"), F.col("v.w").alias("ws")
+def pack(cells: DataFrame, scale: bool = False) -> DataFrame:
+    """One row per vector: (id, dims, ws), scaled to length 1 on demand. Long vectors are split off before."""
+    rows = cells.groupBy("id").agg(
+        F.collect_list(F.struct("dim", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
+    if not scale:
+        return rows.select("id", F.col("v.dim").alias("dims"), F.col("v.w").alias("ws"))
+    return rows.filter("norm > 0").select(
+        "id", F.col("v.dim").alias("dims"), F.transform("v.w", lambda w: w / F.col("norm")).alias("ws")
     )
 
 
@@ -222,16 +227,16 @@ def block_topn(
 ) -> DataFrame:
     """The n best candidates of each target by dot product: (target_id, item_id, score, rank).
 
-    ``targets`` and ``candidates`` hold cells (id, dim, w). Scores below ``floor`` do not count; None keeps
+    ``targets`` and ``candidates`` are packed vectors (id, dims, ws). Scores below ``floor`` do not count; None keeps
     all. ``exclude`` holds pairs (id, dim) of target and candidate that may not come back.
     """
     across = blocks(target_rows, TARGET_BLOCK, cores(targets))
     down = blocks(candidate_rows, CANDIDATE_BLOCK)
-    left = pack(targets).select(
+    left = targets.select(
         block_of("id", across).alias("i"), every_block(down).alias("j"), F.lit(0).alias("side"),
         F.col("id").alias("tid"), "dims", "ws",
     )
-    right = pack(candidates).select(
+    right = candidates.select(
         every_block(across).alias("i"), block_of("id", down).alias("j"), F.lit(1).alias("side"),
         F.col("id").alias("cid"), "dims", "ws",
     )
@@ -268,12 +273,24 @@ def _pairs_of_block(table: pa.Table) -> pa.Table:
     return scores_table(np.where(swap, others, ids), np.where(swap, ids, others), values, table)
 
 
-def split_long(cells: DataFrame, size: Extent, longest: int) -> tuple[DataFrame, DataFrame | None]:
-    """Cells of ordinary vectors and, where there are any, of those too long for one row."""
+def split_long(
+    cells: DataFrame, size: Extent, longest: int, normalized: bool
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Packed unit vectors and, where some are too long for one row, all unit cells and those of the long ones."""
     if size.longest <= longest:
-        return cells, None
+        return pack(cells, scale=not normalized), None, None
+    unit = cells if normalized else unit_cells(cells)
     names = cells.groupBy("id").count().filter(F.col("count") > longest).select("id")
-    return cells.join(names, "id", "left_anti"), cells.join(names, "id", "left_semi")
+    return pack(unit.join(names, "id", "left_anti")), unit, unit.join(names, "id", "left_semi")
+
+
+def both_ways(unit: DataFrame, long: DataFrame) -> DataFrame:
+    """(target_id, item_id, score) of all pairs with a long vector on either side."""
+    found = long_products(unit, long)
+    turned = found.join(long.select("id").distinct(), "id", "left_anti")
+    return found.select(F.col("id").alias("target_id"), F.col("other").alias("item_id"), "score").unionByName(
+        turned.select(F.col("other").alias("target_id"), F.col("id").alias("item_id"), "score")
+    )
 
 
 def long_products(cells: DataFrame, long: DataFrame) -> DataFrame:
@@ -298,11 +315,9 @@ def cosine_pairs(
     never build it, wherever neighbours are what is wanted.
     """
     size = size or extent(cells)
-    unit = cells if normalized else unit_cells(cells)
-    short, long = split_long(unit, size, longest)
+    packed, unit, long = split_long(cells, size, longest, normalized)
     count = blocks(size.rows, 2 * TARGET_BLOCK, cores(cells))
     mine = block_of("id", count)
-    packed = pack(short)
     left = packed.select(mine.alias("i"), F.explode(F.sequence(mine, F.lit(count - 1))).alias("j"),
                          F.lit(0).alias("side"), F.col("id").alias("tid"), "dims", "ws")
     right = packed.select(F.explode(F.sequence(F.lit(0), mine)).alias("i"), mine.alias("j"),
@@ -336,22 +351,17 @@ def cosine_topn(
     Returns (target_id, item_id, score, rank); a vector is never its own neighbour.
     """
     size = size or extent(cells)
-    unit = cells if normalized else unit_cells(cells)
-    short, long = split_long(unit, size, longest)
-    wanted, wanted_rows = short, size.rows
+    packed, unit, long = split_long(cells, size, longest, normalized)
+    wanted, wanted_rows = packed, size.rows
     if targets is not None:
         ids = targets.select("id").distinct()
-        wanted, wanted_rows = short.join(ids, "id", "left_semi"), ids.count()
-    best = block_topn(wanted, short, n, wanted_rows, size.rows, skip_self=True, floor=floor, digits=None)
+        wanted, wanted_rows = packed.join(ids, "id", "left_semi"), ids.count()
+    best = block_topn(wanted, packed, n, wanted_rows, size.rows, skip_self=True, floor=floor, digits=None)
     if long is None:
         return best.withColumn("score", F.round("score", OUTPUT_DIGITS))
-    found = long_products(unit, long)
-    both_ways = found.select(F.col("id").alias("target_id"), F.col("other").alias("item_id"), "score").unionByName(
-        found.join(long.select("id").distinct(), "id", "left_anti")
-        .select(F.col("other").alias("target_id"), F.col("id").alias("item_id"), "score")
-    )
+    more = both_ways(unit, long)
     if targets is not None:
-        both_ways = both_ways.join(targets.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi")
+        more = more.join(targets.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi")
     if floor is not None:
-        both_ways = both_ways.filter(F.col("score") >= floor)
-    return top_n(best.drop("rank").unionByName(both_ways), n, ["target_id"])
+        more = more.filter(F.col("score") >= floor)
+    return top_n(best.drop("rank").unionByName(more), n, ["target_id"])
