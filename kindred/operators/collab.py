@@ -73,36 +73,39 @@ def similar_items(ratings: DataFrame, n: int = 5, targets: DataFrame | None = No
     return found.withColumnRenamed("item_id", "neighbour_id").withColumnRenamed("target_id", "item_id")
 
 
-def _neighbour_scores(scores: np.ndarray, values: np.ndarray, k: int, skip_top: bool) -> np.ndarray:
-    """Weighted mean of the values of the k most similar columns, for every row."""
+def _neighbour_scores(near: np.ndarray, values: np.ndarray, k: int, skip_top: bool) -> np.ndarray:
+    """Weighted mean of the values of the k most similar rows, for every target (column) of ``near``.
+
+    Most targets share nothing with most rows, so only those with more than k similar rows are ranked.
+    """
     keep = k + 1 if skip_top else k
-    if scores.shape[1] > keep:
-        best = sim.best_columns(scores, keep)
-        scores, values = np.take_along_axis(scores, best, 1), values[best]
-    else:
-        values = np.broadcast_to(values, scores.shape)
+    crowded = np.count_nonzero(near, axis=0) > keep
+    if crowded.any():
+        some = near[:, crowded]
+        keys = sim.order_keys(some.T).T
+        lowest = np.partition(keys, len(keys) - keep, axis=0)[len(keys) - keep]
+        near[:, crowded] = np.where(keys >= lowest, some, 0.0)
     if skip_top:
-        scores = scores.copy()
-        scores[np.arange(len(scores)), sim.order_keys(scores).argmax(1)] = 0.0
-    weight = np.abs(scores).sum(1)
-    return np.where(weight > 0, (scores * values).sum(1) / np.where(weight > 0, weight, 1.0), 0.0)
+        near[sim.order_keys(near.T).argmax(1), np.arange(near.shape[1])] = 0.0
+    weight = near.sum(0)
+    return np.where(weight > 0, values @ near / np.where(weight > 0, weight, 1.0), 0.0)
 
 
 def _similarities(targets: pa.Table, candidates: pa.Table, table: pa.Table):
-    """Products of the task's vectors; those with a long vector come ready-made in rows of side 3."""
+    """Candidates x targets products of a task; those with a long vector come ready-made in rows of side 3."""
     target_ids, candidate_ids = targets.column("tid").to_numpy(), candidates.column("cid").to_numpy()
     scores = sim.block_product(
-        len(target_ids), sim.unpack(targets, "dims", "ws"), len(candidate_ids), sim.unpack(candidates, "dims", "ws")
+        len(candidate_ids), sim.unpack(candidates, "dims", "ws"), len(target_ids), sim.unpack(targets, "dims", "ws")
     )
     if "sim" in table.column_names:
         given = table.filter(pa.compute.equal(table.column("side"), 3))
         rows = pd.Index(target_ids).get_indexer(given.column("tid").to_numpy())
         at = pd.Index(candidate_ids).get_indexer(given.column("cid").to_numpy())
         hit = (rows >= 0) & (at >= 0)
-        scores[rows[hit], at[hit]] = given.column("sim").to_numpy()[hit]
+        scores[at[hit], rows[hit]] = given.column("sim").to_numpy()[hit]
     at = pd.Index(candidate_ids).get_indexer(target_ids)
-    scores[np.flatnonzero(at >= 0), at[at >= 0]] = 0.0
-    scores[np.rint(scores * 1e9) <= 0] = 0.0
+    scores[at[at >= 0], np.flatnonzero(at >= 0)] = 0.0
+    scores[scores < 5e-10] = 0.0
     return target_ids, candidate_ids, scores
 
 
@@ -117,10 +120,22 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
         order = np.lexsort((owner, codes))
         codes, owner, values = codes[order], owner[order], values[order]
         edges = np.searchsorted(codes, np.arange(len(names) + 1))
-        predicted = np.zeros((len(target_ids), len(names)))
+        predicted = np.zeros((len(names), len(target_ids)))
+        if not unrated:
+            rows, own, _ = sim.unpack(asked, "columns")
+            row = pd.Index(target_ids).get_indexer(asked.column("tid").to_numpy()[rows])
+            col = pd.Index(names).get_indexer(own)
+            row, col = row[(row >= 0) & (col >= 0)], col[(row >= 0) & (col >= 0)]
+            wanted = row[np.argsort(col, kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(names)))])
         for c in range(len(names)):
             part = slice(edges[c], edges[c + 1])
-            predicted[:, c] = _neighbour_scores(scores[:, owner[part]], values[part], k, skip_top)
+            if unrated:
+                predicted[c] = _neighbour_scores(scores[owner[part]], values[part], k, skip_top)
+            elif starts[c + 1] > starts[c]:
+                who = wanted[starts[c]: starts[c + 1]]
+                predicted[c, who] = _neighbour_scores(scores[np.ix_(owner[part], who)], values[part], k, skip_top)
+        predicted = predicted.T
         if unrated:
             rows, own, _ = sim.unpack(targets, "dims")
             predicted[predicted <= 0] = -np.inf
@@ -129,10 +144,7 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
             sim.clear(predicted, target_ids, names, asked.column("tid").to_numpy()[rows], own)
         else:
             keep = np.zeros(predicted.shape, bool)
-            rows, own, _ = sim.unpack(asked, "columns")
-            row = pd.Index(target_ids).get_indexer(asked.column("tid").to_numpy()[rows])
-            col = pd.Index(names).get_indexer(own)
-            keep[row[(row >= 0) & (col >= 0)], col[(row >= 0) & (col >= 0)]] = True
+            keep[row, col] = True
             predicted[~keep] = -np.inf
         if best is None:
             rows, cols = np.nonzero(np.isfinite(predicted))
@@ -162,6 +174,7 @@ def _hot_block(keep: int):
         target_ids, candidate_ids, scores = _similarities(targets, candidates, table)
         column = table.column("column")[0].as_py()
         values = candidates.column("value").to_numpy()
+        scores = scores.T
         picked = sim.best_columns(scores, keep)
         rows = np.repeat(np.arange(len(target_ids)), picked.shape[1])
         cols = picked.reshape(-1)

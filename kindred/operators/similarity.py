@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from kindred.functions.ranking import OUTPUT_DIGITS, top_n
 
-TARGET_BLOCK = 1024
-CANDIDATE_BLOCK = 16384
+TARGET_BLOCK = 512
+CANDIDATE_BLOCK = 32768
 LONG_VECTOR = 2_000_000
 MAX_PARTITIONS = 50_000
 ABOVE_ZERO = 1e-12
@@ -316,7 +316,7 @@ def cosine_pairs(
     """
     size = size or extent(cells)
     packed, unit, long = split_long(cells, size, longest, normalized)
-    count = blocks(size.rows, 2 * TARGET_BLOCK, cores(cells))
+    count = blocks(size.rows, 4 * TARGET_BLOCK, cores(cells))
     mine = block_of("id", count)
     left = packed.select(mine.alias("i"), F.explode(F.sequence(mine, F.lit(count - 1))).alias("j"),
                          F.lit(0).alias("side"), F.col("id").alias("tid"), "dims", "ws")

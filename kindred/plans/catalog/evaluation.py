@@ -18,15 +18,16 @@ def item_means(spark, folder):
 
 
 def _rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """Nine digits: ratios of small counts often end exactly on half a millionth, which engines round differently."""
+    return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
-@query("rmse", with_(RATINGS, ITEM_MEANS, "SELECT round(sqrt(avg((rating - score) ** 2)), 6) AS rmse FROM scored"))
+@query("rmse", with_(RATINGS, ITEM_MEANS, "SELECT round(sqrt(avg((rating - score) ** 2)), 9) AS rmse FROM scored"))
 def _(spark, folder):
     return _rounded(item_means(spark, folder).agg(metrics.rmse_of().alias("rmse")), "rmse")
 
 
-@query("mae", with_(RATINGS, ITEM_MEANS, "SELECT round(avg(abs(rating - score)), 6) AS mae FROM scored"))
+@query("mae", with_(RATINGS, ITEM_MEANS, "SELECT round(avg(abs(rating - score)), 9) AS mae FROM scored"))
 def _(spark, folder):
     return _rounded(item_means(spark, folder).agg(metrics.mae_of().alias("mae")), "mae")
 
@@ -34,7 +35,7 @@ def _(spark, folder):
 @query("evaluate_predictions", with_(RATINGS, USER_SIMS, """near AS (SELECT a.user_id, a.item_id, sim, r.rating, row_number() OVER (PARTITION BY a.user_id, a.item_id ORDER BY round(sim, 9) DESC, s) AS place
   FROM ratings a JOIN ratings r ON a.item_id = r.item_id JOIN sims ON t = a.user_id AND s = r.user_id),
 scored AS (SELECT user_id, item_id, sum(sim * rating) / sum(sim) AS score FROM near WHERE place <= 10 GROUP BY 1, 2)""", """
-SELECT round(sqrt(avg((rating - coalesce(score, 0)) ** 2)), 6) AS rmse, round(avg(abs(rating - coalesce(score, 0))), 6) AS mae
+SELECT round(sqrt(avg((rating - coalesce(score, 0)) ** 2)), 9) AS rmse, round(avg(abs(rating - coalesce(score, 0))), 9) AS mae
   FROM ratings LEFT JOIN scored USING (user_id, item_id)"""))
 def _(spark, folder):
     r = wh.ratings(spark, folder)
@@ -65,17 +66,17 @@ def recs_and_relevant(spark, folder):
     return recs.select("user_id", "item_id", "rank"), r.filter("rating >= 8").select("user_id", "item_id")
 
 
-@query("precision_at_k", with_(*BASE, "SELECT user_id, k, round(p, 6) AS precision FROM scores"))
+@query("precision_at_k", with_(*BASE, "SELECT user_id, k, round(p, 9) AS precision FROM scores"))
 def _(spark, folder):
     return _rounded(metrics.ranking_metrics(*recs_and_relevant(spark, folder)).select("user_id", "k", "precision"), "precision")
 
 
-@query("recall_at_k", with_(*BASE, "SELECT user_id, k, round(r, 6) AS recall FROM scores"))
+@query("recall_at_k", with_(*BASE, "SELECT user_id, k, round(r, 9) AS recall FROM scores"))
 def _(spark, folder):
     return _rounded(metrics.ranking_metrics(*recs_and_relevant(spark, folder)).select("user_id", "k", "recall"), "recall")
 
 
-@query("f1_at_k", with_(*BASE, "SELECT user_id, k, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM scores"))
+@query("f1_at_k", with_(*BASE, "SELECT user_id, k, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM scores"))
 def _(spark, folder):
     return _rounded(metrics.ranking_metrics(*recs_and_relevant(spark, folder)).select("user_id", "k", "f1"), "f1")
 
@@ -85,28 +86,28 @@ def _(spark, folder):
     return metrics.hit_rate(*recs_and_relevant(spark, folder))
 
 
-@query("average_precision", with_(*BASE, "SELECT user_id, round(coalesce(ap, 0), 6) AS average_precision FROM precisions"))
+@query("average_precision", with_(*BASE, "SELECT user_id, round(coalesce(ap, 0), 9) AS average_precision FROM precisions"))
 def _(spark, folder):
     return _rounded(metrics.average_precision(*recs_and_relevant(spark, folder)), "average_precision")
 
 
 @query("ndcg_at_k", with_(*BASE, """got AS (SELECT user_id, sum(rating / log2(rank + 1)) AS dcg FROM recs JOIN ratings USING (user_id, item_id) GROUP BY 1),
 ideal AS (SELECT user_id, sum(rating / log2(place + 1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS place FROM ratings)
-  WHERE place <= 10 GROUP BY 1)""", "SELECT user_id, round(coalesce(dcg, 0) / best, 6) AS ndcg FROM ideal LEFT JOIN got USING (user_id)"))
+  WHERE place <= 10 GROUP BY 1)""", "SELECT user_id, round(coalesce(dcg, 0) / best, 9) AS ndcg FROM ideal LEFT JOIN got USING (user_id)"))
 def _(spark, folder):
     recs, _ = recs_and_relevant(spark, folder)
     return _rounded(metrics.ndcg_at_k(recs, wh.ratings(spark, folder).withColumnRenamed("rating", "gain"), 10), "ndcg")
 
 
 @query("catalog_coverage", with_(*BASE, """SELECT count(DISTINCT item_id) AS recommended, (SELECT count(*) FROM catalogue) AS catalogue,
-  round(count(DISTINCT item_id) / (SELECT count(*) FROM catalogue), 6) AS coverage FROM recs"""))
+  round(count(DISTINCT item_id) / (SELECT count(*) FROM catalogue), 9) AS coverage FROM recs"""))
 def _(spark, folder):
     recs, _ = recs_and_relevant(spark, folder)
     return _rounded(metrics.catalog_coverage(recs, wh.catalogue(spark, folder)), "coverage")
 
 
-EVALUATED = """SELECT user_id, k, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, hit_rate,
-  round(coalesce(ap, 0), 6) AS average_precision FROM scores JOIN rates USING (user_id) JOIN precisions USING (user_id)"""
+EVALUATED = """SELECT user_id, k, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1, hit_rate,
+  round(coalesce(ap, 0), 9) AS average_precision FROM scores JOIN rates USING (user_id) JOIN precisions USING (user_id)"""
 MEASURES = ("precision", "recall", "f1", "average_precision")
 
 
@@ -115,7 +116,7 @@ def _(spark, folder):
     return _rounded(metrics.evaluate_recommendations(*recs_and_relevant(spark, folder)), *MEASURES)
 
 
-@query("precision_recall_points", with_(*BASE, """SELECT user_id, rank AS k, round(hits / rank, 6) AS precision, round(coalesce(hits / nullif(n_relevant, 0), 0), 6) AS recall
+@query("precision_recall_points", with_(*BASE, """SELECT user_id, rank AS k, round(hits / rank, 9) AS precision, round(coalesce(hits / nullif(n_relevant, 0), 0), 9) AS recall
   FROM running JOIN users USING (user_id)"""))
 def _(spark, folder):
     return _rounded(metrics.precision_recall_points(*recs_and_relevant(spark, folder)), "precision", "recall")
@@ -144,7 +145,7 @@ def _(spark, folder):
 @query("coverage_job", with_(DOC_TEXT, TFIDF, DOC_SIMS, """listed AS (SELECT neighbour_id FROM doc_sims
   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, neighbour_id) <= 10)""", """
 SELECT count(DISTINCT neighbour_id) AS recommended, (SELECT count(*) FROM documents) AS catalogue,
-  round(count(DISTINCT neighbour_id) / (SELECT count(*) FROM documents), 6) AS coverage FROM listed"""))
+  round(count(DISTINCT neighbour_id) / (SELECT count(*) FROM documents), 9) AS coverage FROM listed"""))
 def _(spark, folder):
     found = workflows.coverage_of_similar(*doc_weights(spark, folder), wh.text_catalogue(spark, folder))
     return _rounded(found, "coverage")

@@ -121,9 +121,9 @@ def _(spark, folder):
     return collab.user_item(wh.raw_ratings(spark, folder)).withColumn("rating", F.round("rating", 6))
 
 
-@query("mean_center", with_(RATINGS, "SELECT user_id, item_id, round(rating - avg(rating) OVER (PARTITION BY user_id), 6) AS rating FROM ratings"))
+@query("mean_center", with_(RATINGS, "SELECT user_id, item_id, round(rating - avg(rating) OVER (PARTITION BY user_id), 9) + 0.0::DOUBLE AS rating FROM ratings"))
 def _(spark, folder):
-    return collab.mean_center(wh.ratings(spark, folder)).select("user_id", "item_id", F.round("rating", 6).alias("rating"))
+    return collab.mean_center(wh.ratings(spark, folder)).select("user_id", "item_id", (F.round("rating", 9) + F.lit(0.0)).alias("rating"))
 
 
 @query("train_test_split", with_(RATINGS, """SELECT user_id, item_id, (user_id * 7919 + item_id * 104729 + 42) % 100 >= 80 AS is_test FROM ratings"""))

@@ -101,8 +101,7 @@ def for_liked(n: int, digits: bool = True) -> str:
     """Parts up to cb: the n best items of every user by mean content similarity to the liked ones."""
     return LIKED + f""",
 known AS (SELECT user_id, count(*) AS n_known FROM liked GROUP BY 1),
-profile AS (SELECT user_id, term, sum(w) AS w FROM liked JOIN weights USING (item_id) GROUP BY 1, 2),
-fit AS (SELECT p.user_id, x.item_id, sum(p.w * x.w) / any_value(n_known) AS score FROM profile p
-  JOIN weights x USING (term) JOIN known USING (user_id) GROUP BY 1, 2),
+profile AS (SELECT user_id, term, sum(w) / any_value(n_known) AS w FROM liked JOIN weights USING (item_id) JOIN known USING (user_id) GROUP BY 1, 2),
+fit AS (SELECT p.user_id, x.item_id, sum(p.w * x.w) AS score FROM profile p JOIN weights x USING (term) GROUP BY 1, 2),
 fresh AS (SELECT * FROM fit ANTI JOIN liked USING (user_id, item_id)),
 cb AS ({best('fresh', n, 'user_id', 'user_id, item_id', digits=digits)})"""
