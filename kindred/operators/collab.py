@@ -11,6 +11,7 @@ from kindred.functions.ranking import OUTPUT_DIGITS, top_n
 from kindred.operators import similarity as sim
 
 HOT_COLUMN = 8192
+STRIP = 128
 
 
 def user_item(ratings: DataFrame) -> DataFrame:
@@ -110,59 +111,65 @@ def _similarities(targets: pa.Table, candidates: pa.Table, table: pa.Table):
 
 
 def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_target: bool):
+    """Predictions of a task, in strips of targets that fit the processor's cache."""
     def run(table: pa.Table) -> pa.Table:
         targets, candidates, asked = sim.sides(table)
         if not targets.num_rows or not candidates.num_rows:
             return sim.scores_table([], [], [], table)
-        target_ids, _, scores = _similarities(targets, candidates, table)
         owner, columns, values = sim.unpack(candidates, "columns", "values")
         codes, names = pd.factorize(columns, sort=True)
         order = np.lexsort((owner, codes))
         codes, owner, values = codes[order], owner[order], values[order]
         edges = np.searchsorted(codes, np.arange(len(names) + 1))
+        masked_rows, masked_columns, _ = sim.unpack(asked, "columns")
+        masked_ids = asked.column("tid").to_numpy()[masked_rows]
+        kinds = table.schema.field("tid").type, table.schema.field("columns").type.value_type
+        found = [
+            _predict_strip(targets.slice(start, STRIP), candidates, table, names, edges, owner, values, masked_ids, masked_columns)
+            for start in range(0, targets.num_rows, STRIP)
+        ]
+        ids, items, scores = (np.concatenate([f[x] for f in found]) for x in range(3))
+        if best is not None and not per_target:  # strips share their columns
+            place = np.lexsort((ids, -np.rint(scores * 1e9), items))
+            first = np.searchsorted(items[place], items[place], side="left")
+            keep = place[np.arange(len(place)) - first < best]
+            ids, items, scores = ids[keep], items[keep], scores[keep]
+        return pa.table({
+            "target_id": pa.array(ids, type=kinds[0]), "item_id": pa.array(items, type=kinds[1]), "score": pa.array(scores, type=pa.float64())
+        })
+
+    def _predict_strip(targets, candidates, table, names, edges, owner, values, masked_ids, masked_columns):
+        target_ids, _, scores = _similarities(targets, candidates, table)
         predicted = np.zeros((len(names), len(target_ids)))
-        if not unrated:
-            rows, own, _ = sim.unpack(asked, "columns")
-            row = pd.Index(target_ids).get_indexer(asked.column("tid").to_numpy()[rows])
-            col = pd.Index(names).get_indexer(own)
-            row, col = row[(row >= 0) & (col >= 0)], col[(row >= 0) & (col >= 0)]
-            wanted = row[np.argsort(col, kind="stable")]
-            starts = np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(names)))])
-        for c in range(len(names)):
-            part = slice(edges[c], edges[c + 1])
-            if unrated:
-                predicted[c] = _neighbour_scores(scores[owner[part]], values[part], k, skip_top)
-            elif starts[c + 1] > starts[c]:
-                who = wanted[starts[c]: starts[c + 1]]
-                predicted[c, who] = _neighbour_scores(scores[np.ix_(owner[part], who)], values[part], k, skip_top)
-        predicted = predicted.T
+        rows = pd.Index(target_ids).get_indexer(masked_ids)
+        at = pd.Index(names).get_indexer(masked_columns)
+        rows, at = rows[(rows >= 0) & (at >= 0)], at[(rows >= 0) & (at >= 0)]
         if unrated:
-            rows, own, _ = sim.unpack(targets, "dims")
-            predicted[predicted <= 0] = -np.inf
-            sim.clear(predicted, target_ids, names, target_ids[rows], own)
-            rows, own, _ = sim.unpack(asked, "columns")  # the cells of long vectors
-            sim.clear(predicted, target_ids, names, asked.column("tid").to_numpy()[rows], own)
+            for c in range(len(names)):
+                part = slice(edges[c], edges[c + 1])
+                predicted[c] = _neighbour_scores(scores[owner[part]], values[part], k, skip_top)
+            predicted[predicted <= 0] = sim.LOWEST
+            own_rows, own, _ = sim.unpack(targets, "dims")
+            sim.clear(predicted, names, target_ids, own, target_ids[own_rows])
+            predicted[at, rows] = sim.LOWEST  # the cells of long vectors
         else:
-            keep = np.zeros(predicted.shape, bool)
-            keep[row, col] = True
-            predicted[~keep] = -np.inf
+            wanted = rows[np.argsort(at, kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))])
+            for c in np.flatnonzero(np.diff(starts)):
+                part, who = slice(edges[c], edges[c + 1]), wanted[starts[c]: starts[c + 1]]
+                predicted[c, who] = _neighbour_scores(scores[np.ix_(owner[part], who)], values[part], k, skip_top)
+            return target_ids[rows], names[at], predicted[at, rows]
+        grid = np.ascontiguousarray(predicted.T) if per_target else predicted
         if best is None:
-            rows, cols = np.nonzero(np.isfinite(predicted))
+            rows, cols = np.nonzero(grid > sim.LOWEST)
         else:
-            grid = predicted if per_target else predicted.T
-            picked = sim.best_columns(np.where(np.isfinite(grid), grid, sim.LOWEST), best)
+            picked = sim.best_columns(grid, best)
             rows = np.repeat(np.arange(grid.shape[0]), picked.shape[1])
             cols = picked.reshape(-1)
-            keep = np.isfinite(grid[rows, cols])
+            keep = grid[rows, cols] > sim.LOWEST
             rows, cols = rows[keep], cols[keep]
-            if not per_target:
-                rows, cols = cols, rows
-        found = predicted[rows, cols]
-        return pa.table({
-            "target_id": pa.array(target_ids[rows], type=table.schema.field("tid").type),
-            "item_id": pa.array(names[cols], type=table.schema.field("columns").type.value_type),
-            "score": pa.array(found, type=pa.float64()),
-        })
+        t, c = (rows, cols) if per_target else (cols, rows)
+        return target_ids[t], names[c], grid[rows, cols]
 
     return run
 

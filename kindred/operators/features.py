@@ -65,7 +65,8 @@ def minmax_normalize(items: DataFrame, columns: Sequence[str] = NUMERIC_FEATURES
 def term_counts(items: DataFrame, text: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """(item_id, term, tf) over the whole texts."""
     words = items.select("item_id", F.explode(tokens(F.col(text))).alias("term"))
-    return words.filter(~is_stop_word(F.col("term"), stop_words)).groupBy("item_id", "term").agg(
+    kept = F.col("term").isNotNull() & ~is_stop_word(F.col("term"), stop_words)  # a join asks for non-null terms
+    return words.filter(kept).groupBy("item_id", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
 

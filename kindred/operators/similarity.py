@@ -24,7 +24,8 @@ CANDIDATE_BLOCK = 32768
 LONG_VECTOR = 2_000_000
 MAX_PARTITIONS = 50_000
 ABOVE_ZERO = 1e-12
-LOWEST = -4.0
+LOWEST = -1e4  # below any score, marks a pair that may not come back
+STRIP = 2048
 _EXPAND = 4_000_000
 
 
@@ -174,7 +175,7 @@ def clear(scores: np.ndarray, target_ids, candidate_ids, masked_targets, masked_
     rows = pd.Index(target_ids).get_indexer(masked_targets)
     at = pd.Index(candidate_ids).get_indexer(masked_candidates)
     hit = (rows >= 0) & (at >= 0)
-    scores[rows[hit], at[hit]] = -np.inf
+    scores[rows[hit], at[hit]] = LOWEST
 
 
 def scores_table(target_ids, item_ids, scores, like: pa.Table) -> pa.Table:
@@ -185,29 +186,48 @@ def scores_table(target_ids, item_ids, scores, like: pa.Table) -> pa.Table:
     })
 
 
+def encode(left, right):
+    """The same sparse rows with dimensions as small integers that both sides share."""
+    codes, _ = pd.factorize(np.concatenate([left[1], right[1]]))
+    cut = len(left[1])
+    return (left[0], codes[:cut], left[2]), (right[0], codes[cut:], right[2])
+
+
 def _best_of_block(n: int, floor: float | None, clip: tuple | None, skip_self: bool) -> Callable:
+    """Best candidates of each target of a task, found in strips of candidates that fit the processor's cache."""
     def run(table: pa.Table) -> pa.Table:
         targets, candidates, masked = sides(table)
         target_ids, candidate_ids = targets.column("tid").to_numpy(), candidates.column("cid").to_numpy()
         if not len(target_ids) or not len(candidate_ids):
             return scores_table([], [], [], table)
-        scores = block_product(
-            len(target_ids), unpack(targets, "dims", "ws"), len(candidate_ids), unpack(candidates, "dims", "ws")
-        )
-        if clip:
-            np.clip(scores, *clip, out=scores)
-        if floor is not None:
-            scores[scores < floor] = -np.inf
-        if skip_self:
-            clear(scores, target_ids, candidate_ids, target_ids, target_ids)
+        left, right = encode(unpack(targets, "dims", "ws"), unpack(candidates, "dims", "ws"))
+        barred = None
         if masked.num_rows:
             rows, ids, _ = unpack(masked, "masked")
-            clear(scores, target_ids, candidate_ids, masked.column("tid").to_numpy()[rows], ids)
-        picked = best_columns(np.where(np.isfinite(scores), scores, LOWEST), n)
+            barred = masked.column("tid").to_numpy()[rows], ids
+        found, places = [], []
+        for start in range(0, len(candidate_ids), STRIP):
+            ids = candidate_ids[start: start + STRIP]
+            part = slice(*np.searchsorted(right[0], [start, start + len(ids)]))
+            strip = right[0][part] - start, right[1][part], right[2][part]
+            scores = block_product(len(target_ids), left, len(ids), strip)
+            if clip:
+                np.clip(scores, *clip, out=scores)
+            if floor is not None:
+                scores[scores < floor] = LOWEST
+            if skip_self:
+                clear(scores, target_ids, ids, target_ids, target_ids)
+            if barred:
+                clear(scores, target_ids, ids, *barred)
+            picked = np.sort(best_columns(scores, n), axis=1)  # in id order, so ties still go to the lower id
+            found.append(np.take_along_axis(scores, picked, 1))
+            places.append(picked + start)
+        scores, places = np.concatenate(found, 1), np.concatenate(places, 1)
+        picked = best_columns(scores, n)
         rows = np.repeat(np.arange(len(target_ids)), picked.shape[1])
-        columns = picked.reshape(-1)
-        values = scores[rows, columns]
-        keep = np.isfinite(values)
+        values = scores[rows, picked.reshape(-1)]
+        columns = places[rows, picked.reshape(-1)]
+        keep = values > LOWEST
         return scores_table(target_ids[rows[keep]], candidate_ids[columns[keep]], values[keep], table)
 
     return run
