@@ -128,7 +128,7 @@ def catalogue_delta_stream(pages: DataFrame, path: str, checkpoint: str, key: st
     def merge(batch: DataFrame, number: int) -> None:
         fresh = dedupe_first(batch, key)
         if number > 0:
-            stored = spark.read.schema(fresh.select(key).schema.add("batch", "int")).parquet(path).filter(F.col("batch") < number)
+            stored = spark.read.schema(f"{key} {fresh.schema[key].dataType.simpleString()}, batch int").parquet(path).filter(F.col("batch") < number)
             fresh = fresh.join(stored.select(key), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
