@@ -175,24 +175,32 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
 
 
 def _hot_block(keep: int):
-    """Best partial neighbours of every target for one hot column's slice of candidates."""
+    """Best partial neighbours of every target for the hot columns, from one slice of candidates."""
     def run(table: pa.Table) -> pa.Table:
         targets, candidates, _ = sim.sides(table)
-        target_ids, candidate_ids, scores = _similarities(targets, candidates, table)
-        column = table.column("column")[0].as_py()
-        values = candidates.column("value").to_numpy()
-        scores = scores.T
-        picked = sim.best_columns(scores, keep)
-        rows = np.repeat(np.arange(len(target_ids)), picked.shape[1])
-        cols = picked.reshape(-1)
-        some = scores[rows, cols] > 0
-        rows, cols = rows[some], cols[some]
-        return pa.table({
-            "target_id": pa.array(target_ids[rows], type=table.schema.field("tid").type),
-            "item_id": pa.array([column] * len(rows), type=table.schema.field("column").type),
-            "neighbour": pa.array(candidate_ids[cols], type=table.schema.field("cid").type),
-            "sim": pa.array(scores[rows, cols]), "value": pa.array(values[cols]),
-        })
+        found = [[], [], [], [], []]
+        if targets.num_rows and candidates.num_rows:
+            target_ids, candidate_ids, scores = _similarities(targets, candidates, table)
+            owner, columns, values = sim.unpack(candidates, "columns", "values")
+            codes, names = pd.factorize(columns, sort=True)
+            order = np.lexsort((owner, codes))
+            codes, owner, values = codes[order], owner[order], values[order]
+            edges = np.searchsorted(codes, np.arange(len(names) + 1))
+            for c in range(len(names)):
+                part = slice(edges[c], edges[c + 1])
+                near = scores[owner[part]].T
+                picked = sim.best_columns(near, keep)
+                rows = np.repeat(np.arange(len(target_ids)), picked.shape[1])
+                cols = picked.reshape(-1)
+                some = near[rows, cols] > 0
+                rows, cols = rows[some], cols[some]
+                news = (target_ids[rows], np.repeat(names[c: c + 1], len(rows)), candidate_ids[owner[part]][cols], near[rows, cols], values[part][cols])
+                for into, more in zip(found, news):
+                    into.append(more)
+        kinds = [table.schema.field("tid").type, table.schema.field("columns").type.value_type, table.schema.field("cid").type,
+                 pa.float64(), pa.float64()]
+        names = ["target_id", "item_id", "neighbour", "sim", "value"]
+        return pa.table({n: pa.array(np.concatenate(f) if f else [], type=k) for n, f, k in zip(names, found, kinds)})
 
     return run
 
@@ -215,8 +223,8 @@ def neighbour_predictions(
     nothing is known); without it every empty cell with a positive prediction is. ``best`` keeps that many
     per row (``per_target``) or per column. ``neighbours='skip_top'`` leaves out the most similar row.
 
-    The grid is target blocks x column blocks. A column that more than ``hot_column`` rows fill gets tasks
-    of its own, one per slice of those rows; their partial neighbour lists are merged afterwards. The
+    The grid is target blocks x column blocks. Columns that more than ``hot_column`` rows fill are worked on by
+    slices of those rows instead; the slices' partial neighbour lists are merged afterwards. The
     similarities of rows with more than ``longest`` cells are summed by a join first and handed to the tasks.
     """
     skip_top = neighbours == "skip_top"
@@ -274,7 +282,7 @@ def neighbour_predictions(
         _predict_block(k, skip_top, asked is None, best, per_target), schema
     )
     if is_hot:
-        found = found.unionByName(_hot_predictions(cells, packed, wanted, edges, hot, across, k, skip_top, asked, hot_column))
+        found = found.unionByName(_hot_predictions(cells, packed, wanted, edges, hot, across, size.rows, k, skip_top, asked))
     if asked is None:
         return found
     return asked.select(F.col("id").alias("target_id"), F.col("dim").alias("item_id")).join(
@@ -282,29 +290,26 @@ def neighbour_predictions(
     ).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def _hot_predictions(cells, packed, wanted, edges, hot, across, k, skip_top, asked, hot_column) -> DataFrame:
+def _hot_predictions(cells, packed, wanted, edges, hot, across, rows, k, skip_top, asked) -> DataFrame:
+    """Predictions for hot columns on a grid of target blocks x slices of candidates, merged over the slices.
+
+    Every candidate is sent once per target block with all the hot columns it fills.
+    """
     keep = k + 1 if skip_top else k
-    counted = cells.join(hot, "dim", "left_semi")
-    slices = counted.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / hot_column).cast("int").alias("slices"))
-    sliced = counted.join(slices, "dim").select(
-        "id", F.col("dim").alias("column"), F.col("w").alias("value"),
-        F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"),
-    )
-    right = packed.join(sliced, "id").select(
-        sim.every_block(across).alias("i"), "column", "slice", F.lit(1).alias("side"),
-        F.col("id").alias("cid"), "dims", "ws", "value",
-    )
-    tasks = slices.select(F.col("dim").alias("column"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    per_task = tasks.withColumn("i", sim.every_block(across))
-    left = wanted.withColumn("i", sim.block_of("id", across)).join(per_task, "i").select(
-        "i", "column", "slice", F.lit(0).alias("side"), F.col("id").alias("tid"), "dims", "ws"
+    down = sim.blocks(rows, sim.CANDIDATE_BLOCK)
+    filled = cells.join(hot, "dim", "left_semi").groupBy("id").agg(F.collect_list(F.struct("dim", "w")).alias("v"))
+    right = packed.join(filled, "id").select(
+        sim.every_block(across).alias("i"), sim.block_of("id", down).alias("j"), F.lit(1).alias("side"),
+        F.col("id").alias("cid"), "dims", "ws", F.col("v.dim").alias("columns"), F.col("v.w").alias("values"),
     )
+    left = wanted.select(sim.block_of("id", across).alias("i"), sim.every_block(down).alias("j"), F.lit(0).alias("side"),
+                         F.col("id").alias("tid"), "dims", "ws")
     id_type, dim_type = (cells.schema[x].dataType.simpleString() for x in ("id", "dim"))
-    rows = left.unionByName(right, allowMissingColumns=True)
+    tasks = left.unionByName(right, allowMissingColumns=True)
     if edges is not None:
-        theirs = edges.join(sliced.select(F.col("id").alias("cid"), "column", "slice"), "cid")
-        rows = rows.unionByName(theirs, allowMissingColumns=True)
-    partial = rows.groupBy("i", "column", "slice").applyInArrow(
+        tasks = tasks.unionByName(edges.withColumn("j", sim.block_of("cid", down)), allowMissingColumns=True)
+    tasks = tasks.withColumn("task", F.col("i") * down + F.col("j"))
+    partial = sim.by_task(tasks, across * down).applyInArrow(
         _hot_block(keep), f"target_id {id_type}, item_id {dim_type}, neighbour {id_type}, sim double, value double"
     )
     pair = Window.partitionBy("target_id", "item_id").orderBy(F.round("sim", 9).desc(), F.col("neighbour"))

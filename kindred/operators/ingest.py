@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kindred.functions.ranking import number_rows
 from kindred.operators.clean import dedupe_first
 
+BATCHES_PER_SLICE = 10_000
+
 PAYLOAD_SCHEMA = (
     "id bigint, genres array<struct<name string>>, release_date string, overview string, "
     "credits struct<crew array<struct<job string, name string>>, cast array<struct<name string>>>"
@@ -123,6 +125,15 @@ def enrichment_report(results: DataFrame, batch_size: int = 100, order: str = "p
     """(batch, ok, failed, total_ok, remaining) per batch of rows in order."""
     numbered = number_rows(results.select(order, "ok"), order).withColumn("batch", F.floor(F.col("row") / batch_size) + 1)
     batches = numbered.groupBy("batch").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
-    running = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    done, total = F.sum(F.col("ok") + F.col("failed")).over(running), results.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return batches.select("batch", "ok", "failed", F.sum("ok").over(running).alias("total_ok"), (total - done).alias("remaining"))
+    batches = batches.withColumn("slice", F.floor(F.col("batch") / BATCHES_PER_SLICE))
+    sums = batches.groupBy("slice").agg(F.sum("ok").alias("s_ok"), F.sum(F.col("ok") + F.col("failed")).alias("s_all"))
+    earlier = Window.orderBy("slice")  # one row per slice of batches
+    before = sums.select(
+        "slice", (F.sum("s_ok").over(earlier) - F.col("s_ok")).alias("ok_before"), (F.sum("s_all").over(earlier) - F.col("s_all")).alias("all_before")
+    )
+    running = Window.partitionBy("slice").orderBy("batch")
+    total = results.agg(F.count(F.lit(1)).alias("n")).scalar()
+    done = F.col("all_before") + F.sum(F.col("ok") + F.col("failed")).over(running)
+    return batches.join(before, "slice").select(
+        "batch", "ok", "failed", (F.col("ok_before") + F.sum("ok").over(running)).alias("total_ok"), (total - done).alias("remaining")
+    )
