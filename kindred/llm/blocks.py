@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
-def in_blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """The rows with `_block`, dealt by it, and the number of blocks. Rows equal in all columns share a block."""
+def in_blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, by: list[str] | None = None) -> tuple[DataFrame, int]:
+    """The rows with `_block`, dealt by it, and the number of blocks. Rows equal in `by` (all columns) share a block."""
     size = rows.agg(F.sum(F.octet_length(text) + F.lit(16))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
-    block = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(n)).cast("int")
     return rows.withColumn("_block", block).repartition(n, "_block"), n
 
 

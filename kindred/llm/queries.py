@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import exact_dedup, html_extract, language_id, packing, sharding, substring_dedup, url_reputation
+from kindred.llm import decontaminate, exact_dedup, html_extract, jaccard_tiles, language_id, packing, sharding, substring_dedup, url_reputation
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,6 +37,16 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op2_url_filter"] = url_reputation.ORACLE
 
 
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digest(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_tiles.digest(documents(spark, folder))
+
+
 @query
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
