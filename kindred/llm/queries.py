@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, exact_dedup, html_extract, jaccard_tiles, language_id, packing, sharding, substring_dedup, url_reputation
+from kindred.llm import decontaminate, exact_dedup, html_extract, jaccard_tiles, language_id, packing, sharding, substring_dedup, suffix_dedup, url_reputation
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,6 +52,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, folder))
+
+
 @query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(documents(spark, folder))
