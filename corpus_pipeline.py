@@ -4,19 +4,53 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-# Language model, tokenizer and greedy packing have no SQL form; tests compare every stage with a plain version.
+from kindred.llm import decontaminate, exact_dedup, jaccard_tiles, language_id, packing
+from kindred.session import scratch_folder
+
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier accepts; it learns from the labelled rows of docs that are not held out."""
+    return language_id.accepted(docs)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal without white space."""
+    return exact_dedup.survivors(docs)
+
+
+def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of five-word shingles of at least 0.8."""
+    return jaccard_tiles.survivors(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids with their sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", distinct_texts),
+    ("jaccard_join", distinct_shingles),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
+# The language model and the tokenizer have no SQL form; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each result is written to the shared folder and read back as the next one's input."""
-    from kindred.session import scratch_folder
-
-    folder = scratch_folder(spark)
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{folder}/{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
