@@ -81,15 +81,20 @@ def impute_median(items: DataFrame, columns: Sequence[str] = ("rating", "metasco
     return items.withColumns(filled).drop("_stats")
 
 
-def tidy_catalogue(items: DataFrame, order: str = "pos") -> DataFrame:
-    """Deduplicate and canonicalise. ``order`` is the ingest position that decides which duplicate stays."""
+def tidy_catalogue(items: DataFrame, order: str | None = "pos") -> DataFrame:
+    """Deduplicate and canonicalise. ``order`` is the ingest position that decides which duplicate stays.
+
+    Without that column, rows with an id cannot be deduplicated, which is an error; ``order=None`` says that ids are unique.
+    """
     key = id_name(items.columns)
-    if key and order in items.columns:
+    if key and order is not None:
+        if order not in items.columns:
+            raise ValueError(f"no ingest position {order!r} to tell which of several rows with one {key} came first")
         items = dedupe_first(items, key, order)
     return canonicalize(items)
 
 
-def clean_catalogue(items: DataFrame, order: str = "pos") -> DataFrame:
+def clean_catalogue(items: DataFrame, order: str | None = "pos") -> DataFrame:
     """Deduplicate, canonicalise and impute."""
     return impute_median(tidy_catalogue(items, order))
 

@@ -75,20 +75,21 @@ def similar_items(ratings: DataFrame, n: int = 5, targets: DataFrame | None = No
 
 
 def _neighbour_scores(near: np.ndarray, values: np.ndarray, k: int, skip_top: bool) -> np.ndarray:
-    """Weighted mean of the values of the k most similar rows, for every target (column) of ``near``.
+    """sum(sim * value) / sum(|sim|) over the k most similar rows, for every target (column) of ``near``.
 
-    Most targets share nothing with most rows, so only those with more than k similar rows are ranked.
+    Rows that share nothing with the target are similar by 0: they take a place before negative ones and add nothing. Only
+    targets with more positive rows than places, or with negative ones, are ranked.
     """
     keep = k + 1 if skip_top else k
-    crowded = np.count_nonzero(near, axis=0) > keep
-    if crowded.any():
-        some = near[:, crowded]
-        keys = sim.order_keys(some.T).T
-        lowest = np.partition(keys, len(keys) - keep, axis=0)[len(keys) - keep]
-        near[:, crowded] = np.where(keys >= lowest, some, 0.0)
+    if len(near) > keep:
+        crowded = (np.count_nonzero(near > 0, axis=0) > keep) | ((near < 0) & (near > sim.BARRED)).any(0)
+        if crowded.any():
+            some = near[:, crowded]
+            near[:, crowded] = np.where(sim.best_mask(np.ascontiguousarray(some.T), keep).T, some, sim.BARRED)
     if skip_top:
-        near[sim.order_keys(near.T).argmax(1), np.arange(near.shape[1])] = 0.0
-    weight = near.sum(0)
+        near[sim.order_keys(near.T).argmax(1), np.arange(near.shape[1])] = sim.BARRED
+    near[near == sim.BARRED] = 0.0
+    weight = np.abs(near).sum(0)
     return np.where(weight > 0, values @ near / np.where(weight > 0, weight, 1.0), 0.0)
 
 
@@ -105,8 +106,7 @@ def _similarities(targets: pa.Table, candidates: pa.Table, table: pa.Table):
         hit = (rows >= 0) & (at >= 0)
         scores[at[hit], rows[hit]] = given.column("sim").to_numpy()[hit]
     at = pd.Index(candidate_ids).get_indexer(target_ids)
-    scores[at[at >= 0], np.flatnonzero(at >= 0)] = 0.0
-    scores[scores < 5e-10] = 0.0
+    scores[at[at >= 0], np.flatnonzero(at >= 0)] = sim.BARRED
     return target_ids, candidate_ids, scores
 
 
@@ -148,10 +148,10 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
             for c in range(len(names)):
                 part = slice(edges[c], edges[c + 1])
                 predicted[c] = _neighbour_scores(scores[owner[part]], values[part], k, skip_top)
-            predicted[predicted <= 0] = sim.LOWEST
+            predicted[predicted <= 0] = sim.BARRED
             own_rows, own, _ = sim.unpack(targets, "dims")
             sim.clear(predicted, names, target_ids, own, target_ids[own_rows])
-            predicted[at, rows] = sim.LOWEST  # the cells of long vectors
+            predicted[at, rows] = sim.BARRED  # the cells of long vectors
         else:
             wanted = rows[np.argsort(at, kind="stable")]
             starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(names)))])
@@ -161,12 +161,12 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
             return target_ids[rows], names[at], predicted[at, rows]
         grid = np.ascontiguousarray(predicted.T) if per_target else predicted
         if best is None:
-            rows, cols = np.nonzero(grid > sim.LOWEST)
+            rows, cols = np.nonzero(grid > sim.BARRED)
         else:
             picked = sim.best_columns(grid, best)
             rows = np.repeat(np.arange(grid.shape[0]), picked.shape[1])
             cols = picked.reshape(-1)
-            keep = grid[rows, cols] > sim.LOWEST
+            keep = grid[rows, cols] > sim.BARRED
             rows, cols = rows[keep], cols[keep]
         t, c = (rows, cols) if per_target else (cols, rows)
         return target_ids[t], names[c], grid[rows, cols]
@@ -192,7 +192,7 @@ def _hot_block(keep: int):
                 picked = sim.best_columns(near, keep)
                 rows = np.repeat(np.arange(len(target_ids)), picked.shape[1])
                 cols = picked.reshape(-1)
-                some = near[rows, cols] > 0
+                some = near[rows, cols] > sim.BARRED
                 rows, cols = rows[some], cols[some]
                 news = (target_ids[rows], np.repeat(names[c: c + 1], len(rows)), candidate_ids[owner[part]][cols], near[rows, cols], values[part][cols])
                 for into, more in zip(found, news):
@@ -317,7 +317,7 @@ def _hot_predictions(cells, packed, wanted, edges, hot, across, rows, k, skip_to
     if skip_top:
         ranked = ranked.filter("place > 1")
     found = ranked.groupBy("target_id", "item_id").agg(
-        (F.sum(F.col("sim") * F.col("value")) / F.sum("sim")).alias("score")
+        F.coalesce(F.try_divide(F.sum(F.col("sim") * F.col("value")), F.sum(F.abs("sim"))), F.lit(0.0)).alias("score")
     )
     rated = cells.select(F.col("id").alias("target_id"), F.col("dim").alias("item_id"))
     if asked is None:

@@ -32,11 +32,15 @@ def feature_cosine(items: DataFrame) -> DataFrame:
 
 
 def similar_content(
-    weights: DataFrame, size: sim.Extent, n: int = 10, targets: DataFrame | None = None, min_similarity: float = 0.0
+    weights: DataFrame, size: sim.Extent, n: int = 10, targets: DataFrame | None = None, min_similarity: float | None = None
 ) -> DataFrame:
-    """(item_id, neighbour_id, score, rank): nearest items by text, at or above ``min_similarity``."""
+    """(item_id, neighbour_id, score, rank): nearest items by text.
+
+    With ``min_similarity`` all items at or above it count, at 0 also those that share no term, which fill short lists up.
+    Without it only items that share a term count.
+    """
     ids = None if targets is None else targets.select(F.col("item_id").alias("id"))
-    floor = max(min_similarity, sim.ABOVE_ZERO)
+    floor = sim.ABOVE_ZERO if min_similarity is None else min_similarity
     found = sim.cosine_topn(features.tfidf_cells(weights), n, ids, floor=floor, normalized=True, size=size)
     return found.withColumnRenamed("item_id", "neighbour_id").withColumnRenamed("target_id", "item_id")
 

@@ -103,9 +103,15 @@ def overlay_existing(items: DataFrame, existing: DataFrame, columns: Sequence[st
 
 
 def apply_enrichment(items: DataFrame, results: DataFrame, columns: Sequence[str] = ("genre", "director", "cast", "year"),
-                     key: str = "item_id", failed: str | None = None) -> DataFrame:
-    """Take the columns from successful results (``ok``). Failed rows keep their values, or become ``failed``."""
-    news = results.select(key, "ok", *[F.col(c).alias(f"{c}_new") for c in columns])
+                     key: str = "item_id", failed: str | None = None, order: str = "pos") -> DataFrame:
+    """Take the columns from successful results (``ok``). Failed rows keep their values, or become ``failed``.
+
+    Of several results of one id the last by ``order`` counts.
+    """
+    if order not in results.columns:
+        raise ValueError(f"no position {order!r} to tell which of several results of one {key} came last")
+    told = F.max_by(F.struct("ok", *[F.col(c).alias(f"{c}_new") for c in columns]), order)
+    news = results.groupBy(key).agg(told.alias("_told")).select(key, "_told.*")
     updated = {}
     for c in columns:
         value = F.when(F.col("ok"), F.col(f"{c}_new"))

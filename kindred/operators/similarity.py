@@ -23,8 +23,8 @@ TARGET_BLOCK = 512
 CANDIDATE_BLOCK = 32768
 LONG_VECTOR = 2_000_000
 MAX_PARTITIONS = 50_000
-ABOVE_ZERO = 1e-12
-LOWEST = -1e4  # below any score, marks a pair that may not come back
+ABOVE_ZERO = 5e-324  # the smallest positive number: only zero and negative scores are below it
+BARRED = -np.inf  # marks a pair that may not come back
 STRIP = 2048
 _EXPAND = 4_000_000
 
@@ -147,20 +147,33 @@ def block_product(na, left, nb, right) -> np.ndarray:
 
 
 def order_keys(scores: np.ndarray) -> np.ndarray:
-    """Integers that sort like (score rounded to 9 digits, column descending) along the last axis."""
+    """Scores as the ranking compares them: rounded to 9 digits, in units of the last. Any finite score and -inf are fine."""
+    return np.rint(scores * 1e9)
+
+
+def best_mask(scores: np.ndarray, n: int) -> np.ndarray:
+    """Which n columns of each row are best by rounded score, ties to the lower column."""
     width = scores.shape[-1]
-    bits = max(1, int(width - 1).bit_length())
-    return (np.rint(scores * 1e9).astype(np.int64) << bits) | (width - 1 - np.arange(width))
+    if width <= n:
+        return np.ones(scores.shape, bool)
+    keys = order_keys(scores)
+    last = np.partition(keys, width - n, axis=-1)[..., width - n, None]
+    mask = keys >= last
+    tied = np.flatnonzero(mask.sum(-1) > n)
+    if len(tied):
+        above = keys[tied] > last[tied]
+        equal = keys[tied] == last[tied]
+        room = n - above.sum(-1, keepdims=True)
+        mask[tied] = above | (equal & (np.cumsum(equal, -1) <= room))
+    return mask
 
 
 def best_columns(scores: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the n best columns of each row, ties to the lower column, in no set order."""
+    """Positions of the n best columns of each row, ties to the lower column, in ascending order."""
     width = scores.shape[-1]
     if width <= n:
         return np.broadcast_to(np.arange(width), scores.shape)
-    bits = max(1, int(width - 1).bit_length())
-    top = np.partition(order_keys(scores), width - n, axis=-1)[..., width - n:]
-    return width - 1 - (top & ((1 << bits) - 1))
+    return np.nonzero(best_mask(scores, n))[-1].reshape(len(scores), n)
 
 
 def sides(table: pa.Table) -> tuple[pa.Table, pa.Table, pa.Table]:
@@ -175,7 +188,7 @@ def clear(scores: np.ndarray, target_ids, candidate_ids, masked_targets, masked_
     rows = pd.Index(target_ids).get_indexer(masked_targets)
     at = pd.Index(candidate_ids).get_indexer(masked_candidates)
     hit = (rows >= 0) & (at >= 0)
-    scores[rows[hit], at[hit]] = LOWEST
+    scores[rows[hit], at[hit]] = BARRED
 
 
 def scores_table(target_ids, item_ids, scores, like: pa.Table) -> pa.Table:
@@ -214,12 +227,12 @@ def _best_of_block(n: int, floor: float | None, clip: tuple | None, skip_self: b
             if clip:
                 np.clip(scores, *clip, out=scores)
             if floor is not None:
-                scores[scores < floor] = LOWEST
+                scores[scores < floor] = BARRED
             if skip_self:
                 clear(scores, target_ids, ids, target_ids, target_ids)
             if barred:
                 clear(scores, target_ids, ids, *barred)
-            picked = np.sort(best_columns(scores, n), axis=1)  # in id order, so ties still go to the lower id
+            picked = best_columns(scores, n)  # in id order, so ties still go to the lower id
             found.append(np.take_along_axis(scores, picked, 1))
             places.append(picked + start)
         scores, places = np.concatenate(found, 1), np.concatenate(places, 1)
@@ -227,7 +240,7 @@ def _best_of_block(n: int, floor: float | None, clip: tuple | None, skip_self: b
         rows = np.repeat(np.arange(len(target_ids)), picked.shape[1])
         values = scores[rows, picked.reshape(-1)]
         columns = places[rows, picked.reshape(-1)]
-        keep = values > LOWEST
+        keep = values > BARRED
         return scores_table(target_ids[rows[keep]], candidate_ids[columns[keep]], values[keep], table)
 
     return run
@@ -357,6 +370,20 @@ def cosine_pairs(
     return pairs.select(F.col("target_id").alias("a"), F.col("item_id").alias("b"), F.col("score").alias("sim"))
 
 
+def dense_topn(targets: DataFrame, rows: DataFrame, n: int, floor: float | None = ABOVE_ZERO) -> DataFrame:
+    """The n rows nearest to every target by cosine, for vectors already packed as (id, dims, ws); no cell is shuffled.
+
+    Vectors of length 0 have no neighbours. With ``floor=None`` similarities of either sign count.
+    """
+    def unit(packed: DataFrame) -> DataFrame:
+        length = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda total, w: total + w * w))
+        return packed.withColumn("_length", length).filter("_length > 0").select(
+            "id", "dims", F.transform("ws", lambda w: w / F.col("_length")).alias("ws")
+        )
+
+    return block_topn(unit(targets), unit(rows), n, targets.count(), rows.count(), skip_self=True, floor=floor)
+
+
 def cosine_topn(
     cells: DataFrame,
     n: int,

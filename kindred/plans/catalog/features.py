@@ -7,6 +7,7 @@ from kindred.operators import clean, collab, features
 from kindred.plans import workflows
 from kindred.plans.catalog.registry import CATALOGUE, DOC_TEXT, GENRES, RATINGS, TFIDF, query, with_
 from kindred.session import scratch_folder
+from kindred.sources import files
 from kindred.sources import warehouse as wh
 
 
@@ -139,7 +140,11 @@ _ITEM_ONLY_TEXT = "texts AS (SELECT item_id, concat_ws(' ', plot, genre, directo
   / (SELECT max(rating) - min(rating) FROM catalogue), 6) AS rating_normalized, term, round(w, 6) AS weight
   FROM catalogue JOIN weights USING (item_id)"""))
 def _(spark, folder):
-    items, weights = workflows.preprocess(wh.catalogue(spark, folder), store=scratch_folder(spark) + "/tidy")
+    source, path = wh.catalogue(spark, folder).drop("pos"), scratch_folder(spark) + "/csv"
+    again = source.filter("item_id % 5 = 0").withColumns({"plot": F.lit("a later row of the same id"), "year": F.lit(1900)})
+    files.csv_sink(source.unionByName(again), path)
+    loaded = files.load_catalogue(spark, path, types=dict(source.dtypes))
+    items, weights = workflows.preprocess(loaded, store=scratch_folder(spark) + "/tidy")
     return items.join(weights, "item_id").select(
         "item_id", "year", F.round("rating_normalized", 6).alias("rating_normalized"), "term", F.round("weight", 6).alias("weight")
     )

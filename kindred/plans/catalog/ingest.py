@@ -156,7 +156,9 @@ def _(spark, folder):
   CASE WHEN e.ok THEN e."cast" END AS "cast" FROM catalogue c LEFT JOIN enriched e USING (item_id)"""))
 def _(spark, folder):
     items = wh.catalogue(spark, folder).withColumn("year", F.col("year").cast("string")).withColumn("cast", F.lit(None).cast("string"))
-    return ingest.apply_enrichment(items, enriched(spark, folder)).select("item_id", "genre", "director", "year", "cast")
+    results = enriched(spark, folder)
+    retried = results.filter("item_id % 3 = 0").withColumns({"pos": F.col("pos") - 1e9, "ok": ~F.col("ok"), "genre": F.lit("earlier try")})
+    return ingest.apply_enrichment(items, retried.unionByName(results)).select("item_id", "genre", "director", "year", "cast")
 
 
 @query("append_dedupe", """SELECT p_partkey AS item_id, p_name AS title FROM part

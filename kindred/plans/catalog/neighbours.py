@@ -72,7 +72,35 @@ found AS (SELECT a.id AS item_id, b.id AS neighbour_id, sum(a.w * b.w) / any_val
   JOIN lens x ON a.id = x.id JOIN lens y ON b.id = y.id GROUP BY 1, 2)
 """ + best("found WHERE score > 0", 10, "item_id", "item_id, neighbour_id", "neighbour_id"))
 def _(spark, folder):
-    found = sim.cosine_topn(wh.embedding_cells(spark, folder), 10)
+    rows = wh.embedding_rows(spark, folder)
+    found = sim.dense_topn(rows, rows, 10)
+    return found.withColumnRenamed("item_id", "neighbour_id").withColumnRenamed("target_id", "item_id")
+
+
+_EMBEDDED = """WITH cells AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS w, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+lens AS (SELECT id, sqrt(sum(w * w)) AS n FROM cells GROUP BY 1),
+"""
+
+
+@query("least_negative_embeddings", _EMBEDDED + """found AS (SELECT a.id AS item_id, b.id AS neighbour_id, -sum(a.w * b.w) / any_value(x.n * y.n) AS score
+  FROM cells a JOIN cells b ON a.dim = b.dim AND a.id <> b.id JOIN lens x ON a.id = x.id JOIN lens y ON b.id = y.id WHERE a.id % 100 = 0 GROUP BY 1, 2)
+""" + best("found", 10, "item_id", "item_id, neighbour_id", "neighbour_id"))
+def _(spark, folder):
+    """The vectors most opposed to every hundredth one: all similarities count, of either sign."""
+    rows = wh.embedding_rows(spark, folder)
+    asked = rows.filter("id % 100 = 0").withColumn("ws", F.transform("ws", lambda w: -w))
+    found = sim.dense_topn(asked, rows, 10, floor=None)
+    return found.withColumnRenamed("item_id", "neighbour_id").withColumnRenamed("target_id", "item_id")
+
+
+@query("large_products", _EMBEDDED + """found AS (SELECT a.id AS item_id, b.id AS neighbour_id, sum(round(a.w * 1000) * round(b.w * 1000)) * 1e7 AS score
+  FROM cells a JOIN cells b ON a.dim = b.dim AND a.id <> b.id WHERE a.id % 100 = 0 GROUP BY 1, 2)
+""" + best("found", 10, "item_id", "item_id, neighbour_id", "neighbour_id"))
+def _(spark, folder):
+    """Inner products far above 10**10, and far below -10**4, rank like any others."""
+    whole = wh.embedding_rows(spark, folder).withColumn("ws", F.transform("ws", lambda w: F.round(w * 1000)))
+    asked = whole.filter("id % 100 = 0").withColumn("ws", F.transform("ws", lambda w: w * 1e7))
+    found = sim.block_topn(asked, whole, 10, asked.count(), whole.count(), skip_self=True, floor=None)
     return found.withColumnRenamed("item_id", "neighbour_id").withColumnRenamed("target_id", "item_id")
 
 
@@ -126,6 +154,54 @@ def _(spark, folder):
     return collab.recommend_item_based(wh.ratings(spark, folder))
 
 
+def _signed(key: str, other: str, tail: str) -> str:
+    """Predictions from ratings around zero. Rows similar by 0 add nothing, but rank before rows with a negative similarity."""
+    return f"""WITH ratings AS (SELECT o_custkey AS user_id, l_partkey AS item_id, floor(avg(l_quantity)) - 25 AS rating
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING floor(avg(l_quantity)) <> 25),
+norms AS (SELECT {key}, sqrt(sum(rating * rating)) AS n FROM ratings GROUP BY 1),
+dots AS (SELECT a.{key} AS t, b.{key} AS s, sum(a.rating * b.rating) AS dot FROM ratings a JOIN ratings b ON a.{other} = b.{other} AND a.{key} <> b.{key} GROUP BY 1, 2),
+sims AS (SELECT t, s, dot / (x.n * y.n) AS sim FROM dots JOIN norms x ON t = x.{key} JOIN norms y ON s = y.{key} WHERE dot <> 0),
+filled AS (SELECT {other}, count(*) AS n FROM ratings GROUP BY 1),
+met AS (SELECT t AS {key}, r.{other}, sim, r.rating, row_number() OVER (PARTITION BY t, r.{other} ORDER BY round(sim, 9) DESC, s) AS p,
+  count(*) FILTER (sim > 0) OVER (PARTITION BY t, r.{other}) AS above, count(*) FILTER (sim < 0) OVER (PARTITION BY t, r.{other}) AS below
+  FROM sims JOIN ratings r ON s = r.{key}),
+near AS (SELECT met.*, CASE WHEN sim > 0 THEN p ELSE n - (own.rating IS NOT NULL)::INT - below + p - above END AS place
+  FROM met JOIN filled USING ({other}) LEFT JOIN ratings own USING (user_id, item_id)),
+scored AS (SELECT user_id, item_id, sum(sim * rating) / sum(abs(sim)) AS score FROM near WHERE place <= 10 GROUP BY 1, 2)
+""" + tail
+
+
+_ASKED = "SELECT user_id, item_id, round(coalesce(score, 0), 6) AS score FROM ratings LEFT JOIN scored USING (user_id, item_id)"
+_LISTED = ", fresh AS (SELECT * FROM scored ANTI JOIN ratings USING (user_id, item_id) WHERE score > 0)\n" + best("fresh", 10, "user_id", "user_id, item_id")
+
+
+def signed_ratings(spark, folder):
+    """Ratings around zero, as mean-centring gives them, in whole numbers that every engine adds alike."""
+    return wh.ratings(spark, folder).select("user_id", "item_id", (F.floor(F.col("rating") * 5 + 1e-6) - 25).cast("double").alias("rating")).filter("rating <> 0")
+
+
+@query("predict_user_based_signed", _signed("user_id", "item_id", _ASKED))
+def _(spark, folder):
+    r = signed_ratings(spark, folder)
+    return collab.predict_user_based(r, r).withColumn("score", F.round("score", 6))
+
+
+@query("predict_item_based_signed", _signed("item_id", "user_id", _ASKED))
+def _(spark, folder):
+    r = signed_ratings(spark, folder)
+    return collab.predict_item_based(r, r).withColumn("score", F.round("score", 6))
+
+
+@query("recommend_user_based_signed", _signed("user_id", "item_id", _LISTED))
+def _(spark, folder):
+    return collab.recommend_user_based(signed_ratings(spark, folder))
+
+
+@query("recommend_item_based_signed", _signed("item_id", "user_id", _LISTED))
+def _(spark, folder):
+    return collab.recommend_item_based(signed_ratings(spark, folder))
+
+
 @query("user_liked", with_(RATINGS, LIKED, "SELECT user_id, item_id FROM liked"))
 def _(spark, folder):
     return collab.user_liked(wh.ratings(spark, folder)).select("user_id", "item_id")

@@ -1,6 +1,6 @@
 """Session defaults and the one way this package cuts lineage."""
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -27,22 +27,28 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job through the reliable checkpoint folder.
-
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (a local test) is a temporary folder used.
-    """
+    """Cut the lineage of an iterative job through the reliable checkpoint folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or os.path.join(tempfile.mkdtemp(prefix="kindred-"), "checkpoint"))
+        context.setCheckpointDir(_shared(spark) or f"{_local(spark)}/checkpoint")
     return df.checkpoint(eager=True)
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for intermediate tables: under the cluster's shared folder, else a temporary one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return f"{configured.rstrip('/')}/kindred-{uuid.uuid4().hex}"
+    """A new folder for intermediate tables."""
+    shared = _shared(spark)
+    return f"{shared.rstrip('/')}/kindred-{uuid.uuid4().hex}" if shared else _local(spark)
+
+
+def _shared(spark: SparkSession) -> str | None:
+    """The folder that the cluster shares, named in ``spark.checkpoint.dir``."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _local(spark: SparkSession) -> str:
+    """A temporary folder of this machine, which only a local session can read back."""
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     return tempfile.mkdtemp(prefix="kindred-")

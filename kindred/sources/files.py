@@ -15,9 +15,12 @@ RATING_COLUMNS = ("user_id", "movie_id", "rating")
 
 
 def read_csv(spark: SparkSession, path: str, required: Sequence[str] = (), types: dict[str, str] | None = None,
-             multi_line: bool = False) -> DataFrame:
+             multi_line: bool = False, position: str | None = None) -> DataFrame:
     """CSV with a header and quoted fields; columns are strings unless ``types`` says otherwise.
 
+    ``position`` names a column that is added, unless the file has it: a text that sorts like the rows in their files, files by
+    name. It tells which of several rows with one id came first.
+
     A missing file and missing required columns are errors; the latter names them. ``multi_line`` allows
     line breaks inside quotes, at the price of one task per file.
     """
@@ -31,7 +34,11 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str] = (), types
     check_columns(names, required)
     types = types or {}
     schema = T.StructType([T.StructField(n, T.DataType.fromDDL(types.get(n, "string"))) for n in names])
-    return reader.schema(schema).csv(path)
+    rows = reader.schema(schema).csv(path)
+    if position is None or position in names:
+        return rows
+    digits = [F.lpad(c.cast("string"), 20, "0") for c in (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())]
+    return rows.withColumn(position, F.concat_ws("|", "_metadata.file_path", *digits))
 
 
 def check_columns(names: Sequence[str], required: Sequence[str]) -> None:
@@ -41,7 +48,8 @@ def check_columns(names: Sequence[str], required: Sequence[str]) -> None:
 
 
 def load_catalogue(spark: SparkSession, path: str, required: Sequence[str] = (), **options) -> DataFrame:
-    return read_csv(spark, path, required, **options)
+    """Catalogue rows with their ingest position ``pos``."""
+    return read_csv(spark, path, required, **{"position": "pos"} | options)
 
 
 def load_ratings(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -62,9 +70,7 @@ def dataset_summary(items: DataFrame, ratings: DataFrame) -> DataFrame:
              F.try_divide(F.col("ratings"), F.col("users")).alias("ratings_per_user"))
 
 
-# The genre strings of a made-up catalogue.
-SAMPLE_GENRES = ["Drama", "Comedy", "Thriller", "Action", "Romance", "Sci-Fi",
-                 "Comedy, Romance", "Thriller, Crime", "Action, Drama"]
+MADE_UP = ["Harbour", "Meadow", "Orbit", "Lantern", "Quarry", "Velvet", "Winter"]
 
 
 def _draw(seed: int, salt: str, low: int, high: int, *keys: str) -> Column:
@@ -77,18 +83,22 @@ def synth_catalogue(rows: DataFrame, seed: int = 42) -> DataFrame:
     def draw(salt: str, low: int, high: int) -> Column:
         return _draw(seed, salt, low, high, "n")
 
+    def pick(salt: str) -> Column:
+        return F.element_at(F.array(*[F.lit(w) for w in MADE_UP]), draw(salt, 1, len(MADE_UP)).cast("int"))
+
     return rows.select(
-        F.format_string("tt%07d", F.col("n").cast("int")).alias("imdb_id"),
-        F.concat(F.lit("Sample Movie "), F.col("n").cast("string")).alias("title"),
+        F.format_string("made%09d", F.col("n").cast("long")).alias("imdb_id"),
+        F.concat_ws(" ", pick("t1"), pick("t2"), F.col("n").cast("string")).alias("title"),
         draw("year", 1970, 2023).cast("int").alias("year"),
-        F.element_at(F.array(*[F.lit(g) for g in SAMPLE_GENRES]), draw("genre", 1, len(SAMPLE_GENRES)).cast("int")).alias("genre"),
+        F.array_join(F.array_distinct(F.array(pick("g1"), pick("g2"))), ", ").alias("genre"),
         (draw("rating", 50, 95) / 10).alias("imdb_rating"),
         draw("meta", 30, 100).cast("int").alias("metascore"),
         F.concat(draw("runtime", 80, 180).cast("string"), F.lit(" min")).alias("runtime"),
-        F.concat(F.lit("Director "), draw("director", 1, 20).cast("string")).alias("director"),
-        F.concat(F.lit("Actor "), draw("a1", 1, 50).cast("string"), F.lit(", Actor "), draw("a2", 1, 50).cast("string")).alias("actors"),
-        F.concat(F.lit("Plot of sample movie "), F.col("n").cast("string")).alias("plot"),
-        F.lit("English").alias("language"), F.lit("USA").alias("country"),
+        F.concat_ws(" ", pick("d1"), draw("d2", 1, 9).cast("string")).alias("director"),
+        F.concat(pick("a1"), F.lit(" "), draw("a2", 10, 19).cast("string"), F.lit(", "), pick("a3"), F.lit(" "), draw("a4", 20, 29).cast("string")).alias("actors"),
+        F.concat_ws(" ", pick("p1"), F.lit("and"), pick("p2"), F.lit("meet"), pick("p3")).alias("plot"),
+        F.element_at(F.array(F.lit("xx"), F.lit("yy")), draw("language", 1, 2).cast("int")).alias("language"),
+        F.concat(F.lit("Land "), draw("country", 1, 5).cast("string")).alias("country"),
         draw("votes", 1000, 100000).alias("imdb_votes"),
     )
 

@@ -118,8 +118,9 @@ def traces_of(turns: DataFrame) -> DataFrame:
     )
 
 
-def embedding_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, dim, w) of the dense vectors."""
-    return table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("id"), F.posexplode("embedding").alias("dim", "w")
-    ).withColumn("w", F.col("w").cast("double"))
+def embedding_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, dims, ws) of the dense vectors, as they are stored: one row each."""
+    ws = F.transform("embedding", lambda w: w.cast("double"))
+    return table(spark, folder, "embeddings").filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(
+        F.col("vec_id").alias("id"), F.when(F.size("embedding") > 0, F.sequence(F.lit(0), F.size("embedding") - 1)).otherwise(F.array().cast("array<int>")).alias("dims"), ws.alias("ws")
+    )

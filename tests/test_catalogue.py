@@ -3,15 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kindred import session
 from kindred.operators import blend, clean, content, explain, features, ingest, search
 from kindred.sources import files
 
 TITLES = [
-    ("tt0111161", "The Shawshank Redemption", "Drama", 1994, 9.3, "Frank Darabont", "Tim Robbins, Morgan Freeman"),
-    ("tt0068646", "The Godfather", "Crime, Drama", 1972, 9.2, "Francis Ford Coppola", "Marlon Brando, Al Pacino"),
-    ("tt0468569", "The Dark Knight", "Action, Crime, Drama", 2008, 9.0, "Christopher Nolan", "Christian Bale, Heath Ledger"),
-    ("tt0137523", "Fight Club", "Drama", 1999, 8.8, "David Fincher", "Brad Pitt, Edward Norton"),
-    ("tt0109830", "Forrest Gump", "Drama, Romance", 1994, 8.8, "Robert Zemeckis", "Tom Hanks, Robin Wright"),
+    ("k1", "Salt Road", "Travel", 2011, 7.9, "Ada Quist", "Ivo Blum, Rosa Tan"),
+    ("k2", "The Long Alibi", "Mystery, Travel", 1983, 7.4, "Jun Okafor", "Pia Lund, Sol Reyes"),
+    ("k3", "The Glass Harbour", "Heist, Mystery, Travel", 2016, 6.8, "Mika Stone", "Lee Adair, Noa Finch"),
+    ("k4", "Paper Kites", "Travel", 2013, 6.1, "Ravi Holm", "Bea Cole, Uli Marsh"),
+    ("k5", "Second Spring", "Music, Travel", 2012, 6.1, "Tess Vale", "Oda Grey, Finn Moss"),
 ]
 
 
@@ -26,15 +27,15 @@ def ids(df):
 
 
 def test_recommend_by_genre_and_features(titles):
-    assert ids(content.recommend_by_genre(titles, ["drama"], 3, 8.5)) == ["tt0111161", "tt0068646", "tt0468569"]
-    found = content.recommend_by_features(titles, ["Drama"], None, 8.8, (1990, 2000), 3)
-    assert ids(found) == ["tt0111161", "tt0109830", "tt0137523"]
+    assert ids(content.recommend_by_genre(titles, ["travel"], 3, 6.5)) == ["k1", "k2", "k3"]
+    found = content.recommend_by_features(titles, ["Travel"], None, 6.1, (2010, 2014), 3)
+    assert ids(found) == ["k1", "k4", "k5"]
 
 
 def test_similar_genre_prefers_overlap(titles, spark):
-    target = spark.createDataFrame([("tt0468569",)], "item_id string")
+    target = spark.createDataFrame([("k3",)], "item_id string")
     found = content.similar_genre(titles, 10, target).orderBy("rank").collect()
-    assert [r["neighbour_id"] for r in found] == ["tt0068646", "tt0111161", "tt0109830", "tt0137523"]
+    assert [r["neighbour_id"] for r in found] == ["k2", "k1", "k4", "k5"]
 
 
 def test_similar_genre_equals_brute_force(spark):
@@ -52,35 +53,37 @@ def test_similar_genre_equals_brute_force(spark):
 
 
 def test_explanations(titles, spark):
-    recs = spark.createDataFrame([("u", "tt0137523")], "user_id string, item_id string")
-    liked = spark.createDataFrame([("u", "tt0111161"), ("u", "tt0109830")], "user_id string, item_id string")
+    recs = spark.createDataFrame([("u", "k4")], "user_id string, item_id string")
+    liked = spark.createDataFrame([("u", "k1"), ("u", "k5")], "user_id string, item_id string")
     told = explain.explain_content(recs, liked, titles).first()
-    assert (told["genres"], told["director"], told["actors"]) == (["Drama"], None, [])
-    assert told["text"] == "This movie is recommended because it shares genres (Drama) with movies you enjoyed."
+    assert (told["genres"], told["director"], told["actors"]) == (["Travel"], None, [])
+    assert told["text"] == "This movie is recommended because it shares genres (Travel) with movies you enjoyed."
     weight = explain.feature_importance(recs, liked, titles).first()
     assert tuple(weight[2:]) == (1.0, 0.0, 0.0, 1.0, 0.0)
-    both = explain.explain_hybrid(spark.createDataFrame([(0.75, 0.82)], "cf_score double, cb_score double")).first()
-    assert both["primary_reason"] == "content_based" and "(0.75)" in both["text"] and "(0.82)" in both["text"]
+    both = explain.explain_hybrid(spark.createDataFrame([(0.31, 0.64)], "cf_score double, cb_score double")).first()
+    assert both["primary_reason"] == "content_based" and "(0.31)" in both["text"] and "(0.64)" in both["text"]
 
 
 def test_cleaning_of_untidy_rows(spark):
     rows = [
-        ("a", "1994", "9.3", "80", "142 min", "2,500,000", "Drama", 0), ("b", "1972", "9.2", "100", "175 min", "1,750,000", "Crime, Drama", 1),
-        ("c", "2008", "9.0", "84", "152 min", "2,400,000", "Action, Crime, Drama", 2), ("d", "2010–2015", "N/A", None, None, "abc", None, 3),
-        ("e", "none", None, "x", "?", None, "Unknown", 4), ("a", "1900", "1.0", "1", "1 min", "1", "Other", 5),
+        ("a", "2011", "7.5", "40", "96 min", "1,204", "Travel", 0), ("b", "1983", "6.5", "90", "118 min", "33,017", "Mystery, Travel", 1),
+        ("c", "2016", "5.5", "50", "101 min", "880", "Heist, Mystery", 2), ("d", "2003–2007", "N/A", None, None, "many", None, 3),
+        ("e", "soon", None, "n/a", "long", None, "Unknown", 4), ("a", "1955", "2.0", "3", "7 min", "9", "Other", 5),
     ]
     raw = spark.createDataFrame(rows, "imdb_id string, year string, imdb_rating string, metascore string, runtime string, imdb_votes string, genre string, pos int")
     got = {r["item_id"]: r for r in clean.clean_catalogue(raw).collect()}
-    assert [got[x]["year"] for x in "abcde"] == [1994, 1972, 2008, 2010, None]
-    assert [got[x]["rating"] for x in "abcde"] == [9.3, 9.2, 9.0, 9.2, 9.2]
-    assert [got[x]["runtime_minutes"] for x in "abcde"] == [142, 175, 152, None, None]
-    assert [got[x]["votes"] for x in "abcde"] == [2500000, 1750000, 2400000, 0, 0]
-    assert got["d"]["metascore"] == 84 and got["d"]["genre"] == "Unknown"
+    assert [got[x]["year"] for x in "abcde"] == [2011, 1983, 2016, 2003, None]
+    assert [got[x]["rating"] for x in "abcde"] == [7.5, 6.5, 5.5, 6.5, 6.5]
+    assert [got[x]["runtime_minutes"] for x in "abcde"] == [96, 118, 101, None, None]
+    assert [got[x]["votes"] for x in "abcde"] == [1204, 33017, 880, 0, 0]
+    assert got["d"]["metascore"] == 50 and got["d"]["genre"] == "Unknown"
     known = clean.clean_catalogue(raw.filter("imdb_id in ('a', 'b', 'c') and pos < 3"))
+    with pytest.raises(ValueError, match="position"):
+        clean.clean_catalogue(raw.drop("pos"))
     scaled = features.minmax_normalize(known, ["rating", "metascore"]).orderBy("item_id").collect()
-    assert [round(r["rating_normalized"], 6) for r in scaled] == [1.0, 0.666667, 0.0]
+    assert [round(r["rating_normalized"], 6) for r in scaled] == [1.0, 0.5, 0.0]
     assert [r["metascore_normalized"] for r in scaled] == [0.0, 1.0, 0.2]
-    assert [r["name"] for r in features.genre_vocabulary(known).orderBy("name").collect()] == ["Action", "Crime", "Drama"]
+    assert [r["name"] for r in features.genre_vocabulary(known).orderBy("name").collect()] == ["Heist", "Mystery", "Travel"]
 
 
 def test_tfidf_weights(spark):
@@ -93,22 +96,22 @@ def test_tfidf_weights(spark):
 
 
 def test_titles(titles, spark):
-    asked = spark.createDataFrame([("tt0068646",), ("fight club",), ("nothing",)], "request string")
+    asked = spark.createDataFrame([("k2",), ("paper kites",), ("nothing",)], "request string")
     got = {r["request"]: r["item_id"] for r in search.resolve_title(asked, titles).collect()}
-    assert got == {"tt0068646": "tt0068646", "fight club": "tt0137523", "nothing": None}
-    typed = spark.createDataFrame([("the",), ("fite club",), ("x",)], "query string")
+    assert got == {"k2": "k2", "paper kites": "k4", "nothing": None}
+    typed = spark.createDataFrame([("the",), ("papr kite",), ("q",)], "query string")
     for ratio in (search.edit_ratio, search.sequence_ratio):
         found = search.autocomplete(typed, titles, ratio=ratio).filter("rank = 1").collect()
         first = {r["query"]: r["title"] for r in found}
-        assert first == {"the": "The Dark Knight", "fite club": "Fight Club"}
+        assert first == {"the": "The Glass Harbour", "papr kite": "Paper Kites"}
 
 
 def test_actors(titles, spark):
     items = titles.withColumnRenamed("actors", "cast")
-    asked = spark.createDataFrame([(" TOM hanks ",), ("Nobody",)], "actor string")
+    asked = spark.createDataFrame([(" ODA grey ",), ("Nobody",)], "actor string")
     got = {r["actor_name"]: (r["total_movies"], r["average_rating"], r["all_movie_ids"]) for r in content.actor_profile(items, asked).collect()}
-    assert got == {" TOM hanks ": (1, 8.8, ["tt0109830"]), "Nobody": (0, 0.0, [])}
-    assert content.item_cast(items).filter("item_id = 'tt0468569'").first()["cast"] == ["Christian Bale", "Heath Ledger"]
+    assert got == {" ODA grey ": (1, 6.1, ["k5"]), "Nobody": (0, 0.0, [])}
+    assert content.item_cast(items).filter("item_id = 'k3'").first()["cast"] == ["Lee Adair", "Noa Finch"]
 
 
 def test_blends(spark):
@@ -152,6 +155,26 @@ def test_csv_sources(spark, tmp_path):
         files.load_catalogue(spark, str(tmp_path / "none.csv"))
 
 
+def test_first_row_of_a_csv_wins_and_the_last_result(spark, tmp_path):
+    path = tmp_path / "items"
+    path.mkdir()
+    (path / "b.csv").write_text("id,title,year\nx,second file,2001\nz,only,2002\n")
+    (path / "a.csv").write_text("id,title,year\nx,first,1990\ny,one,1991\nx,again,1992\n")
+    tidy = clean.clean_catalogue(files.load_catalogue(spark, str(path)))
+    assert {r["item_id"]: r["title"] for r in tidy.collect()} == {"x": "first", "y": "one", "z": "only"}
+    results = spark.createDataFrame([("x", True, "early", 1), ("x", False, None, 2), ("x", True, "late", 3), ("y", True, "g", 1), ("y", False, "h", 2)],
+                                    "item_id string, ok boolean, title string, pos int")
+    told = ingest.apply_enrichment(tidy.select("item_id", "title"), results, columns=["title"])
+    assert {r["item_id"]: r["title"] for r in told.collect()} == {"x": "late", "y": "one", "z": "only"}
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,512]")
+    monkeypatch.setattr(session, "_shared", lambda spark: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_folder(spark)
+
+
 def test_synthetic_tables_repeat(spark):
     items = files.synth_catalogue(files.sample_rows(spark, 50)).withColumnRenamed("imdb_id", "item_id")
     users = spark.range(20).select(F.concat(F.lit("u"), "id").alias("user_id"))

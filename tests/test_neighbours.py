@@ -4,22 +4,23 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import collab, factor
 from kindred.operators import similarity as sim
 
-DEMO = [
-    ("user_1", "movie_1", 5), ("user_1", "movie_2", 4), ("user_2", "movie_1", 3), ("user_2", "movie_3", 1), ("user_2", "movie_4", 1),
-    ("user_3", "movie_5", 5), ("user_4", "movie_1", 1), ("user_4", "movie_2", 1), ("user_4", "movie_3", 5), ("user_4", "movie_4", 4),
-    ("user_5", "movie_5", 4),
-]
+# Two readers of crime, two of travel, and one of both.
+DEMO = {
+    ("bo", "fog"): 8, ("bo", "knife"): 6, ("kim", "fog"): 4, ("kim", "knife"): 7, ("kim", "alibi"): 9, ("lu", "delta"): 3, ("lu", "atlas"): 10,
+    ("mei", "delta"): 6, ("mei", "reef"): 2, ("noor", "alibi"): 5, ("noor", "atlas"): 7,
+}
 
 
 @pytest.fixture(scope="module")
 def demo(spark):
-    return spark.createDataFrame([(u, i, float(r)) for u, i, r in DEMO], "user_id string, item_id string, rating double")
+    return spark.createDataFrame([(u, i, float(r)) for (u, i), r in DEMO.items()], "user_id string, item_id string, rating double")
 
 
 def pairs(df, digits=6):
@@ -27,27 +28,21 @@ def pairs(df, digits=6):
 
 
 def test_user_and_item_cosine(demo):
+    # bo and kim: 8 * 4 + 6 * 7 = 74 over lengths 10 and sqrt(146).
     users = pairs(collab.user_cosine(demo))
-    assert users == {
-        ("user_1", "user_2"): 0.706322, ("user_1", "user_4"): 0.214346, ("user_2", "user_4"): 0.551761, ("user_3", "user_5"): 1.0,
-    }
-    items = pairs(collab.item_cosine(demo))
-    assert items == {
-        ("movie_1", "movie_2"): 0.860916, ("movie_1", "movie_3"): 0.265197, ("movie_1", "movie_4"): 0.286972,
-        ("movie_2", "movie_3"): 0.237826, ("movie_2", "movie_4"): 0.235294, ("movie_3", "movie_4"): 0.998868,
-    }
-
-
-@pytest.mark.parametrize("run, mode, want", [
-    (collab.recommend_user_based, "identity", (1.931264, 1.698448, 2.684283)),
-    (collab.recommend_user_based, "skip_top", (5.0, 4.0, 1.0)),
-    (collab.recommend_item_based, "identity", (4.527207, 4.549475, 2.290694)),
-    (collab.recommend_item_based, "skip_top", (4.0, 4.0, 1.0)),
-])
-def test_recommendations_of_the_demo(demo, run, mode, want):
-    got = {(r["user_id"], r["item_id"]): r["score"] for r in run(demo, neighbours=mode).collect()}
-    keys = [("user_1", "movie_3"), ("user_1", "movie_4"), ("user_2", "movie_2")]
-    assert got == dict(zip(keys, want))
+    assert users["bo", "kim"] == round(74 / (10 * math.sqrt(146)), 6) and ("bo", "lu") not in users
+    assert users == {k: round(v, 6) for k, v in brute_cosine(DEMO).items() if k[0] < k[1]}
+    turned = {(i, u): r for (u, i), r in DEMO.items()}
+    assert pairs(collab.item_cosine(demo)) == {k: round(v, 6) for k, v in brute_cosine(turned).items() if k[0] < k[1]}
+
+
+@pytest.mark.parametrize("run, turn", [(collab.recommend_user_based, False), (collab.recommend_item_based, True)])
+@pytest.mark.parametrize("mode", ["identity", "skip_top"])
+def test_recommendations_of_the_demo(demo, run, turn, mode):
+    cells = {(i, u) if turn else (u, i): r for (u, i), r in DEMO.items()}
+    found = brute_predictions(cells, 10, int(mode == "skip_top"))
+    want = {(b, a) if turn else (a, b): pytest.approx(v, abs=2e-6) for (a, b), v in found.items() if (a, b) not in cells}
+    assert {(r["user_id"], r["item_id"]): r["score"] for r in run(demo, neighbours=mode).collect()} == want
 
 
 def random_ratings(seed, users=40, items=30, share=0.3, hot=True):
@@ -152,22 +147,57 @@ def test_targets_limit_the_answer(spark):
 
 
 def test_svd_reconstruction_of_the_demo(demo):
-    users, items = factor.mf_fit(demo, k=3, oversample=4, iterations=3)
+    users, items = factor.mf_fit(demo, k=2, oversample=4, iterations=6)
+    names = sorted({u for u, _ in DEMO}), sorted({i for _, i in DEMO})
+    table = np.array([[DEMO.get((u, i), 0) for i in names[1]] for u in names[0]], float)
+    left, values, right = np.linalg.svd(table)
+    want = left[:, :2] * values[:2] @ right[:2]
     got = pairs(factor.mf_predict(demo.select("user_id").distinct().join(demo.select("item_id").distinct()), users, items, -99, 99), 5)
-    want = {
-        "user_1": [5.311555, 3.530683, -0.034827, 0.030922, 0], "user_2": [2.092369, 1.367228, 1.101460, 0.909916, 0],
-        "user_3": [0, 0, 0, 0, 5], "user_4": [1.203036, 0.694153, 4.977304, 4.020152, 0], "user_5": [0, 0, 0, 0, 4],
-    }
-    for user, row in want.items():
-        for at, value in enumerate(row):
-            assert got[user, f"movie_{at + 1}"] == pytest.approx(value, abs=1e-4)
+    assert got == {(u, i): pytest.approx(want[x, y], abs=1e-3) for x, u in enumerate(names[0]) for y, i in enumerate(names[1])}
     recs = factor.mf_recommend(demo, users, items, 10)
-    assert {r["item_id"] for r in recs.filter("user_id = 'user_1'").collect()} == {"movie_3", "movie_4", "movie_5"}
+    assert {r["item_id"] for r in recs.filter("user_id = 'bo'").collect()} == {"alibi", "atlas", "delta", "reef"}
     assert recs.filter("score < 0 or score > 10").count() == 0
     unknown = demo.select(F.lit("nobody").alias("user_id"), "item_id").limit(1)
     assert factor.mf_predict(unknown, users, items).first()["score"] == 0.0
 
 
+def test_an_opposed_neighbour_counts_against(spark):
+    # The one other row that fills column 3 is exactly opposed.
+    cells = {(1, 1): 2, (1, 2): -2, (2, 1): -2, (2, 2): 2, (2, 3): 3}
+    ratings = frame(spark, cells)
+    asked = spark.createDataFrame([(1, 3)], "user_id bigint, item_id bigint")
+    for options in ({}, {"hot_column": 0}):
+        assert collab.predict_user_based(ratings, asked, **options).first()["score"] == pytest.approx(-3.0)
+    # A row that shares nothing takes the one place before it, and knows nothing.
+    more = frame(spark, cells | {(3, 9): 1, (3, 3): 5})
+    assert collab.predict_user_based(more, asked, k=1).first()["score"] == 0.0
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_column": 10}, {"hot_column": 10, "longest": 12}])
+def test_signed_predictions_match_brute_force(spark, options):
+    cells = {key: r - 5 for key, r in random_ratings(8).items() if r != 5}
+    sims, rows, columns = brute_cosine(cells), {a for a, _ in cells}, {b for _, b in cells}
+    want = {}
+    for t, c in cells:
+        near = sorted((-round(sims.get((t, s), 0.0), 9), s) for s in rows if s != t and (s, c) in cells)[:5]
+        weight = sum(abs(sims.get((t, s), 0.0)) for _, s in near)
+        want[t, c] = pytest.approx(sum(sims.get((t, s), 0.0) * cells[s, c] for _, s in near) / weight if weight else 0.0, abs=2e-6)
+    assert columns and pairs(collab.predict_user_based(frame(spark, cells), frame(spark, cells), k=5, **options)) == want
+
+
+def test_scores_of_any_size_are_ranked(spark):
+    rows = spark.createDataFrame([(i, [0], [w]) for i, w in enumerate([9e9, 5e9, 3e9, 2e9, 1e3, -5e4, -8e12])], "id bigint, dims array<int>, ws array<double>")
+    one = spark.createDataFrame([(99, [0], [1.0])], "id bigint, dims array<int>, ws array<double>")
+    got = sim.block_topn(one, rows, 7, 1, 7, floor=None).orderBy("rank").collect()
+    assert [r["score"] for r in got] == [9e9, 5e9, 3e9, 2e9, 1e3, -5e4, -8e12]
+    assert [r["item_id"] for r in sim.block_topn(one, rows, 2, 1, 7).orderBy("rank").collect()] == [0, 1]
+
+
+def test_best_columns_take_ties_in_order():
+    scores = np.array([[1.0, 2, 2, 2, 0], [-np.inf, -5, -5, -7, -np.inf], [3, 3, 3, 3, 3]])
+    assert sim.best_columns(scores, 2).tolist() == [[1, 2], [1, 2], [0, 1]]
+
+
 def test_split_and_centering(spark):
     ratings = frame(spark, random_ratings(6))
     split = collab.train_test_split(ratings)
