@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.collab import hash_bucket
+from kindred.session import materialize
 
 
 def rmse_of(truth: str = "rating", predicted: str = "score") -> Column:
@@ -121,9 +122,14 @@ def precision_recall_points(recs: DataFrame, relevant: DataFrame, max_k: int = 2
     )
 
 
-def cross_validate(ratings: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame], n_folds: int = 5, seed: int = 42) -> DataFrame:
-    """(fold, n, rmse, mae): fit on the other folds, predict this one. ``predict(train, pairs)`` gives score per pair."""
-    folded = ratings.withColumn("fold", hash_bucket(["user_id", "item_id"], n_folds, seed))
+def cross_validate(ratings: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame], n_folds: int = 5, seed: int = 42,
+                   bucket: Column | None = None) -> DataFrame:
+    """(fold, n, rmse, mae): fit on the other folds, predict this one. ``predict(train, pairs)`` gives score per pair.
+
+    ``bucket`` is a column 0..n_folds-1, by default a hash of the pair. The ratings are computed once for all folds.
+    """
+    fold_of = hash_bucket(["user_id", "item_id"], n_folds, seed) if bucket is None else bucket
+    folded = materialize(ratings.withColumn("fold", fold_of))
     report = None
     for fold in range(n_folds):
         train, held = folded.filter(F.col("fold") != fold).drop("fold"), folded.filter(F.col("fold") == fold).drop("fold")

@@ -164,7 +164,35 @@ def _(spark, folder):
     return micros(found, "session_start", "first_search", "first_view", "first_add_watchlist")
 
 
-@query("session_stream", with_(ACTIVITY, SESSIONS, """SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOURS) AS session_end, count(*) AS events
+def flushed(spark, folder):
+    """The activity as a stream of files, with one event far in the future that closes all windows before it."""
+    path = scratch_folder(spark) + "/landed"
+    events = wh.activity(spark, folder)
+    last = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"),
+        F.lit("view").alias("action"), (F.col("ts") + F.expr("interval 100 days")).alias("ts"),
+    )
+    events.unionByName(last, allowMissingColumns=True).write.parquet(path)
+    return streams.read_folder(spark, path, spark.read.parquet(path).schema)
+
+
+def appended(spark, stream):
+    """What an append sink has got once the stream has read all its files."""
+    out = scratch_folder(spark)
+    streams.run(stream, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/table")
+
+
+SESSION_ROWS = with_(ACTIVITY, SESSIONS, """SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOURS) AS session_end, count(*) AS events
+  FROM numbered GROUP BY user_id, no""")
+
+
+@query("session_stream", SESSION_ROWS.replace("FROM numbered", "FROM numbered WHERE user_id IS NOT NULL"))
+def _(spark, folder):
+    return micros(appended(spark, streams.session_stream(flushed(spark, folder), "6 hours")), "session_start", "session_end")
+
+
+@query("sessions", with_(ACTIVITY, SESSIONS, """SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOURS) AS session_end, count(*) AS events
   FROM numbered GROUP BY user_id, no"""))
 def _(spark, folder):
     return micros(act.sessions(wh.activity(spark, folder), "6 hours"), "session_start", "session_end")
@@ -218,28 +246,54 @@ def landed_activity(spark, folder):
     return wh.activity_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))
 
 
+def untidy_arrivals(spark, folder):
+    """The activity in four files, a batch each: late ones after newer ones, every third event again, and events without an action."""
+    path = scratch_folder(spark) + "/landed"
+    events = wh.activity(spark, folder).drop("value")
+    noon = F.expr("hour(ts) >= 12")
+    wrong = events.filter("event_id % 7 = 0").withColumns({"event_id": -1 - F.col("event_id"), "action": F.lit(None).cast("string")})
+    for part in (events.filter(noon), events.filter(~noon | noon.isNull()), events.filter("event_id % 3 = 0"), wrong):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return streams.read_folder(spark, path, spark.read.parquet(path).schema, files=1)
+
+
 @query("interaction_ingest", with_(ACTIVITY, "SELECT event_id, user_id, action, item_id, epoch_us(ts) AS ts FROM activity WHERE user_id IS NOT NULL"))
 def _(spark, folder):
     out = scratch_folder(spark)
-    for done in streams.ingest_with_quarantine(landed_activity(spark, folder), f"{out}/good", f"{out}/bad", f"{out}/checkpoint", "40 days"):
-        done.awaitTermination()
-    return micros(spark.read.parquet(f"{out}/good"), "ts").drop("value")
+    streams.ingest_with_quarantine(untidy_arrivals(spark, folder), f"{out}/good", f"{out}/bad", f"{out}/checkpoint").awaitTermination()
+    return micros(spark.read.parquet(f"{out}/good"), "ts").drop("value", "batch", "day")
+
+
+@query("interaction_quarantine", with_(ACTIVITY, "SELECT -1 - event_id AS event_id, user_id, item_id FROM activity WHERE event_id % 7 = 0"))
+def _(spark, folder):
+    out = scratch_folder(spark)
+    streams.ingest_with_quarantine(untidy_arrivals(spark, folder), f"{out}/good", f"{out}/bad", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/bad").select("event_id", "user_id", "item_id")
 
 
 COUNTED = """count(*) FILTER (WHERE action = 'view') AS view_count, count(*) FILTER (WHERE action = 'add_watchlist') AS save_count,
   count(*) FILTER (WHERE action = 'search') AS search_count"""
 
 
-@query("activity_counts_windowed", with_(ACTIVITY, f"""SELECT epoch_us(date_trunc('hour', ts)) AS window_start, epoch_us(date_trunc('hour', ts) + INTERVAL 1 HOUR) AS window_end, {COUNTED}
-  FROM activity GROUP BY date_trunc('hour', ts)"""))
+HOURLY = with_(ACTIVITY, f"""SELECT epoch_us(date_trunc('hour', ts)) AS window_start, epoch_us(date_trunc('hour', ts) + INTERVAL 1 HOUR) AS window_end, {COUNTED}
+  FROM activity GROUP BY date_trunc('hour', ts)""")
+SLIDING = with_(ACTIVITY, """slots AS (SELECT *, time_bucket(INTERVAL 30 MINUTES, ts) - x * INTERVAL 30 MINUTES AS s FROM activity, (VALUES (0), (1)) AS t(x))""", f"""
+SELECT epoch_us(s) AS window_start, epoch_us(s + INTERVAL 1 HOUR) AS window_end, {COUNTED} FROM slots GROUP BY s""")
+
+
+@query("activity_counts_windowed", HOURLY)
 def _(spark, folder):
-    return micros(act.activity_counts(wh.activity(spark, folder)), "window_start", "window_end")
+    return micros(appended(spark, streams.activity_counts_windowed(flushed(spark, folder))), "window_start", "window_end")
+
+
+@query("activity_counts_sliding", SLIDING)
+def _(spark, folder):
+    return micros(appended(spark, streams.activity_counts_windowed(flushed(spark, folder), "1 hour", "30 minutes")), "window_start", "window_end")
 
 
-@query("activity_counts_sliding", with_(ACTIVITY, f"""slots AS (SELECT *, time_bucket(INTERVAL 30 MINUTES, ts) - x * INTERVAL 30 MINUTES AS s FROM activity, (VALUES (0), (1)) AS t(x))""", f"""
-SELECT epoch_us(s) AS window_start, epoch_us(s + INTERVAL 1 HOUR) AS window_end, {COUNTED} FROM slots GROUP BY s"""))
+@query("activity_counts", HOURLY)
 def _(spark, folder):
-    return micros(act.activity_counts(wh.activity(spark, folder), "1 hour", "30 minutes"), "window_start", "window_end")
+    return micros(act.activity_counts(wh.activity(spark, folder)), "window_start", "window_end")
 
 
 @query("trending_windowed", with_(ACTIVITY, """slots AS (SELECT item_id, time_bucket(INTERVAL 6 HOURS, ts) - x * INTERVAL 6 HOURS AS s FROM activity, (VALUES (0), (1), (2), (3)) AS t(x)),

@@ -134,6 +134,23 @@ def _(spark, folder):
     return _rounded(found, *MEASURES)
 
 
+def _item_means(train, pairs):
+    means = train.groupBy("item_id").agg(F.avg("rating").alias("score"))
+    return pairs.join(means, "item_id", "left").select("user_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@query("cross_validate_item_means", with_(RATINGS, """folded AS (SELECT *, (user_id * 7919 + item_id * 104729 + 42) % 5 AS fold FROM ratings),
+totals AS (SELECT item_id, fold, sum(rating) AS s, count(*) AS n FROM folded GROUP BY 1, 2),
+whole AS (SELECT item_id, sum(s) AS s, sum(n) AS n FROM totals GROUP BY 1),
+scored AS (SELECT f.fold, f.rating, CASE WHEN w.n > t.n THEN (w.s - t.s) / (w.n - t.n) ELSE 0 END AS score
+  FROM folded f JOIN whole w USING (item_id) JOIN totals t USING (item_id, fold))""", """
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, round(sqrt(avg((rating - score) * (rating - score))), 6) AS rmse, round(avg(abs(rating - score)), 6) AS mae FROM scored GROUP BY 1"""))
+def _(spark, folder):
+    """Every fold predicted by the items' means in the other folds."""
+    found = metrics.cross_validate(wh.ratings(spark, folder), _item_means, bucket=collab.id_bucket("user_id", "item_id", 5))
+    return found.withColumns({"rmse": F.round("rmse", 6), "mae": F.round("mae", 6)})
+
+
 @query("cross_validate")
 def _(spark, folder):
     def by_factors(train, pairs):

@@ -243,6 +243,34 @@ def _(spark, folder):
     return factor.mf_predict(r, *factor.mf_fit(r))
 
 
+# Given factors: the vectors of even ids are users, those of odd ids items; the scale makes some products pass both limits.
+_FACTORS = """cells AS (SELECT vec_id, unnest(embedding)::DOUBLE * 5 AS w, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+u AS (SELECT vec_id // 2 AS user_id, dim, w FROM cells WHERE vec_id % 2 = 0),
+v AS (SELECT vec_id // 2 AS item_id, dim, w FROM cells WHERE vec_id % 2 = 1),
+products AS (SELECT user_id, item_id, greatest(0, least(10, sum(u.w * v.w))) AS score FROM u JOIN v USING (dim) GROUP BY 1, 2),
+fresh AS (SELECT * FROM products ANTI JOIN ratings USING (user_id, item_id)),
+"""
+
+
+def given_factors(spark, folder):
+    rows = wh.embedding_rows(spark, folder)
+    return tuple(
+        rows.filter(f"id % 2 = {rest}").select(F.floor(F.col("id") / 2).alias(name), F.transform("ws", lambda w: w * 5).alias("factors"))
+        for rest, name in ((0, "user_id"), (1, "item_id"))
+    )
+
+
+@query("mf_predict_given", "WITH " + RATINGS + ", " + _FACTORS + """last AS (SELECT 1)
+SELECT user_id, item_id, round(coalesce(score, 0), 6) AS score FROM ratings LEFT JOIN products USING (user_id, item_id)""")
+def _(spark, folder):
+    return factor.mf_predict(wh.ratings(spark, folder), *given_factors(spark, folder)).withColumn("score", F.round("score", 6))
+
+
+@query("mf_recommend_given", "WITH " + RATINGS + ", " + _FACTORS + f"mf AS ({best('fresh', 10, 'user_id', 'user_id, item_id')}) SELECT * FROM mf")
+def _(spark, folder):
+    return factor.mf_recommend(wh.ratings(spark, folder), *given_factors(spark, folder))
+
+
 @query("mf_recommend")
 def _(spark, folder):
     r = wh.ratings(spark, folder)

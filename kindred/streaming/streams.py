@@ -4,12 +4,9 @@ Each reads a folder of landed files, keeps state only within its watermark and s
 in ``checkpoint``. ``availableNow`` empties the backlog and stops, which is how a resumable batch runs.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from kindred.functions.ranking import rank_by
@@ -39,13 +36,29 @@ def interaction_ingest(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
-def ingest_with_quarantine(events: DataFrame, good: str, bad: str, checkpoint: str, lateness: str = "1 day") -> list[StreamingQuery]:
-    """Valid events to one folder and malformed ones to another, so a bad row never stops the flow."""
-    wrong = "action is null or ts is null or event_id is null"
-    return [
-        run(interaction_ingest(events.filter(f"not ({wrong})"), lateness), good, f"{checkpoint}/good"),
-        run(events.filter(wrong), bad, f"{checkpoint}/bad"),
-    ]
+WRONG_EVENT = "action is null or ts is null or event_id is null"
+
+
+def ingest_with_quarantine(events: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
+    """Every valid event once to one folder, malformed ones to another, however late they arrive.
+
+    A batch writes folders of its own, by day of the event, and looks for known event ids only in the days it brings itself
+    and in earlier batches; a retry repeats it exactly. There is no watermark, so no late event is lost. Events without a
+    user are left out.
+    """
+    spark = events.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.filter(WRONG_EVENT).write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        fresh = batch.filter(f"user_id is not null and not ({WRONG_EVENT})").dropDuplicates(["event_id"]).withColumn("day", F.to_date("ts"))
+        if number > 0:
+            kind = fresh.schema["event_id"].dataType.simpleString()
+            stored = spark.read.schema(f"event_id {kind}, batch int, day date").parquet(good).filter(F.col("batch") < number)
+            known = stored.join(fresh.select("day").distinct(), "day", "left_semi").select("event_id")
+            fresh = fresh.join(known, "event_id", "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{good}/batch={number}")
+
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity_counts_windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, lateness: str = "1 day") -> DataFrame:
@@ -133,31 +146,3 @@ def catalogue_delta_stream(pages: DataFrame, path: str, checkpoint: str, key: st
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-class FunnelSteps(StatefulProcessor):
-    """Counts, per user, how many times the steps of the funnel were taken in order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("progress", "step int, completed int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        step, completed = self._state.get() if self._state.exists() else (0, 0)
-        for frame in rows:
-            for action in frame.sort_values(["ts", "event_id"])["action"]:
-                if action == act.FUNNEL[step]:
-                    step += 1
-                if step == len(act.FUNNEL):
-                    step, completed = 0, completed + 1
-        self._state.update((step, completed))
-        yield pd.DataFrame({"user_id": [key[0]], "step": [step], "completed": [completed]})
-
-    def close(self) -> None:
-        pass
-
-
-def funnel_stream(events: DataFrame) -> DataFrame:
-    """Ordered funnel per user with state; update mode."""
-    return events.filter("user_id is not null").groupBy("user_id").transformWithStateInPandas(
-        FunnelSteps(), "user_id bigint, step int, completed int", "Update", "None"
-    )

@@ -83,6 +83,42 @@ def test_closed_windows_and_sessions_equal_the_batch(spark, folder, tmp_path):
         assert sorted(got.select(batch.columns).collect()) == sorted(batch.collect())
 
 
+def test_append_mode_gives_closed_windows_and_drops_what_comes_after_them(spark, tmp_path):
+    path, kind = str(tmp_path / "in"), "event_id bigint, user_id bigint, action string, ts timestamp"
+    day = lambda text: __import__("datetime").datetime.fromisoformat(f"2024-05-{text}")
+    arrivals = [
+        [(1, 1, "view", day("01 10:05")), (2, 1, "view", day("01 10:20")), (3, 2, "search", day("01 12:00"))],
+        [(4, 1, "view", day("04 00:00"))], [(5, 1, "view", day("01 10:30")), (6, 1, "view", day("04 00:10"))],
+    ]
+    for rows in arrivals:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    counts = streams.activity_counts_windowed(streams.read_folder(spark, path, kind, files=1))
+    streams.run(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r["window_start"].day, r["window_start"].hour): (r["view_count"], r["search_count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 10): (2, 0), (1, 12): (0, 1)}  # event 5 is later than its closed window, the windows of day 4 are open
+
+
+def test_late_repeated_and_malformed_events(spark, tmp_path):
+    path, kind = str(tmp_path / "in"), "event_id bigint, user_id bigint, action string, ts timestamp"
+    day = lambda n: __import__("datetime").datetime(2024, 5, n)
+    for rows in ([(1, 1, "view", day(20)), (1, 1, "view", day(20))], [(2, 1, "view", day(2)), (1, 1, "view", day(20)), (3, 1, None, day(3))], [(4, None, "view", day(4)), (2, 1, "view", day(2))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    source = streams.read_folder(spark, path, kind, files=1)
+    for _ in range(2):
+        streams.ingest_with_quarantine(source, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [1, 2]
+    assert [r["event_id"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [3]
+
+
+def test_answers_within_an_interval(spark, tmp_path):
+    path, kind = str(tmp_path / "in"), "trace_id string, type string, data string, ts timestamp"
+    at = lambda minute: __import__("datetime").datetime(2024, 5, 1, 8, minute)
+    rows = [("a", "request", "q", at(0)), ("a", "prediction", "p", at(4)), ("b", "request", "q", at(0)), ("b", "prediction", "late", at(30)), ("c", "prediction", "alone", at(1))]
+    spark.createDataFrame(rows, kind).write.parquet(path)
+    streams.run(streams.answered_requests(streams.read_folder(spark, path, kind)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [(r["trace_id"], r["prediction"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "p")]
+
+
 def test_trending_traces_and_delta(spark, folder, tmp_path):
     streams.trending_windowed(landed(spark, folder, tmp_path), str(tmp_path / "t"), str(tmp_path / "tc"), lateness="40 days").awaitTermination()
     got = streams.read_trending(spark, str(tmp_path / "t")).select("window_start", "item_id", "n", "rank")
