@@ -129,10 +129,12 @@ def test_packing_ids_and_padding(spark, folder, texts):
     assert max(filled.values()) <= 1024 and sum(1024 - n for n in filled.values()) < 0.03 * sum(filled.values())
 
 
-def test_special_token_in_a_text():
+def test_cut_texts_have_the_tokenizer_s_ids():
     encoder = packing.Encoder(packing.tokenizer_path())
-    text = "a <|endoftext|>  b\n\n c's"
-    assert encoder.encode(text) == encoder.whole(text) and encoder.encode("x  y\n z's 12!!") == encoder.whole("x  y\n z's 12!!")
+    rng = random.Random(2)
+    texts = ["a <|endoftext|>  b\n\n c's", "", " ", "x  y\n z's 12!!", " lead", "trail ", "\n x", "a\n\n b", "it's we'll \u00a0x \u2003y", "é \u0301 ²3 ½"]
+    texts += ["".join(rng.choice(["a", "Bc", " ", " ", "\n", "'s", "1", "²", "é", "!", "\t", "\u00a0", "\u0301", "\x1c", "<|endoftext|>"]) for _ in range(30)) for _ in range(400)]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -88,7 +88,7 @@ def test_append_mode_gives_closed_windows_and_drops_what_comes_after_them(spark,
     day = lambda text: __import__("datetime").datetime.fromisoformat(f"2024-05-{text}")
     arrivals = [
         [(1, 1, "view", day("01 10:05")), (2, 1, "view", day("01 10:20")), (3, 2, "search", day("01 12:00"))],
-        [(4, 1, "view", day("04 00:00"))], [(5, 1, "view", day("01 10:30")), (6, 1, "view", day("04 00:10"))],
+        [(4, 1, "view", day("04 00:00"))], [(7, 1, "view", day("04 00:05"))], [(5, 1, "view", day("01 10:30")), (6, 1, "view", day("04 00:10"))],
     ]
     for rows in arrivals:
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
