@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.session import materialize
+
 RANK_DIGITS = 9
 OUTPUT_DIGITS = 6
 
@@ -40,20 +42,19 @@ ROWS_PER_SLICE = 100_000
 
 
 def number_rows(df: DataFrame, order: str, tie: str | None = None, name: str = "row") -> DataFrame:
-    """Number all rows from 0 by a numeric column without ordering the table in one task.
+    """Number all rows from 0 by a column without ordering the table in one task.
 
-    The column's range is cut into even slices of about ROWS_PER_SLICE rows; rows are numbered inside their
-    slice and shifted by the counts of the slices before it. Only those counts meet in one task.
+    Rows are dealt by sampled ranges of (order, tie), so an outlier or a crowded region does not fill one slice, and numbered
+    inside their slice; the counts of the slices before it are added. The dealt rows are checkpointed, as a second sample could
+    deal them otherwise. Only one count for ROWS_PER_SLICE rows meets in one task. Rows equal in both columns share a slice.
     """
-    bounds = df.agg(F.struct(
-        F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"), F.count(F.lit(1)).alias("n")
-    )).scalar()
-    width = F.greatest((bounds["hi"] - bounds["lo"]) / F.ceil(bounds["n"] / ROWS_PER_SLICE), F.lit(1e-9))
-    sliced = df.withColumn("_slice", F.floor((F.col(order).cast("double") - bounds["lo"]) / width))
+    keys = [order, *([tie] if tie else [])]
+    slices = max(1, -(-df.count() // ROWS_PER_SLICE))
+    sliced = materialize(df.repartitionByRange(slices, *keys).withColumn("_slice", F.spark_partition_id()))
     before = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_before", F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")
     ).drop("_n")
-    inside = Window.partitionBy("_slice").orderBy(order, *([tie] if tie else []))
+    inside = Window.partitionBy("_slice").orderBy(*keys)
     return sliced.join(before, "_slice").withColumn(
         name, F.col("_before") + F.row_number().over(inside) - 1
     ).drop("_slice", "_before")

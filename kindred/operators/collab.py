@@ -215,6 +215,7 @@ def neighbour_predictions(
     targets: DataFrame | None = None,
     hot_column: int = HOT_COLUMN,
     longest: int = sim.LONG_VECTOR,
+    columns: DataFrame | None = None,
 ) -> DataFrame:
     """Predict cells of a sparse matrix from the k most similar rows that fill the column.
 
@@ -223,13 +224,20 @@ def neighbour_predictions(
     nothing is known); without it every empty cell with a positive prediction is. ``best`` keeps that many
     per row (``per_target``) or per column. ``neighbours='skip_top'`` leaves out the most similar row.
 
+    ``targets`` (id) and ``columns`` (dim) limit what is predicted; ``asked`` limits both by itself. Only rows that fill one of
+    the columns take part as neighbours, and only those cells of theirs are sent.
+
     The grid is target blocks x column blocks. Columns that more than ``hot_column`` rows fill are worked on by
     slices of those rows instead; the slices' partial neighbour lists are merged afterwards. The
     similarities of rows with more than ``longest`` cells are summed by a join first and handed to the tasks.
     """
     skip_top = neighbours == "skip_top"
     size = sim.extent(cells)
-    filled = cells.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    if asked is not None:
+        targets = asked.select("id") if targets is None else targets
+        columns = asked.select("dim") if columns is None else columns
+    predicted = cells if columns is None else cells.join(columns.select("dim").distinct(), "dim", "left_semi")
+    filled = predicted.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
     shape = filled.agg(
         F.count(F.lit(1)).alias("columns"), F.coalesce(F.max("n"), F.lit(0)).alias("most"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
@@ -250,7 +258,7 @@ def neighbour_predictions(
     i, c = sim.block_of("id", across), sim.block_of("dim", down)
     is_hot = shape["most"] > hot_column
     hot = filled.filter(F.col("n") > hot_column).select("dim") if is_hot else None
-    plain = cells.join(hot, "dim", "left_anti") if is_hot else cells
+    plain = predicted.join(hot, "dim", "left_anti") if is_hot else predicted
 
     left = wanted.select(i.alias("i"), sim.every_block(down).alias("c"), F.lit(0).alias("side"),
                          F.col("id").alias("tid"), "dims", "ws")
@@ -356,7 +364,8 @@ def recommend_item_based(
 ) -> DataFrame:
     """Top-n unrated items of every user (or of ``targets``) by item-based prediction."""
     cells = item_cells(ratings)
-    found = neighbour_predictions(cells, k, neighbours, best=n, per_target=False, **options)
+    asked_for = None if targets is None else targets.select(F.col("user_id").alias("dim"))
+    found = neighbour_predictions(cells, k, neighbours, best=n, per_target=False, columns=asked_for, **options)
     found = found.select(F.col("item_id").alias("user_id"), F.col("target_id").alias("item_id"), "score")
     if targets is not None:
         found = found.join(targets.select("user_id").distinct(), "user_id", "left_semi")

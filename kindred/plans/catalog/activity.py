@@ -86,17 +86,34 @@ def _(spark, folder):
     return act.username_availability(wanted, wh.profiles(spark, folder))
 
 
-@query("constraint_report", with_(ACTIVITY, """SELECT 'username_length' AS rule, count(*) FILTER (WHERE length(c_name) NOT BETWEEN 3 AND 30) AS violations FROM customer
-UNION ALL SELECT 'username_format', count(*) FILTER (WHERE NOT regexp_full_match(c_name, '[a-zA-Z0-9_]+')) FROM customer
-UNION ALL SELECT 'bio_length', count(*) FILTER (WHERE length(text) > 500) FROM conversations
-UNION ALL SELECT 'item_id_format', 0 UNION ALL SELECT 'notes_length', count(*) FILTER (WHERE length(text) > 1000) FROM documents
-UNION ALL SELECT 'action_not_empty', 0 UNION ALL SELECT 'activity_item_id_format', 0 UNION ALL SELECT 'username_unique', count(*) FROM
-  (SELECT c_name FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'watchlist_unique', count(*) FROM (SELECT source FROM documents GROUP BY source, n_chars HAVING count(*) > 1)""")
-  .replace("FROM conversations", "FROM (SELECT c_mktsegment AS text FROM customer)"))
+@query("constraint_report", with_(ACTIVITY, """names AS (SELECT CASE c_custkey % 9 WHEN 0 THEN 'x' WHEN 1 THEN c_name ELSE 'user_' || (c_custkey // 2) END AS name,
+  repeat('b', CASE WHEN c_custkey % 4 = 0 THEN 501 ELSE 500 END) AS bio FROM customer)""", """
+notes AS (SELECT source AS user_id, CASE WHEN doc_id % 10 = 0 THEN 'n' ELSE '' END || n_chars AS item_id, text FROM documents)""", """
+acts AS (SELECT CASE WHEN event_id % 6 = 0 THEN '' ELSE action END AS action, CASE WHEN event_id % 8 = 0 THEN 'i-' || item_id ELSE CAST(item_id AS VARCHAR) END AS item_id FROM activity)""", """
+SELECT 'username_length' AS rule, count(*) FILTER (WHERE length(name) NOT BETWEEN 3 AND 30) AS violations FROM names
+UNION ALL SELECT 'username_format', count(*) FILTER (WHERE NOT regexp_full_match(name, '[a-zA-Z0-9_]+')) FROM names
+UNION ALL SELECT 'bio_length', count(*) FILTER (WHERE length(bio) > 500) FROM names
+UNION ALL SELECT 'item_id_format', count(*) FILTER (WHERE NOT regexp_full_match(item_id, '[0-9]+')) FROM notes
+UNION ALL SELECT 'notes_length', count(*) FILTER (WHERE length(text) > 1000) FROM notes
+UNION ALL SELECT 'action_not_empty', count(*) FILTER (WHERE action = '') FROM acts
+UNION ALL SELECT 'activity_item_id_format', count(*) FILTER (WHERE NOT regexp_full_match(item_id, '[0-9]+')) FROM acts
+UNION ALL SELECT 'username_unique', count(*) FROM (SELECT lower(name) FROM names GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'watchlist_unique', count(*) FROM (SELECT user_id FROM notes GROUP BY user_id, item_id HAVING count(*) > 1)"""))
 def _(spark, folder):
-    raw_names = wh.profiles(spark, folder).withColumn("username", F.col("display_name"))
-    notes = wh.table(spark, folder, "documents").select(F.col("source").alias("user_id"), F.col("n_chars").alias("item_id"), F.col("text").alias("notes"))
-    return act.constraint_report(raw_names, notes, wh.activity(spark, folder))
+    """Rows that break every rule."""
+    key, event = F.col("c_custkey"), F.col("event_id")
+    names = wh.table(spark, folder, "customer").select(
+        F.when(key % 9 == 0, "x").when(key % 9 == 1, F.col("c_name")).otherwise(F.concat(F.lit("user_"), F.floor(key / 2).cast("string"))).alias("username"),
+        F.repeat(F.lit("b"), F.when(key % 4 == 0, 501).otherwise(500)).alias("bio"),
+    )
+    notes = wh.table(spark, folder, "documents").select(
+        F.col("source").alias("user_id"), F.concat(F.when(F.col("doc_id") % 10 == 0, "n").otherwise(""), F.col("n_chars").cast("string")).alias("item_id"), F.col("text").alias("notes"),
+    )
+    item = F.col("item_id").cast("string")
+    acts = wh.activity(spark, folder).select(
+        F.when(event % 6 == 0, "").otherwise(F.col("action")).alias("action"), F.when(event % 8 == 0, F.concat(F.lit("i-"), item)).otherwise(item).alias("item_id"),
+    )
+    return act.constraint_report(names, notes, acts)
 
 
 @query("profile_defaults", """SELECT c_custkey AS user_id, CASE WHEN c_acctbal > 0 THEN c_name ELSE 'user_' || substring(CAST(c_custkey AS VARCHAR), 1, 8) END AS username,
@@ -218,7 +235,8 @@ def _(spark, folder):
 
 
 @query("training_log_report", """SELECT event_type AS api, CASE WHEN value > 10 THEN 'slow' ELSE 'ok' END AS status, count(*) AS calls,
-  round(avg(round(value * 1000, 2)), 4) AS mean_ms, round(max(round(value * 1000, 2)), 4) AS max_ms FROM events GROUP BY 1, 2""")
+  round(avg(round(value * 1000, 2)), 4) AS mean_ms, round(max(round(value * 1000, 2)), 4) AS max_ms,
+  round(quantile_cont(round(value * 1000, 2), 0.5), 4) AS p50_ms, round(quantile_cont(round(value * 1000, 2), 0.95), 4) AS p95_ms FROM events GROUP BY 1, 2""")
 def _(spark, folder):
     path = scratch_folder(spark) + "/log"
     calls = wh.table(spark, folder, "events").select(
@@ -227,7 +245,7 @@ def _(spark, folder):
     )
     files.trace_append(calls, path)
     report = act.api_report(files.read_traces(spark, path))
-    return report.withColumn("mean_ms", F.round("mean_ms", 4)).withColumn("max_ms", F.round("max_ms", 4))
+    return report.withColumns({c: F.round(c, 4) for c in ("mean_ms", "max_ms", "p50_ms", "p95_ms")})
 
 
 @query("training_runs", """SELECT 'run_' || o_orderkey AS run_id, 'rmse' AS metric, o_totalprice AS value FROM orders""")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kindred.functions.ranking import rank_by
 from kindred.operators import blend, collab, explain, factor
 from kindred.plans.catalog.lookups import ALL_LISTS, category_lists
-from kindred.plans.catalog.neighbours import liked_list
+from kindred.plans.catalog.neighbours import FACTORS, given_factors, liked_list
 from kindred.plans.catalog.registry import (
     CASTS, CATALOGUE, ITEM_SIMS, ITEM_TEXT, LIKED, RATINGS, TFIDF, USER_SIMS, best, for_liked, query, user_based, with_,
 )
@@ -31,7 +31,11 @@ def _(spark, folder):
 chosen AS (SELECT user_id, item_id, score FROM cf SEMI JOIN enough USING (user_id) UNION ALL
   SELECT user_id, item_id, score FROM cb ANTI JOIN enough USING (user_id))""", best("chosen", 10, "user_id", "user_id, item_id")))
 def _(spark, folder):
-    return blend.hybrid_switching(wh.ratings(spark, folder), *both_lists(spark, folder), min_user_ratings=40)
+    ratings = wh.ratings(spark, folder)
+    enough = blend.enough_ratings(ratings, 40)
+    cf = collab.recommend_user_based(ratings, 20, digits=None, targets=enough)
+    others = ratings.select("user_id").distinct().join(enough, "user_id", "left_anti")
+    return blend.hybrid_switching(ratings, cf, liked_list(spark, folder, 20, None, others), min_user_ratings=40)
 
 
 @query("hybrid_cascade", with_(*BOTH, """sure AS (SELECT user_id, item_id, score, 1 AS stage FROM cf WHERE score >= 8),
@@ -53,6 +57,14 @@ def _(spark, folder):
     return found.withColumns({c: F.round(c, 6) for c in ("cf_score", "cb_score")})
 
 
+@query("hybrid_mf_given", with_(RATINGS, CATALOGUE, CASTS, ITEM_TEXT, TFIDF, for_liked(20, False), FACTORS + f"""mf AS ({best('unrated', 20, 'user_id', 'user_id, item_id', digits=False)}),
+mixed AS (SELECT user_id, item_id, sum(score) AS score FROM (SELECT user_id, item_id, score / 10 * 0.6 AS score FROM mf
+  UNION ALL SELECT user_id, item_id, score * 0.4 FROM cb) GROUP BY 1, 2)""", best("mixed", 10, "user_id", "user_id, item_id")))
+def _(spark, folder):
+    mf = factor.mf_recommend(wh.ratings(spark, folder), *given_factors(spark, folder), n=20, digits=None)
+    return blend.hybrid_mf(mf, liked_list(spark, folder, 20, None))
+
+
 @query("hybrid_mf")
 def _(spark, folder):
     r = wh.ratings(spark, folder)
@@ -64,13 +76,16 @@ methods AS (SELECT 'cf' AS method, * FROM cf UNION ALL SELECT 'cb', * FROM cb UN
 requests AS (SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'cf' WHEN 'MACHINERY' THEN 'content' WHEN 'HOUSEHOLD' THEN 'hybrid' ELSE 'cb' END AS method,
   c_nationkey % 5 + 3 AS n FROM customer)""", "SELECT user_id, method, item_id, round(score, 6) AS score, rank FROM requests JOIN methods USING (user_id, method) WHERE rank <= n"))
 def _(spark, folder):
-    cf, cb = both_lists(spark, folder)
     method = F.when(F.col("c_mktsegment") == "BUILDING", "cf").when(F.col("c_mktsegment") == "MACHINERY", "content").when(
         F.col("c_mktsegment") == "HOUSEHOLD", "hybrid").otherwise("cb")
     asked = wh.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_id"), method.alias("method"), (F.col("c_nationkey") % 5 + 3).alias("n")
     )
-    return blend.dispatch(asked, {"cf": cf, "cb": cb, "hybrid": blend.hybrid_weighted(cf, cb, 20, 0.6, 0.4)}).withColumn("score", F.round("score", 6))
+    wants = lambda *names: asked.filter(F.col("method").isin(*names)).select("user_id").distinct()
+    cf = collab.recommend_user_based(wh.ratings(spark, folder), 20, digits=None, targets=wants("cf", "hybrid"))
+    cb = liked_list(spark, folder, 20, None, wants("cb", "content", "hybrid"))
+    both = [part.join(wants("hybrid"), "user_id", "left_semi") for part in (cf, cb)]
+    return blend.dispatch(asked, {"cf": cf, "cb": cb, "hybrid": blend.hybrid_weighted(*both, 20, 0.6, 0.4)}).withColumn("score", F.round("score", 6))
 
 
 @query("recs_denormalize", with_(*ALL_LISTS, """SELECT l.item_id, category, neighbour_id, score, rank, title, CAST(year AS VARCHAR) AS year,

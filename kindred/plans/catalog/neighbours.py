@@ -212,9 +212,12 @@ def item_model(spark, folder):
     return (items, *workflows.content_model(items))
 
 
-def liked_list(spark, folder, n, digits=6):
+def liked_list(spark, folder, n, digits=6, users=None):
+    """Content recommendations of all users, or of those given."""
     items, weights, size = item_model(spark, folder)
-    return content.recommend_for_liked(collab.user_liked(wh.ratings(spark, folder)), weights, items, size, n, digits=digits)
+    liked = collab.user_liked(wh.ratings(spark, folder))
+    liked = liked if users is None else liked.join(users, "user_id", "left_semi")
+    return content.recommend_for_liked(liked, weights, items, size, n, digits=digits)
 
 
 @query("recommend_for_liked", with_(RATINGS, CATALOGUE, CASTS, ITEM_TEXT, TFIDF, for_liked(10), "SELECT * FROM cb"))
@@ -244,11 +247,11 @@ def _(spark, folder):
 
 
 # Given factors: the vectors of even ids are users, those of odd ids items; the scale makes some products pass both limits.
-_FACTORS = """cells AS (SELECT vec_id, unnest(embedding)::DOUBLE * 5 AS w, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+FACTORS = """cells AS (SELECT vec_id, unnest(embedding)::DOUBLE * 5 AS w, generate_subscripts(embedding, 1) AS dim FROM embeddings),
 u AS (SELECT vec_id // 2 AS user_id, dim, w FROM cells WHERE vec_id % 2 = 0),
 v AS (SELECT vec_id // 2 AS item_id, dim, w FROM cells WHERE vec_id % 2 = 1),
 products AS (SELECT user_id, item_id, greatest(0, least(10, sum(u.w * v.w))) AS score FROM u JOIN v USING (dim) GROUP BY 1, 2),
-fresh AS (SELECT * FROM products ANTI JOIN ratings USING (user_id, item_id)),
+unrated AS (SELECT * FROM products ANTI JOIN ratings USING (user_id, item_id)),
 """
 
 
@@ -260,13 +263,13 @@ def given_factors(spark, folder):
     )
 
 
-@query("mf_predict_given", "WITH " + RATINGS + ", " + _FACTORS + """last AS (SELECT 1)
+@query("mf_predict_given", "WITH " + RATINGS + ", " + FACTORS + """last AS (SELECT 1)
 SELECT user_id, item_id, round(coalesce(score, 0), 6) AS score FROM ratings LEFT JOIN products USING (user_id, item_id)""")
 def _(spark, folder):
     return factor.mf_predict(wh.ratings(spark, folder), *given_factors(spark, folder)).withColumn("score", F.round("score", 6))
 
 
-@query("mf_recommend_given", "WITH " + RATINGS + ", " + _FACTORS + f"mf AS ({best('fresh', 10, 'user_id', 'user_id, item_id')}) SELECT * FROM mf")
+@query("mf_recommend_given", "WITH " + RATINGS + ", " + FACTORS + f"mf AS ({best('unrated', 10, 'user_id', 'user_id, item_id')}) SELECT * FROM mf")
 def _(spark, folder):
     return factor.mf_recommend(wh.ratings(spark, folder), *given_factors(spark, folder))
 

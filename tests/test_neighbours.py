@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import ranking
 from kindred.operators import collab, factor
 from kindred.operators import similarity as sim
 
@@ -146,6 +147,25 @@ def test_targets_limit_the_answer(spark):
     assert {tuple(r) for r in collab.recommend_user_based(ratings, targets=some).collect()} == every
 
 
+def test_asked_cells_and_columns_limit_the_work_and_not_the_answer(spark):
+    ratings = frame(spark, random_ratings(9))
+    some = spark.createDataFrame([(3,), (4,), (999,)], "user_id bigint")
+    every = {tuple(r) for r in collab.recommend_item_based(ratings).collect() if r["user_id"] in (3, 4)}
+    assert {tuple(r) for r in collab.recommend_item_based(ratings, targets=some).collect()} == every
+    one = ratings.filter("user_id = 5 and item_id = 0")
+    whole = pairs(collab.predict_user_based(ratings, ratings))
+    for options in ({}, {"hot_column": 10}):
+        assert pairs(collab.predict_user_based(ratings, one, **options)) == {(5, 0): whole[5, 0]}
+
+
+def test_row_numbers_with_an_outlier(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_SLICE", 10)
+    rows = spark.range(95).select(F.when(F.col("id") == 94, 1e300).otherwise(F.col("id") % 50).alias("x"), "id")
+    got = ranking.number_rows(rows, "x", "id").orderBy("row").collect()
+    assert [r["row"] for r in got] == list(range(95)) and [(r["x"], r["id"]) for r in got] == sorted((r["x"], r["id"]) for r in got)
+    assert got[-1]["id"] == 94
+
+
 def test_svd_reconstruction_of_the_demo(demo):
     users, items = factor.mf_fit(demo, k=2, oversample=4, iterations=6)
     names = sorted({u for u, _ in DEMO}), sorted({i for _, i in DEMO})
