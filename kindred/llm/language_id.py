@@ -4,35 +4,56 @@ A text is the mean of the embeddings of all its words' character n-grams. The so
 the training did not see, and rejects texts whose calibrated score is below a threshold found on the same rows.
 """
 
+import unicodedata
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 8192
+BUCKET_BITS = 13
+BUCKETS = 1 << BUCKET_BITS
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
 ROWS_PER_LANGUAGE = 1500
 EPOCHS = 12
 BATCH = 64
 SMOOTHING = 0.02
-CACHE_ENTRIES = 300_000
 UNKNOWN = "und"
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's character n-grams, with marks for its start and end."""
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
-
-
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+PRIME, SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: is it a letter, and is it part of a word (a letter or a mark)."""
+    points = [chr(i) for i in range(0x110000)]
+    letter = np.fromiter((c.isalpha() for c in points), bool, len(points))
+    return letter, letter | np.fromiter((unicodedata.category(c)[0] == "M" for c in points), bool, len(points))
+
+
+def subwords(text: str) -> np.ndarray:
+    """Buckets of the character n-grams of all words, each word between two marks; none for a text without a letter."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter, word = _classes()
+    if not letter[points].any():
+        return np.zeros(0, np.int64)
+    inside = word[points]
+    points = np.where(inside, points, np.uint32(1))
+    # Of neighbouring marks one is enough.
+    keep = inside | np.concatenate([[True], inside[:-1]])
+    points, inside = points[keep], inside[keep]
+    out = []
+    hashed, good = points * SPREAD, inside
+    for n in GRAMS:
+        if n > 1:
+            hashed = hashed[:-1] * PRIME + points[n - 1 :] * SPREAD
+            # A mark may only be the first or the last sign; a longer gram must not run over it.
+            good = (inside[:-1] | inside[1:]) if n == 2 else good[:-1] & inside[n - 2 : len(points) - 1]
+        out.append((hashed[good] * SPREAD) >> np.uint32(32 - BUCKET_BITS))
+    return np.concatenate(out).astype(np.int64)
 
 
 @dataclass
@@ -43,36 +64,15 @@ class Model:
     temperature: float
     threshold: float
 
-    def scorer(self):
-        """text -> (language, calibrated score); the word cache lives as long as the task."""
-        cache: dict[str, int] = {}
-        sums, sizes = np.zeros((1024, len(self.languages))), np.zeros(1024)
-
-        def score(text: str | None) -> tuple[str, float]:
-            nonlocal sums, sizes
-            words = words_of(text) if text else []
-            if not words or not self.languages:
-                return UNKNOWN, 0.0
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            at = list(map(cache.get, words))
-            if None in at:
-                for k, word in enumerate(words):
-                    if at[k] is None:
-                        at[k] = cache.get(word)
-                        if at[k] is None:
-                            at[k] = cache[word] = len(cache)
-                            if at[k] >= len(sizes):
-                                sums, sizes = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([sizes, np.zeros_like(sizes)])
-                            grams = subwords(word)
-                            sums[at[k]], sizes[at[k]] = self.logits[grams].sum(0), len(grams)
-            at = np.array(at)
-            z = sums[at].sum(0) / sizes[at].sum() + self.bias
-            p = softmax(z[None] / self.temperature)[0]
-            best = int(p.argmax())
-            return self.languages[best], float(p[best])
-
-        return score
+    def score(self, text: str | None) -> tuple[str, float]:
+        """The language and its calibrated score."""
+        grams = subwords(text) if text and self.languages else ()
+        if not len(grams):
+            return UNKNOWN, 0.0
+        z = np.bincount(grams, minlength=BUCKETS) @ self.logits / len(grams) + self.bias
+        p = softmax(z[None] / self.temperature)[0]
+        best = int(p.argmax())
+        return self.languages[best], float(p[best])
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -93,8 +93,8 @@ def sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
         for batch in batches:
             out = {"lang": [], "key": [], "buckets": [], "counts": []}
             for lang, id_, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                grams = [g for w in words_of(text) for g in subwords(w)]
-                if grams:
+                grams = subwords(text)
+                if len(grams):
                     buckets, counts = np.unique(grams, return_counts=True)
                     out["lang"].append(lang)
                     out["key"].append(str(id_))
@@ -175,9 +175,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def judge(batches):
-        score = model.scorer()
         for batch in batches:
-            out = [score(text) for text in batch.column(1).to_pylist()]
+            out = [model.score(text) for text in batch.column(1).to_pylist()]
             lang, value = [o[0] for o in out], [o[1] for o in out]
             rejected = [o[0] == UNKNOWN or o[1] < model.threshold for o in out]
             columns = [batch.column(0), pa.array(lang, pa.string()), pa.array(value, pa.float64()), pa.array(rejected, pa.bool_())]
@@ -207,9 +206,8 @@ def accepted(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
     at = docs.columns.index("text")
 
     def keep(batches):
-        score = model.scorer()
         for batch in batches:
-            judged = (score(text) for text in batch.column(at).to_pylist())
+            judged = (model.score(text) for text in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and value >= model.threshold for lang, value in judged], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
