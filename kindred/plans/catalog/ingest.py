@@ -38,12 +38,33 @@ def _(spark, folder):
     return summary.withColumn("ratings_per_user", F.round("ratings_per_user", 6))
 
 
-@query("synth_catalogue")
+def _drawn(salt: str, low: int, high: int, *keys: str) -> str:
+    text = " || '|' || ".join([*keys, f"'{salt}42'"])
+    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {high - low + 1} + {low})"
+
+
+def _word(salt: str) -> str:
+    return f"[{', '.join(repr(w) for w in files.MADE_UP)}][{_drawn(salt, 1, len(files.MADE_UP), 'n')}]"
+
+
+@query("synth_catalogue", f"""WITH rows AS (SELECT p_partkey + 1 AS n FROM part),
+genres AS (SELECT n, {_word('g1')} AS g1, {_word('g2')} AS g2 FROM rows)
+SELECT 'made' || lpad(CAST(n AS VARCHAR), 9, '0') AS imdb_id, {_word('t1')} || ' ' || {_word('t2')} || ' ' || n AS title, CAST({_drawn('year', 1970, 2023, 'n')} AS INTEGER) AS year,
+  CASE WHEN g1 = g2 THEN g1 ELSE g1 || ', ' || g2 END AS genre, {_drawn('rating', 50, 95, 'n')} / 10 AS imdb_rating, CAST({_drawn('meta', 30, 100, 'n')} AS INTEGER) AS metascore,
+  {_drawn('runtime', 80, 180, 'n')} || ' min' AS runtime, {_word('d1')} || ' ' || {_drawn('d2', 1, 9, 'n')} AS director,
+  {_word('a1')} || ' ' || {_drawn('a2', 10, 19, 'n')} || ', ' || {_word('a3')} || ' ' || {_drawn('a4', 20, 29, 'n')} AS actors,
+  {_word('p1')} || ' and ' || {_word('p2')} || ' meet ' || {_word('p3')} AS plot, ['xx', 'yy'][{_drawn('language', 1, 2, 'n')}] AS language,
+  'Land ' || {_drawn('country', 1, 5, 'n')} AS country, {_drawn('votes', 1000, 100000, 'n')} AS imdb_votes FROM genres""")
 def _(spark, folder):
     return files.synth_catalogue(wh.table(spark, folder, "part").select((F.col("p_partkey") + 1).alias("n")))
 
 
-@query("synth_ratings")
+@query("synth_ratings", f"""WITH ids AS (SELECT item_id, row_number() OVER (ORDER BY {_drawn('item', 0, 2**32 - 1, 'item_id')}, item_id) - 1 AS place FROM (SELECT DISTINCT p_partkey AS item_id FROM part)),
+slots AS (SELECT user_id, {_drawn('count', 5, 29, 'user_id')} AS wanted, slot, CAST('0x' || substr(md5(user_id || '|' || slot || '|slot42'), 1, 8) AS BIGINT) % (SELECT count(*) FROM ids) AS place
+  FROM (SELECT DISTINCT c_custkey AS user_id FROM customer), range(0, 117) AS t(slot)),
+drawn AS (SELECT user_id, wanted, place, min(slot) AS slot FROM slots GROUP BY 1, 2, 3),
+kept AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY slot) <= wanted)
+SELECT user_id, item_id, CAST({_drawn('rating', 1, 10, 'user_id', 'item_id')} AS DOUBLE) AS rating FROM kept JOIN ids USING (place)""")
 def _(spark, folder):
     return files.synth_ratings(wh.profiles(spark, folder), wh.catalogue(spark, folder))
 

@@ -74,8 +74,14 @@ MADE_UP = ["Harbour", "Meadow", "Orbit", "Lantern", "Quarry", "Velvet", "Winter"
 
 
 def _draw(seed: int, salt: str, low: int, high: int, *keys: str) -> Column:
-    """Repeatable integer in low..high from a row's key."""
-    return F.pmod(F.xxhash64(*keys, F.lit(f"{salt}{seed}")), F.lit(high - low + 1)) + low
+    """Repeatable integer in low..high from a row's key, by a digest that other engines have too."""
+    return F.pmod(_digest(f"{salt}{seed}", *keys), F.lit(high - low + 1)) + low
+
+
+def _digest(salt: str, *keys: str) -> Column:
+    """32 bits of the MD5 of ``key|key|salt``."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def synth_catalogue(rows: DataFrame, seed: int = 42) -> DataFrame:
@@ -113,13 +119,13 @@ def synth_ratings(users: DataFrame, items: DataFrame, low: int = 5, high: int =
     Each user draws ``high`` numbered slots and looks their items up by position, so users never meet the
     whole catalogue. Slots that hit the same item count once; spare slots make up for them.
     """
-    ids = items.select("item_id").distinct().withColumn("h", F.xxhash64("item_id"))
+    ids = items.select("item_id").distinct().withColumn("h", _digest(f"item{seed}", "item_id"))
     size = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
     placed = number_rows(ids, "h", "item_id", "place").drop("h")
     slots = users.select("user_id").distinct().select(
         "user_id", _draw(seed, "count", low, high, "user_id").alias("wanted"),
         F.explode(F.sequence(F.lit(0), F.lit(4 * high))).alias("slot"),
-    ).withColumn("place", F.pmod(F.xxhash64("user_id", "slot", F.lit(f"slot{seed}")), size))
+    ).withColumn("place", F.pmod(_digest(f"slot{seed}", "user_id", "slot"), size))
     drawn = slots.groupBy("user_id", "wanted", "place").agg(F.min("slot").alias("slot"))
     kept = rank_by(drawn, high, ["user_id"], [F.col("slot")]).filter(F.col("rank") <= F.col("wanted"))
     return kept.join(placed, "place").select(
