@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+# The bracket is ten times wider than the percentiles' largest error in rank, so it always holds the middle.
+BRACKET, PERCENTILE_ACCURACY = 0.001, 10_000
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column that has values: (feature, lo, hi, median).
 
-    The values are counted first, so repeats collapse before any shuffle. The median's rank is then
-    located in a histogram of at most BUCKETS rows per column, and only the values of the one or two
-    buckets that hold it are ordered.
+    The values are counted first, so repeats collapse before any shuffle. Approximate percentiles just
+    below and above the middle bracket the median, whatever outliers there are; its rank is located in a
+    histogram of at most BUCKETS rows within the bracket, and only the values of the one or two buckets
+    that hold it are ordered.
     """
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     counts = (
@@ -25,11 +28,14 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     span = counts.groupBy("feature").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
     )
-    width = F.col("hi") - F.col("lo")
-    slot = F.when(width == 0, 0).otherwise(
-        F.floor((F.col("value") - F.col("lo")) / F.when(width == 0, 1.0).otherwise(width) * (BUCKETS - 1))
+    brackets = doubles.agg(*[F.percentile_approx(c, [0.5 - BRACKET, 0.5 + BRACKET], PERCENTILE_ACCURACY).alias(c) for c in columns])
+    brackets = brackets.unpivot([], list(columns), "feature", "bracket").select(
+        "feature", F.col("bracket")[0].alias("from"), F.col("bracket")[1].alias("upto")
     )
-    slotted = counts.join(span, "feature").withColumn("slot", slot.cast("int"))
+    width = F.col("upto") - F.col("from")
+    place = F.floor((F.col("value") - F.col("from")) / F.nullif(width, F.lit(0.0)) * (BUCKETS - 1))
+    slot = F.when(F.col("value") < F.col("from"), -1).when(F.col("value") > F.col("upto"), BUCKETS).otherwise(F.coalesce(place, F.lit(0)))
+    slotted = counts.join(span, "feature").join(brackets, "feature").withColumn("slot", slot.cast("int"))
     running = Window.partitionBy("feature").orderBy("slot")
     first_rank = F.floor((F.col("total") - 1) / 2)
     last_rank = F.floor(F.col("total") / 2)

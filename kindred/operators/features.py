@@ -21,14 +21,17 @@ def genre_vocabulary(items: DataFrame) -> DataFrame:
 def genre_flags(items: DataFrame, match: str = "token") -> DataFrame:
     """Long one-hot form: (item_id, name) for every genre an item carries.
 
-    ``match='substring'`` also sets a genre whose name only occurs inside the genre string. That form meets
-    distinct genre strings with the vocabulary, both far smaller than the catalogue.
+    ``match='substring'`` also sets a genre whose name only occurs inside the genre string. That form joins the substrings of
+    the distinct genre strings with the vocabulary.
     """
     if match == "token":
         return items.select("item_id", F.explode(known_names(F.col("genre"))).alias("name"))
     strings = items.select("genre").distinct()
-    names = genre_vocabulary(items).agg(F.array_sort(F.collect_set("name")).alias("names")).scalar()
-    hits = strings.select("genre", F.explode(names).alias("name")).filter(F.contains("genre", "name"))
+    upto = lambda n: F.sequence(F.lit(1), n)
+    size = F.length("genre")
+    parts = F.flatten(F.transform(upto(size), lambda i: F.transform(upto(size - i + 1), lambda n: F.substring(F.col("genre"), i, n))))
+    found = strings.filter(size > 0).select("genre", F.explode(F.array_distinct(parts)).alias("name"))
+    hits = found.join(genre_vocabulary(items).select("name").distinct(), "name", "left_semi")
     return items.select("item_id", "genre").join(hits, "genre").select("item_id", "name")
 
 

@@ -1,9 +1,7 @@
 """Titles: resolving, indexing, linking and completing."""
 
 from collections.abc import Callable
-import difflib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -57,12 +55,6 @@ def edit_ratio(query: Column, title: Column) -> Column:
     return 1 - F.levenshtein(query, title) / F.greatest(F.length(query), F.length(title))
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(query: pd.Series, title: pd.Series) -> pd.Series:
-    """Matching-block ratio of the standard library."""
-    return pd.Series([difflib.SequenceMatcher(None, t, q).ratio() for q, t in zip(query, title)])
-
-
 def autocomplete(
     queries: DataFrame, items: DataFrame, n: int = 10, cutoff: float = 0.4,
     ratio: Callable[[Column, Column], Column] = edit_ratio,
@@ -70,15 +62,14 @@ def autocomplete(
     """Completions of each query of two or more characters: (query, item_id, title, year, rank).
 
     Up to n titles that start with the query, filled up with similar titles, then their items. Prefixes are
-    an equi-join on the exploded prefixes of the distinct titles. Similar titles must have a length within
-    the cutoff's reach, which bounds both ratios, so they meet on their length.
+    an equi-join on the prefixes of the distinct titles that have the length of a query. Similar titles must have a length within
+    the cutoff's reach, which bounds the ratio, so they meet on their length.
     """
     asked = queries.select(F.lower(F.trim("query")).alias("query")).filter(F.length("query") >= 2).distinct()
     titles = items.select("title").distinct().withColumn("key", F.lower("title"))
-    lengths = F.sequence(F.lit(2), F.length("key"))
-    prefixes = titles.filter(F.length("key") >= 2).select(
-        "title", F.explode(F.transform(lengths, lambda x: F.substring(F.col("key"), F.lit(1), x))).alias("query")
-    )
+    sizes = asked.select(F.length("query").alias("size")).distinct().agg(F.collect_list("size")).scalar()  # the few lengths asked for
+    lengths = F.explode(F.array_intersect(F.sequence(F.lit(2), F.length("key")), sizes)).alias("size")
+    prefixes = titles.filter(F.length("key") >= 2).select("title", "key", lengths).select("title", F.substring(F.col("key"), F.lit(1), F.col("size")).alias("query"))
     starts = rank_by(prefixes.join(asked, "query", "left_semi"), n, ["query"], [F.col("title").asc()]).withColumn("stage", F.lit(1))
     have = starts.groupBy("query").agg(F.count(F.lit(1)).alias("have"))
     short = asked.join(have, "query", "left").filter(F.coalesce("have", F.lit(0)) < n)

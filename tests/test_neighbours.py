@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.functions import ranking
+from kindred.functions import ranking, stats
 from kindred.operators import collab, factor
 from kindred.operators import similarity as sim
 
@@ -225,3 +225,11 @@ def test_split_and_centering(spark):
     assert sorted(split.collect()) == sorted(again.collect())
     centred = collab.mean_center(ratings).groupBy("user_id").agg(F.sum("rating").alias("s"))
     assert centred.filter("abs(s) > 1e-9").count() == 0
+
+
+def test_medians_with_extreme_outliers(spark):
+    values = [1e300, -1e300, *range(100), *[7.0] * 40]
+    rows = spark.createDataFrame([(float(v), None if v == 7.0 else float(v)) for v in values], "a double, b double")
+    got = {r["feature"]: (r["lo"], r["hi"], r["median"]) for r in stats.column_stats(rows, ["a", "b"]).collect()}
+    b = [v for v in values if v != 7.0]
+    assert got == {"a": (-1e300, 1e300, float(np.median(values))), "b": (-1e300, 1e300, float(np.median(b)))}
