@@ -114,15 +114,15 @@ def test_actors(titles, spark):
 
 def test_blends(spark):
     kind = "user_id string, item_id string, score double"
-    cf = spark.createDataFrame([("u", "m3", 5.0), ("u", "m4", 4.0)], kind)
-    cb = spark.createDataFrame([("u", "m3", 1.0), ("u", "m4", 1.0), ("u", "m5", 1.0)], kind)
-    scores = lambda df: {r["item_id"]: r["score"] for r in df.collect()}
-    assert scores(blend.hybrid_weighted(cf, cb, 10, 0.6, 0.4)) == {"m3": 3.4, "m4": 2.8, "m5": 0.4}
-    assert scores(blend.feature_combination(cf, cb)) == {"m3": 3.6, "m4": 3.0, "m5": 0.5}
-    ratings = spark.createDataFrame([("u", "m1", 5.0), ("u", "m2", 4.0)], "user_id string, item_id string, rating double")
-    assert scores(blend.hybrid_switching(ratings, cf, cb, min_user_ratings=2)) == {"m3": 5.0, "m4": 4.0}
-    assert set(scores(blend.hybrid_switching(ratings, cf, cb, min_user_ratings=3))) == {"m3", "m4", "m5"}
-    assert [r["item_id"] for r in blend.hybrid_cascade(cf, cb, 3, 4.5).orderBy("rank").collect()] == ["m3", "m4", "m5"]
+    cf = spark.createDataFrame([("u", "p", 8.0), ("u", "q", 2.0)], kind)
+    cb = spark.createDataFrame([("u", "p", 0.5), ("u", "q", 1.0), ("u", "r", 0.25)], kind)
+    scores = lambda df: {r["item_id"]: pytest.approx(r["score"]) for r in df.collect()}
+    assert scores(blend.hybrid_weighted(cf, cb, 10, 0.6, 0.4)) == {"p": 5.0, "q": 1.6, "r": 0.1}
+    assert scores(blend.feature_combination(cf, cb)) == {"p": 5.1, "q": 1.8, "r": 0.125}
+    ratings = spark.createDataFrame([("u", "a", 3.0), ("u", "b", 9.0), ("u", "c", 0.0)], "user_id string, item_id string, rating double")
+    assert scores(blend.hybrid_switching(ratings, cf, cb, min_user_ratings=2)) == {"p": 8.0, "q": 2.0}
+    assert set(scores(blend.hybrid_switching(ratings, cf, cb, min_user_ratings=3))) == {"p", "q", "r"}
+    assert [r["item_id"] for r in blend.hybrid_cascade(cf, cb, 3, 4.5).orderBy("rank").collect()] == ["p", "q", "r"]
 
 
 def test_credits(spark):
