@@ -10,18 +10,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.blocks import found, gathered, in_blocks, pack, repeated, unpack
+from kindred.llm.blocks import BLOCK_BYTES, found, gathered, in_blocks, repeated
 from kindred.llm.components import components
 from kindred.llm.hashing import chunks, hash_words, rolling, split_words
 from kindred.session import materialize
 
 WIDTH, PERCENT = 3, 90
-SIGNATURE_BITS = 1024
+MOST_BITS = 16
 TILE_ROWS = 4096
 CELL_ROWS = 512
+# Bits of a counted shingle beyond those that number the bytes of the table.
+COUNT_BITS = 18
+PAIRS_AT_ONCE = 500
 
 
 def shingle_sets(texts: list, width: int):
@@ -45,6 +49,10 @@ def linked(a: int, b: int, common: int, percent: int) -> bool:
     return (100 + percent) * common >= percent * (a + b)
 
 
+def _linked_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return linked(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), percent)
+
+
 def band_limits(percent: int, top: int = 1 << 40) -> np.ndarray:
     """Lower limits of the size bands: linked sets are in the same band or in neighbouring ones."""
     out = [1]
@@ -54,34 +62,38 @@ def band_limits(percent: int, top: int = 1 << 40) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """A bitmap of the shingles; of large sets only of those with small hashes, so that about half the bits stay free."""
-    share = min(1.0, SIGNATURE_BITS / 2 / max(1, len(shingles)))
-    chosen = shingles[: np.searchsorted(shingles, np.uint64(min(2**64 - 1, int(share * 2**64))), "right")]
-    bits = np.zeros(SIGNATURE_BITS, np.uint8)
-    bits[(chosen % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = 1
+    """A bitmap with two to four bits for each shingle, as far as MOST_BITS go."""
+    bits = np.zeros(1 << min(MOST_BITS, max(8, (2 * len(shingles) - 1).bit_length())), np.uint8)
+    bits[(shingles & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """The bitmap that fewer bits would have given."""
+    out = np.frombuffer(bits, np.uint8)
+    while len(out) > width:
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
+    return out
+
+
 class Tile:
     """Sizes and signatures of a tile's classes."""
 
-    def __init__(self, sizes, signatures: list[bytes], percent: int) -> None:
-        self.n = np.asarray(sizes, np.int64)
-        self.bits = np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
-        self.percent = percent
+    def __init__(self, n: np.ndarray, bits: list[bytes], percent: int) -> None:
+        width = min(map(len, bits))
+        self.n, self.percent = n, percent
+        self.bits = np.stack([_folded(b, width) for b in bits]).view(np.uint64)
 
     def passing(self, k: int, others: np.ndarray) -> np.ndarray:
-        """Which of the others can be linked with row k, by size and by the bound on the overlap."""
+        """Which of the other rows can be linked with row k, by size and by the bound on the overlap.
+
+        A bit that one signature has and the other lacks stands for a shingle at least that is not shared.
+        """
         n, m = self.n[k], self.n[others]
-        near = others[(100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))]
-        m = self.n[near]
-        mine, theirs = self.bits[k], self.bits[near]
-        only_mine = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64)
-        only_theirs = np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
-        # A set covers hashes up to a limit that falls with its size: of the smaller set, bits above the larger one's limit say nothing.
-        alike = (n == m) | (np.maximum(n, m) <= SIGNATURE_BITS // 2)
-        most = np.where(alike, np.minimum(n - only_mine, m - only_theirs), np.where(n < m, m - only_theirs, n - only_mine))
-        return near[linked(n, m, most, self.percent)]
+        only_n = np.bitwise_count(self.bits[k] & ~self.bits[others]).sum(1, dtype=np.int64)
+        only_m = np.bitwise_count(self.bits[others] & ~self.bits[k]).sum(1, dtype=np.int64)
+        most = np.minimum(n - only_n, m - only_m)
+        return (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & linked(n, m, most, self.percent)
 
     def forest(self) -> list[tuple[int, int]]:
         """Pairs that connect everything which passing pairs connect."""
@@ -90,30 +102,35 @@ class Tile:
             queue, free = [int(free[0])], free[1:]
             while queue and len(free):
                 k = queue.pop()
-                got = self.passing(k, free)
-                if len(got):
-                    out.extend((k, int(g)) for g in got)
-                    queue.extend(got.tolist())
-                    free = np.setdiff1d(free, got, assume_unique=True)
+                mask = self.passing(k, free)
+                if mask.any():
+                    got = free[mask].tolist()
+                    out.extend((k, g) for g in got)
+                    queue.extend(got)
+                    free = free[~mask]
         return out
 
 
-def _groups(batches, column: str):
-    """Tables of consecutive equal values in sorted batches; groups of one row are left out."""
+def _tiles(batches, column: str, percent: int):
+    """(table, tile) for each run of equal values in batches sorted by the column; runs of one row are left out."""
     held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        if not table.num_rows:
+    for batch in _and_end(batches):
+        table = held if batch is None else pa.Table.from_batches([batch])
+        if batch is not None and held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        if table is None or not table.num_rows:
             continue
-        ids = table.column(column).to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b - a > 1:
-                yield table.slice(a, b - a)
-        held = table.slice(edges[-1])
-    if held is not None and held.num_rows > 1:
-        yield held
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(table.column(column).to_numpy()) != 0, [True]]))
+        held = table.slice(edges[-2])
+        for start, end in zip(edges[: None if batch is None else -2], edges[1 : None if batch is None else -1], strict=False):
+            if end - start > 1:
+                part = table.slice(start, end - start)
+                yield part, Tile(part.column("n").to_numpy(), part.column("bits").to_pylist(), percent)
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -135,10 +152,11 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _distinct_texts(docs: DataFrame, width: int) -> DataFrame:
-    """(key, text) with one text of each class for each task."""
+    """(key, compressed text) with one text of each class for each task."""
 
     def first(batches):
         seen: set = set()
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -146,145 +164,163 @@ def _distinct_texts(docs: DataFrame, width: int) -> DataFrame:
             for text, shingles in zip(texts, shingle_sets(texts, width), strict=True):
                 if len(shingles) and (key := set_key(shingles)) not in seen:
                     seen.add(key)
-                    keep.append((key, text))
+                    keep.append((key, press.compress(text)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.binary()), pa.array([t for _, t in keep], pa.binary())], names=["key", "text"])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(first, "key binary, text binary")
 
 
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, n, bits, shingles and the prefix tokens that other classes have too, of each class that has such tokens."""
+    """key, n, band, bits, compressed text and the prefix tokens that other classes have too, of each class that has such tokens.
+
+    Shingles are counted by some leading bits of their hashes: any order of the shingles will do for the prefix if it is the same
+    everywhere, and shorter keys take less space. There are enough bits that few shingles seem frequent by chance, at any size
+    of the table.
+    """
     blocks, n_blocks = in_blocks(_distinct_texts(docs, width), by=["key"])
     limits = band_limits(percent)
+    dropped = np.uint64(max(0, 64 - COUNT_BITS - (n_blocks * BLOCK_BYTES).bit_length()))
 
     def sets_of(table):
         first: dict = {}
         for key, text in zip(table.column("key").to_pylist(), table.column("text").to_pylist(), strict=True):
             first.setdefault(key, text)
-        return list(first), shingle_sets(list(first.values()), width)
+        return first, _sets(first.values(), width)
 
     def keys_of(table):
-        return np.concatenate([np.zeros(0, np.uint64), *sets_of(table)[1]])
+        return np.concatenate([np.zeros(0, np.uint64), *(s >> dropped << dropped for s in sets_of(table)[1])])
 
     def prefix(left, right):
         shared, df = gathered(right)
         out = []
-        for key, shingles in zip(*sets_of(left), strict=True):
+        first, sets = sets_of(left)
+        for (key, text), shingles in zip(first.items(), sets, strict=True):
             n = len(shingles)
-            at = found(shingles, shared)
+            at = found(shingles >> dropped << dropped, shared)
             count = np.where(at >= 0, df[at] if len(df) else 1, 1)
             length = n - -(-percent * n // 100) + 1
             chosen = np.lexsort((shingles, count))[:length]
-            tokens = shingles[chosen][count[chosen] > 1]
-            if len(tokens):
+            chosen = chosen[count[chosen] > 1]
+            if len(chosen):
                 band = int(np.searchsorted(limits, n, "right"))
-                out.append((key, n, band, tokens.view(np.int64).tolist(), signature(shingles), pack(shingles)))
+                out.append((key, n, band, shingles[chosen].view(np.int64).tolist(), signature(shingles), text))
         columns = list(zip(*out)) if out else [()] * 6
         kinds = [pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "n", "band", "tokens", "bits", "shingles"])
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "n", "band", "tokens", "bits", "text"])
 
     answers = repeated(blocks, n_blocks, keys_of)
-    schema = "key binary, n long, band int, tokens array<long>, bits binary, shingles binary"
+    schema = "key binary, n long, band int, tokens array<long>, bits binary, text binary"
     return blocks.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(prefix, schema)
 
 
-def _verified(pairs: DataFrame, classes_: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle arrays are linked."""
+def _sets(texts, width: int):
+    """Shingle sets of compressed texts."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    return shingle_sets([unpress(text) for text in texts], width)
+
+
+def _verified(pairs: DataFrame, classes_: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sorted shingle arrays are linked. The arrays are made again from the texts, which are smaller."""
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = unpack(x), unpack(y)
-                if linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent):
-                    keep.append((a, b))
-            yield _pairs(keep)
-
-    left = classes_.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    right = classes_.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+            for start in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                rows = list(zip(*(batch.slice(start, PAIRS_AT_ONCE).column(i).to_pylist() for i in range(4)), strict=True))
+                texts = {k: t for a, b, x, y in rows for k, t in ((a, x), (b, y))}
+                sets = dict(zip(texts, _sets(texts.values(), width), strict=True))
+                yield _pairs([(a, b) for a, b, _, _ in rows if _linked_sets(sets[a], sets[b], percent)])
+
+    left = classes_.select(F.col("key").alias("a"), F.col("text").alias("x"))
+    right = classes_.select(F.col("key").alias("b"), F.col("text").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_rows: int = TILE_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Verified links (a, b) between set keys that connect exactly what all links connect.
 
-    First every tile, in parts of `tile_rows`, offers a forest of its passing pairs, which is verified. Tiles that then still
-    hold several components are compared in full, in cells of two parts of at most `cell_rows` rows: passing pairs across
-    components are intersected in the cell until their components meet.
+    First every tile, in parts of about `tile_rows`, offers a forest of its passing pairs. Of these each class's smallest partner
+    is verified, then one pair for every two components that pairs still join. Tiles that then hold several components are
+    compared in full, in cells of two parts of about `cell_rows` rows: passing pairs across components are intersected in the
+    cell until their components meet.
     """
     found_ = materialize(candidates(docs, width, percent))
-    rows = found_.select("key", "n", "bits", F.explode("tokens").alias("token"), "band")
-    rows = rows.select("key", "n", "bits", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("tile"))
-    sizes = rows.groupBy("tile").agg(F.count("*").alias("rows")).where("rows > 1")
+    bits = found_.select("key", "n", "bits")
+    rows = found_.select("key", "band", F.explode("tokens").alias("token"))
+    rows = rows.select("key", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("tile"))
+    # Near copies share many shingles that nobody else has: of tiles with the same classes one is enough.
+    members = rows.groupBy("tile").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    tiles = members.where("rows > 1").groupBy("rows", "x", "y").agg(F.min("tile").alias("tile")).select("tile", "rows")
+    rows = materialize(rows.join(tiles, "tile"))
 
     def offer(batches):
-        for table in _groups(batches, "part"):
+        out = []
+        for table, tile in _tiles(batches, "part", percent):
             keys = table.column("key").to_pylist()
-            order = sorted(range(len(keys)), key=keys.__getitem__)
-            table = table.take(order)
-            tile = Tile(table.column("n").to_numpy(), table.column("bits").to_pylist(), percent)
-            keys = [keys[k] for k in order]
-            if pairs := [(keys[i], keys[j]) for i, j in tile.forest() if keys[i] != keys[j]]:
-                yield _pairs(pairs)
-
-    many = rows.join(sizes, "tile")
-    part = F.xxhash64("tile", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / tile_rows)))
-    parts = many.select("key", "n", "bits", part.alias("part")).repartition("part").sortWithinPartitions("part")
-    pairs = parts.mapInArrow(offer, "a binary, b binary").distinct()
-    first = materialize(_verified(pairs, found_, percent))
+            out.extend((keys[i], keys[j]) for i, j in tile.forest())
+            if len(out) > 5000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    part = F.xxhash64("tile", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / tile_rows))).alias("part")
+    parts = rows.select("key", part).join(bits, "key").repartition("part").sortWithinPartitions("part", "key")
+    pairs = materialize(parts.mapInArrow(offer, "a binary, b binary").distinct())
+
+    nearest = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), found_, width, percent))
+    roots = components(nearest)
+    ends = pairs
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    apart = ends.where("root_a <> root_b").groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p"))
+    first = materialize(nearest.unionByName(_verified(apart.select("p.a", "p.b"), found_, width, percent)))
 
     roots = components(first)
-    placed = many.select("tile", "rows", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_tiles = placed.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
-    side = F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / cell_rows)).alias("side")
-    left = placed.join(open_tiles, "tile").select("tile", "key", "root", side, F.ceil(F.col("rows") / cell_rows).alias("sides"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("other")
-    cells = left.select("key", "root", "tile", "side", other)
+    placed = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = placed.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
+    sides = F.ceil(F.col("rows") / cell_rows)
+    split = placed.join(several, "tile").select("tile", "key", "root", F.pmod(F.xxhash64("key"), sides).alias("side"), sides.alias("sides"))
+    cells = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
     cells = cells.select("key", "root", F.xxhash64("tile", F.least("side", "other"), F.greatest("side", "other")).alias("cell"))
-    full = cells.join(found_.select("key", "n", "bits"), "key")
+    full = cells.join(bits, "key")
 
     def crossing(batches):
-        """Rows of the cell with a passing partner in another component."""
-        for table in _groups(batches, "cell"):
-            tile = Tile(table.column("n").to_numpy(), table.column("bits").to_pylist(), percent)
-            roots_ = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
-            need = np.zeros(len(roots_), bool)
-            for k in range(len(roots_)):
-                others = np.flatnonzero(roots_ != roots_[k])
-                others = others[others > k]
-                got = tile.passing(k, others) if len(others) else others
-                need[got] = True
-                need[k] |= len(got) > 0
+        """Rows of a cell with a passing partner in another component."""
+        for table, tile in _tiles(batches, "cell", percent):
+            root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+            need = np.zeros(len(root), bool)
+            for k in range(len(root) - 1):
+                others = np.arange(k + 1, len(root))
+                others = others[root[others] != root[k]]
+                if len(others):
+                    got = others[tile.passing(k, others)]
+                    need[got] = True
+                    need[k] |= len(got) > 0
             if need.any():
                 yield from table.select(["key", "root", "cell"]).filter(pa.array(need)).to_batches()
 
-    wanted = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(crossing, "key binary, root binary, cell long")
-    wanted = materialize(wanted)
+    wanted = materialize(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(crossing, "key binary, root binary, cell long"))
 
     def compare(batches):
-        for table in _groups(batches, "cell"):
+        for table, tile in _tiles(batches, "cell", percent):
             keys, roots_ = table.column("key").to_pylist(), table.column("root").to_pylist()
-            sets = [unpack(x) for x in table.column("shingles").to_pylist()]
-            tile = Tile(table.column("n").to_numpy(), table.column("bits").to_pylist(), percent)
-            parent = {r: r for r in roots_}
+            sets = list(_sets(table.column("text").to_pylist(), width))
+            parent, out = {r: r for r in roots_}, []
 
-            def top(r):
+            def top(r, parent=parent):
                 while parent[r] != r:
                     parent[r] = parent[parent[r]]
                     r = parent[r]
                 return r
 
-            out = []
-            for k in range(len(keys)):
-                for j in tile.passing(k, np.arange(k + 1, len(keys))).tolist():
-                    if (p := top(roots_[k])) != (q := top(roots_[j])):
-                        if linked(len(sets[k]), len(sets[j]), len(np.intersect1d(sets[k], sets[j], assume_unique=True)), percent):
-                            out.append((keys[k], keys[j]))
-                            parent[p] = q
-            if out:
-                yield _pairs(out)
+            for k in range(len(keys) - 1):
+                others = np.arange(k + 1, len(keys))
+                for j in others[tile.passing(k, others)].tolist():
+                    if (p := top(roots_[k])) != (q := top(roots_[j])) and _linked_sets(sets[k], sets[j], percent):
+                        out.append((keys[k], keys[j]))
+                        parent[p] = q
+            yield _pairs(out)
 
-    arrays = wanted.join(found_.select("key", "n", "bits", "shingles"), "key").select("key", "root", "cell", "n", "bits", "shingles")
+    arrays = wanted.join(found_.select("key", "n", "bits", "text"), "key").select("key", "root", "cell", "n", "bits", "text")
     second = arrays.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a binary, b binary")
     return materialize(first.unionByName(second).distinct())
 
