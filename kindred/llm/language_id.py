@@ -18,7 +18,7 @@ BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
-ROWS_PER_LANGUAGE = 1500
+ROWS_PER_LANGUAGE = 1000
 EPOCHS = 12
 BATCH = 64
 SMOOTHING = 0.02
@@ -81,7 +81,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
-    """lang and bucket counts of at most so many rows of each language, those with the smallest hash of their doc_id."""
+    """lang and bucket counts of at most so many rows of each language, those with the smallest hash of their doc_id.
+
+    Spark prunes the ranking on the map side up to 1,000 rows of a language (spark.sql.optimizer.windowGroupLimitThreshold).
+    """
     from pyspark.sql import Window
 
     labelled = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
