@@ -177,7 +177,7 @@ def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     everywhere, and shorter keys take less space. There are enough bits that few shingles seem frequent by chance, at any size
     of the table.
     """
-    blocks, n_blocks = in_blocks(_distinct_texts(docs, width), by=["key"])
+    blocks, n_blocks = in_blocks(_distinct_texts(docs, width), block_bytes=BLOCK_BYTES // 3, by=["key"])  # compressed to about a third
     limits = band_limits(percent)
     dropped = np.uint64(max(0, 64 - COUNT_BITS - (n_blocks * BLOCK_BYTES).bit_length()))
 
