@@ -2,7 +2,8 @@
 
 Outcomes of labelled pages are shrunk through beta-binomial priors from suffix to registered domain to host: a level's prior
 mean is the posterior mean of the level above, its strength is fitted to that level's counts over all groups. A page is
-blocked when the lower posterior bound of its host's bad share is above a threshold.
+blocked when the lower posterior bound of its host's bad share is above a threshold. Hosts without a labelled page are judged
+by the same rule: their prior comes from the nearest level above that has labels.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -44,14 +45,21 @@ def with_levels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("suffix", F.when(long, last_two).otherwise(last)).withColumn("domain", F.when(long, last_three).otherwise(last_two))
 
 
-def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def reputations(outcomes: DataFrame, z: float = Z, hosts: DataFrame | None = None) -> DataFrame:
     """(host, n, bad, mean, bound) from rows (host, bad 0/1); host has its whole name, n counts the labelled pages.
 
+    Rows (host) of `hosts` are answered too, with n = bad = 0 where they have no outcome: with nothing counted, the posterior of
+    a host, domain or suffix is its prior Beta(s m, s (1-m)), so the mean of the nearest level with labels comes down unchanged.
+    The fit of the strengths leaves them out.
+
     Every level: groups are counted, each gets its parent's posterior mean m as prior mean, and one strength s for the level is
     fitted by moments to all groups with at least two pages: with p = bad/n, E[(p - m)^2] = m(1-m)/n * (1 + (n-1)/(s+1)). The
     posterior is Beta(s m + bad, s (1-m) + n - bad), its lower bound is mean - z * standard deviation, not below 0.
     """
-    counts = with_levels(outcomes).groupBy(*LEVELS).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    seen = outcomes.select("host", F.lit(1).alias("n"), "bad")
+    if hosts is not None:
+        seen = seen.unionByName(hosts.select("host", F.lit(0).alias("n"), F.lit(0).alias("bad")))
+    counts = with_levels(seen.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     above = total.select(F.lit(1).alias("_all"), ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("prior"))
     parent = "_all"
@@ -77,8 +85,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     """page_id, host, path, rule, verdict and source (`rule`, `host` or `default`) for every page.
 
     labels: (page_id, bad 0/1); rows with a null in either are no evidence, repeated rows count once per page and outcome row.
-    A page without a fitting rule is blocked when its host's posterior bound is above the threshold; a host without a labelled
-    page is allowed. A null URL or one without `://` has an empty host and path. Empty tables give empty results or only
+    A page without a fitting rule is blocked when its host's posterior bound is above the threshold, whether or not a page of
+    that host is labelled; without any label nothing is known and all hosts are allowed. A null URL or one without `://` has an empty host and path. Empty tables give empty results or only
     allowed pages; other columns are ignored. Only built-in functions are used.
     """
     host, path = parse(F.col("url"))
@@ -87,7 +95,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     judged = judged.select("page_id", "host", "path", name.alias("rule"), verdict.alias("_ruled"))
     known = labels.select("page_id", "bad").where("page_id IS NOT NULL AND bad IS NOT NULL")
     outcomes = judged.select("page_id", "host").join(known, "page_id").select("host", "bad")
-    blocked = reputations(outcomes).where(F.col("bound") > threshold).select("host", F.lit(1).alias("_bad"))
+    blocked = reputations(outcomes, hosts=judged.select("host")).where(F.col("bound") > threshold).select("host", F.lit(1).alias("_bad"))
     out = judged.join(blocked, "host", "left")
     by_host = F.when(F.col("_bad") == 1, F.lit("block")).otherwise("allow")
     source = F.when(F.col("_ruled").isNotNull(), F.lit("rule")).when(F.col("_bad") == 1, F.lit("host")).otherwise("default")

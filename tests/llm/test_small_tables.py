@@ -118,6 +118,37 @@ def test_urls_of_all_kinds(spark):
     assert url_reputation.filter_urls(pages.limit(0), labels).count() == 0 and url_reputation.filter_urls(pages, labels.limit(0)).count() == 12
 
 
+def plain_reputations(outcomes, hosts, z=url_reputation.Z):
+    """Posterior bound of every host, level by level; names here have one-label suffixes and no ports."""
+    cut = {h: (h.split(".")[-1], ".".join(h.split(".")[-2:]), h) for h in {h for h, _ in outcomes} | set(hosts)}
+    means = {(): (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 1)}
+    for level in (1, 2, 3):
+        counts = {key[:level]: [0, 0] for key in cut.values()}
+        for h, b in outcomes:
+            counts[cut[h][:level]][0] += 1
+            counts[cut[h][:level]][1] += b
+        over = sum((b / n - means[k[:-1]]) ** 2 - means[k[:-1]] * (1 - means[k[:-1]]) / n for k, (n, b) in counts.items() if n > 1)
+        span = sum(means[k[:-1]] * (1 - means[k[:-1]]) * (n - 1) / n for k, (n, b) in counts.items() if n > 1)
+        s = 1 / max(min(over / span if span else 0.5, 0.5), 1 / 1001) - 1
+        posterior = {k: (s * means[k[:-1]] + b, s * (1 - means[k[:-1]]) + n - b) for k, (n, b) in counts.items()}
+        means = {k: a / (a + b) for k, (a, b) in posterior.items()}
+    return {k[-1]: max(0.0, a / (a + b) - z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5) for k, (a, b) in posterior.items()}
+
+
+def test_hosts_without_labels_get_their_nearest_ancestor_s_posterior(spark):
+    outcomes = [(f"s{k}.bad.org", 1) for k in range(8) for _ in range(10)] + [(f"s{k}.good.org", 0) for k in range(30) for _ in range(10)]
+    bare = ["new.bad.org", "other.new.bad.org", "new.good.org", "new.unseen.org", "www.unseen.info"]
+    urls = [(i, f"http://{h}/p") for i, h in enumerate([h for h, _ in outcomes] + bare)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(outcomes)], "page_id long, bad int")
+    got = {r.host: (r.verdict, r.source) for r in url_reputation.filter_urls(pages, labels).collect()}
+    bound = plain_reputations(outcomes, bare)
+    assert got == {h: ("block", "host") if b > url_reputation.THRESHOLD else ("allow", "default") for h, b in bound.items()}
+    assert {h for h in bare if got[h][0] == "block"} == {"new.bad.org", "other.new.bad.org"}
+    rows = url_reputation.reputations(spark.createDataFrame(outcomes, "host string, bad int"), hosts=spark.createDataFrame([(h,) for h in bare], "host string"))
+    assert {r.host: pytest.approx(r.bound) for r in rows.collect()} == bound
+
+
 def test_pages_of_all_kinds(spark):
     good = "<html><nav><a href=/x>Home</a></nav><div class=ad>Buy</div><article><h1>Title &amp; more</h1><p>First&nbsp;line<br>goes on.<p>Second &lt;b&gt;</article><footer>&copy; me</footer>"
     rows = [(1, "u", good), (2, None, None), (3, "", ""), (None, "u", "plain"), (4, "u", "<!-- only --><script>x</script>"), (5, "u", "<<p>>" * 50), (1, "u", good)]
