@@ -24,16 +24,23 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select button option".split())
+RAW = frozenset("script style textarea title iframe".split())
+FOREIGN = frozenset("svg math".split())
+# Parts of controls, drawings and fallbacks. One that is left open holds nothing: see `_end`.
+HIDDEN = frozenset("noscript template svg select button option".split())
+NEVER_TEXT = HIDDEN - {"noscript"}
 BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption nav header footer aside form fieldset address details summary hgroup search menu dialog".split()
 )
 CLOSES_P = BLOCK - {"html", "body"}
-SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-LIST_SCOPE = frozenset("ul ol dl table menu".split())
+SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+                "option": {"option"}, "optgroup": {"option", "optgroup"}, "button": {"button"}}
+LIST_SCOPE = frozenset("ul ol dl table menu select datalist".split())
+OPTIONAL_END = frozenset("p li dt dd tr td th".split())
+OPTION_LISTS = frozenset("select datalist optgroup".split())
 GOOD_TAGS = frozenset("article main".split())
-BAD_TAGS = frozenset("nav header footer aside form menu dialog search".split())
+BAD_TAGS = frozenset("nav header footer aside form menu dialog search".split()) | HIDDEN
 BAD_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb comment comments cookie consent footer form header login menu modal nav navbar "
     "navigation newsletter notice pagination popup promo promotion related reply share sidebar social sponsor sponsored subscribe "
@@ -56,7 +63,11 @@ class Page:
 
 
 def parse(page: str) -> Page:
-    """A forgiving tree: unclosed paragraphs, items and cells end where the next begins, stray end tags are ignored."""
+    """A forgiving tree: unclosed paragraphs, items and cells end where the next begins, stray end tags are ignored.
+
+    The contents of RAW elements are no text. All others are nodes, so nothing behind an element that is empty (`<svg/>`) or
+    left open is lost.
+    """
     out, stack, at, n = Page(), [0], 0, len(page)
     while at < n:
         match = TOKEN.search(page, at)
@@ -70,9 +81,9 @@ def parse(page: str) -> Page:
             name = match[1].lower()
             for k in range(len(stack) - 1, 0, -1):
                 if out.tag[stack[k]] == name:
-                    del stack[k:]
+                    _end(out, stack, k, closed=True)
                     break
-                if name not in BLOCK and out.tag[stack[k]] in BLOCK:
+                if name not in BLOCK and out.tag[stack[k]] in BLOCK and not (name in HIDDEN and out.tag[stack[k]] in OPTIONAL_END):
                     break
             continue
         if not match[2]:
@@ -83,8 +94,11 @@ def parse(page: str) -> Page:
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            # In a drawing or formula these may be empty (`<title/>`), and one left open ends with it at the latest.
+            foreign = any(out.tag[k] in FOREIGN for k in stack)
+            if not (foreign and match[3].rstrip().endswith("/")):
+                end = re.compile(rf"</{re.escape(name)}\s*>" + (r"|(?=</(?:svg|math)\s*>)" if foreign else ""), re.I).search(page, at)
+                at = end.end() if end else at if foreign else n
             continue
         if name in CLOSES_P:
             _close(out, stack, {"p"}, frozenset())
@@ -99,14 +113,29 @@ def parse(page: str) -> Page:
         out.words.append(frozenset(tokens))
         if not match[3].rstrip().endswith("/") or name in BLOCK:
             stack.append(len(out.tag) - 1)
+    _end(out, stack, 1)
     return out
 
 
+def _end(page: Page, stack: list[int], k: int, closed: bool = False) -> None:
+    """Ends the nodes from stack[k] on; `closed` says that stack[k] has its end tag.
+
+    A HIDDEN node without one is a slip of the page: how far it was meant to go is unknown, so its tag says nothing about the
+    text that followed. Options need no end tag in their list.
+    """
+    listed = page.tag[stack[k]] in OPTION_LISTS if closed else False
+    for node in stack[k + closed :]:
+        if page.tag[node] in HIDDEN and not (page.tag[node] == "option" and listed):
+            page.tag[node] = "#open"
+    del stack[k:]
+
+
 def _close(page: Page, stack: list[int], names: set, scope: frozenset) -> None:
     for k in range(len(stack) - 1, 0, -1):
         tag = page.tag[stack[k]]
         if tag in names:
-            del stack[k:]
+            # The next option or group of options is an end as good as a tag.
+            _end(page, stack, k, closed=tag in ("option", "optgroup"))
             return
         if tag in scope or tag in BLOCK and tag not in ("p", "li", "dt", "dd"):
             return
@@ -223,9 +252,15 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
 
 
 def decode(page: Page, score: np.ndarray) -> np.ndarray:
-    """Which nodes' own text is kept: the keep, drop or split choice of every node with the largest sum of log-odds."""
+    """Which nodes' own text is kept: the keep, drop or split choice of every node with the largest sum of log-odds.
+
+    Controls, drawings and templates are never kept and weigh nothing in it; noscript is left to the trees.
+    """
     n = len(page.tag)
-    own = np.array(score)
+    never = np.zeros(n, bool)
+    for k in range(1, n):
+        never[k] = never[page.parent[k]] or page.tag[k] in NEVER_TEXT
+    own = np.where(never, 0.0, score)
     keep, drop, split = own.copy(), -own, np.full(n, -SPLIT_COST)
     for k in range(n - 1, 0, -1):
         p = page.parent[k]
@@ -239,7 +274,7 @@ def decode(page: Page, score: np.ndarray) -> np.ndarray:
             state[k] = state[p]
         elif p >= 0:
             state[k] = (0, 1, -1)[int(np.argmax((split[k], keep[k], drop[k])))]
-    return np.where(state == 0, own > 0, state == 1)
+    return np.where(state == 0, own > 0, state == 1) & ~never
 
 
 def text_of(page: Page, kept: np.ndarray) -> str:

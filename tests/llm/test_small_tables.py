@@ -160,6 +160,40 @@ def test_pages_of_all_kinds(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+PLAIN = "<p>The first paragraph says, at some length, what this article is about.</p>"
+REST = "<p>The second paragraph goes on, and nothing of it may be lost.</p><p>A third one closes the article, as they do.</p>"
+INSERTS = [
+    '<svg class="icon"/>', '<svg class="icon"><title>Icon</title><path d="M0 0"/></svg>', "<svg><title/><use href='#a'/></svg>", "<svg viewBox='0 0 1 1'><path d='M0'>",
+    "<svg><title>Open</svg>", "<button>", "<button>Share", "<button><p>Share</button>", "<noscript>", "<noscript><img src=a></noscript>", "<template>", "<select><option>One<option>Two",
+    "<option>One", "<datalist id=a><option value=x><option value=y></datalist>", "<datalist id=a><option>", "<math/>", "<math>", "<script>var a = '<p>';</script>", "<style>p {}</style>", "<iframe src=a></iframe>",
+]
+
+
+@pytest.fixture(scope="module")
+def page_model(spark, folder):
+    return html_extract.train(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def extracted(spark, model, pages):
+    rows = [(i, "u", f"<html><nav><a href=/x>Home</a></nav><article><h1>Title</h1>{page}</article><footer>me</footer></html>") for i, page in enumerate(pages)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model)
+    return [r.text for r in got.orderBy("page_id").collect()]
+
+
+def test_nothing_behind_a_small_element_is_lost(spark, page_model):
+    want = ["The first paragraph says, at some length, what this article is about.", "The second paragraph goes on, and nothing of it may be lost.", "A third one closes the article, as they do."]
+    for insert, text in zip(INSERTS, extracted(spark, page_model, [PLAIN + i + REST for i in INSERTS]), strict=True):
+        assert "Title" in text and [w for w in want if w not in text] == [] and "Home" not in text and "var a" not in text, (insert, text)
+
+
+def test_formulas_stay_and_controls_go(spark, page_model):
+    formula = "<p>It follows, with care, that <math><mi>x</mi><mo>=</mo><mn>42</mn></math> holds.</p>"
+    controls = "<button>Press</button><select><optgroup label=a><option>Red<option>Green</optgroup></select><template><p>Later</p></template><svg><text>Axis</text></svg>"
+    got = extracted(spark, page_model, [PLAIN + formula + REST, PLAIN + controls + REST])
+    assert "It follows, with care, that x=42 holds." in got[0]
+    assert not [w for w in ("Press", "Red", "Green", "Later", "Axis") if w in got[1]] and "closes the article" in got[1], got[1]
+
+
 def test_shards_are_numbered_without_gaps(docs):
     got = sharding.assign(docs).collect()
     slots: dict = {}
