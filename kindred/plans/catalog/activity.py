@@ -279,7 +279,7 @@ def untidy_arrivals(spark, folder):
 def _(spark, folder):
     out = scratch_folder(spark)
     streams.ingest_with_quarantine(untidy_arrivals(spark, folder), f"{out}/good", f"{out}/bad", f"{out}/checkpoint").awaitTermination()
-    return micros(spark.read.parquet(f"{out}/good"), "ts").drop("value", "batch", "day")
+    return micros(spark.read.parquet(f"{out}/good"), "ts").drop("value", "batch", "bucket", "day")
 
 
 @query("interaction_quarantine", with_(ACTIVITY, "SELECT -1 - event_id AS event_id, user_id, item_id FROM activity WHERE event_id % 7 = 0"))

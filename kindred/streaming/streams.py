@@ -39,24 +39,32 @@ def interaction_ingest(events: DataFrame, lateness: str = "1 day") -> DataFrame:
 WRONG_EVENT = "action is null or ts is null or event_id is null"
 
 
-def ingest_with_quarantine(events: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
+ID_BUCKETS = 16
+
+
+def ingest_with_quarantine(events: DataFrame, good: str, bad: str, checkpoint: str, no_user: str | None = None) -> StreamingQuery:
     """Every valid event once to one folder, malformed ones to another, however late they arrive.
 
-    A batch writes folders of its own, by day of the event, and looks for known event ids only in the days it brings itself
-    and in earlier batches; a retry repeats it exactly. There is no watermark, so no late event is lost. Events without a
-    user are left out.
+    A batch writes folders of its own, by bucket of the event id and day of the event, and looks for its ids in the same
+    buckets of all earlier batches, whatever their day; a retry repeats it exactly. There is no watermark, so no late event
+    is lost. Well-formed events without a user go with a reason to `no_user`, by default the folder of malformed ones with
+    `_no_user` added to its name.
     """
     spark = events.sparkSession
+    no_user = no_user or f"{bad.rstrip('/')}_no_user"
 
     def store(batch: DataFrame, number: int) -> None:
         batch.filter(WRONG_EVENT).write.mode("overwrite").parquet(f"{bad}/batch={number}")
-        fresh = batch.filter(f"user_id is not null and not ({WRONG_EVENT})").dropDuplicates(["event_id"]).withColumn("day", F.to_date("ts"))
+        batch.filter(f"user_id is null and not ({WRONG_EVENT})").withColumn("reason", F.lit("no user")).write.mode("overwrite").parquet(f"{no_user}/batch={number}")
+        fresh = batch.filter(f"user_id is not null and not ({WRONG_EVENT})").dropDuplicates(["event_id"])
+        fresh = fresh.withColumns({"bucket": F.pmod(F.xxhash64("event_id"), F.lit(ID_BUCKETS)).cast("int"), "day": F.to_date("ts")})
         if number > 0:
             kind = fresh.schema["event_id"].dataType.simpleString()
-            stored = spark.read.schema(f"event_id {kind}, batch int, day date").parquet(good).filter(F.col("batch") < number)
-            known = stored.join(fresh.select("day").distinct(), "day", "left_semi").select("event_id")
+            stored = spark.read.schema(f"event_id {kind}, batch int, bucket int").parquet(good).filter(F.col("batch") < number)
+            own = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+            known = stored.filter(F.col("bucket").isin(own)).select("event_id")
             fresh = fresh.join(known, "event_id", "left_anti")
-        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{good}/batch={number}")
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket", "day").parquet(f"{good}/batch={number}")
 
     return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -110,6 +110,20 @@ def test_late_repeated_and_malformed_events(spark, tmp_path):
     assert [r["event_id"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [3]
 
 
+def test_an_id_on_another_day_is_stored_once_however_the_stream_is_cut(spark, tmp_path):
+    kind = "event_id bigint, user_id bigint, action string, ts timestamp"
+    day = lambda n: __import__("datetime").datetime(2024, 5, n)
+    rows = [(1, 1, "view", day(20)), (2, 1, "view", day(20)), (1, 1, "view", day(21)), (3, None, "view", day(21)), (2, 1, "view", day(2)), (4, 2, "view", day(2)), (5, None, None, day(2))]
+    for cut in (1, 3, 7):
+        path, out = str(tmp_path / f"in{cut}"), str(tmp_path / f"out{cut}")
+        for a in range(0, len(rows), cut):
+            spark.createDataFrame(rows[a : a + cut], kind).coalesce(1).write.mode("append").parquet(path)
+        streams.ingest_with_quarantine(streams.read_folder(spark, path, kind, files=1), f"{out}/good", f"{out}/bad", f"{out}/cp").awaitTermination()
+        assert sorted(r["event_id"] for r in spark.read.parquet(f"{out}/good").collect()) == [1, 2, 4]
+        assert [r["event_id"] for r in spark.read.parquet(f"{out}/bad").collect()] == [5]
+        assert [(r["event_id"], r["reason"]) for r in spark.read.parquet(f"{out}/bad_no_user").collect()] == [(3, "no user")]
+
+
 def test_answers_within_an_interval(spark, tmp_path):
     path, kind = str(tmp_path / "in"), "trace_id string, type string, data string, ts timestamp"
     at = lambda minute: __import__("datetime").datetime(2024, 5, 1, 8, minute)
