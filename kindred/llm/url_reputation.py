@@ -50,7 +50,8 @@ def reputations(outcomes: DataFrame, z: float = Z, hosts: DataFrame | None = Non
 
     Rows (host) of `hosts` are answered too, with n = bad = 0 where they have no outcome: with nothing counted, the posterior of
     a host, domain or suffix is its prior Beta(s m, s (1-m)), so the mean of the nearest level with labels comes down unchanged.
-    The fit of the strengths leaves them out.
+    Below a level that has no labels either, the spreads of both add up: 1/(s+1) is 1 minus the product of the levels' s/(s+1),
+    which is the exact variance of the chain. The fit of the strengths leaves them out.
 
     Every level: groups are counted, each gets its parent's posterior mean m as prior mean, and one strength s for the level is
     fitted by moments to all groups with at least two pages: with p = bad/n, E[(p - m)^2] = m(1-m)/n * (1 + (n-1)/(s+1)). The
@@ -61,7 +62,7 @@ def reputations(outcomes: DataFrame, z: float = Z, hosts: DataFrame | None = Non
         seen = seen.unionByName(hosts.select("host", F.lit(0).alias("n"), F.lit(0).alias("bad")))
     counts = with_levels(seen.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    above = total.select(F.lit(1).alias("_all"), ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("prior"))
+    above = total.select(F.lit(1).alias("_all"), ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("prior"), F.lit(0.0).alias("open"))
     parent = "_all"
     for level in LEVELS:
         keys = LEVELS[: LEVELS.index(level) + 1]
@@ -74,10 +75,13 @@ def reputations(outcomes: DataFrame, z: float = Z, hosts: DataFrame | None = Non
         # over / span estimates 1 / (s + 1); it is held between 1/1001 and 1/2.
         rho = F.greatest(F.least(F.coalesce(F.col("over") / F.col("span"), F.lit(0.5)), F.lit(0.5)), F.lit(1 / 1001))
         strength = fit.select(F.lit(1).alias("_all"), (1 / rho - 1).alias("s"))
-        here = here.join(strength, "_all")
-        a, b = F.col("s") * m + F.col("bad"), F.col("s") * (1 - m) + n - F.col("bad")
-        here = here.select(*keys, "n", "bad", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
-        above, parent = here.select(*keys, F.col("mean").alias("prior")), level
+        # open: what unlabelled levels down to this one leave of m(1-m) as variance; 0 for a level with labels.
+        spread = F.when(n > 0, 0.0).otherwise(1 - (1 - F.col("open")) * F.col("s") / (F.col("s") + 1))
+        here = here.join(strength, "_all").withColumn("open", spread)
+        s = F.when(n > 0, F.col("s")).otherwise(1 / F.nullif(F.col("open"), F.lit(0.0)) - 1)
+        a, b = s * m + F.col("bad"), s * (1 - m) + n - F.col("bad")
+        here = here.select(*keys, "n", "bad", "open", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
+        above, parent = here.select(*keys, F.col("mean").alias("prior"), "open"), level
     return here.select(*LEVELS, "n", "bad", "mean", F.greatest(F.col("mean") - z * F.col("sd"), F.lit(0.0)).alias("bound"))
 
 

@@ -122,6 +122,7 @@ def plain_reputations(outcomes, hosts, z=url_reputation.Z):
     """Posterior bound of every host, level by level; names here have one-label suffixes and no ports."""
     cut = {h: (h.split(".")[-1], ".".join(h.split(".")[-2:]), h) for h in {h for h, _ in outcomes} | set(hosts)}
     means = {(): (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 1)}
+    shut = {(): 1.0}
     for level in (1, 2, 3):
         counts = {key[:level]: [0, 0] for key in cut.values()}
         for h, b in outcomes:
@@ -130,7 +131,9 @@ def plain_reputations(outcomes, hosts, z=url_reputation.Z):
         over = sum((b / n - means[k[:-1]]) ** 2 - means[k[:-1]] * (1 - means[k[:-1]]) / n for k, (n, b) in counts.items() if n > 1)
         span = sum(means[k[:-1]] * (1 - means[k[:-1]]) * (n - 1) / n for k, (n, b) in counts.items() if n > 1)
         s = 1 / max(min(over / span if span else 0.5, 0.5), 1 / 1001) - 1
-        posterior = {k: (s * means[k[:-1]] + b, s * (1 - means[k[:-1]]) + n - b) for k, (n, b) in counts.items()}
+        shut = {k: 1.0 if n else shut[k[:-1]] * s / (s + 1) for k, (n, _) in counts.items()}
+        own = {k: s if n else shut[k] / (1 - shut[k]) for k, (n, _) in counts.items()}
+        posterior = {k: (own[k] * means[k[:-1]] + b, own[k] * (1 - means[k[:-1]]) + n - b) for k, (n, b) in counts.items()}
         means = {k: a / (a + b) for k, (a, b) in posterior.items()}
     return {k[-1]: max(0.0, a / (a + b) - z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5) for k, (a, b) in posterior.items()}
 
@@ -149,6 +152,12 @@ def test_hosts_without_labels_get_their_nearest_ancestor_s_posterior(spark):
     assert {r.host: pytest.approx(r.bound) for r in rows.collect()} == bound
 
 
+def test_one_bad_page_condemns_no_unknown_host(spark):
+    pages = spark.createDataFrame([(1, "x://a.bad.org/"), (2, "x://b.bad.org/"), (3, "x://else.info/")], "page_id long, url string")
+    got = url_reputation.filter_urls(pages, spark.createDataFrame([(1, 1)], "page_id long, bad int"))
+    assert {r.verdict for r in got.collect() if r.host == "else.info"} == {"allow"}
+
+
 def test_pages_of_all_kinds(spark):
     good = "<html><nav><a href=/x>Home</a></nav><div class=ad>Buy</div><article><h1>Title &amp; more</h1><p>First&nbsp;line<br>goes on.<p>Second &lt;b&gt;</article><footer>&copy; me</footer>"
     rows = [(1, "u", good), (2, None, None), (3, "", ""), (None, "u", "plain"), (4, "u", "<!-- only --><script>x</script>"), (5, "u", "<<p>>" * 50), (1, "u", good)]
@@ -160,6 +169,18 @@ def test_pages_of_all_kinds(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_filter_fires_at_the_production_threshold(spark):
+    """Bad, thin and unlabelled hosts: few bad pages among good neighbours are no proof, many are."""
+    hosts = {"casino.spam.info": (12, 12), "pills.spam.info": (10, 9), "fresh.spam.info": (0, 0), "thin.shop.info": (1, 1), "a.shop.info": (20, 0), "b.shop.info": (20, 1),
+             "fresh.shop.info": (0, 0), "mixed.news.info": (20, 2), "daily.news.info": (30, 0), "fresh.else.info": (0, 0), "bad.example.com": (10, 10), "ok.example.net": (10, 0)}
+    rows = [(h, k < bad) for h, (n, bad) in hosts.items() for k in range(max(n, 1))]
+    pages = spark.createDataFrame([(i, f"https://{h}/x/{i}") for i, (h, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(b)) for i, (h, b) in enumerate(rows) if hosts[h][0]], "page_id long, bad int")
+    got = {r.host: (r.verdict, r.source) for r in url_reputation.filter_urls(pages, labels).collect()}
+    assert {h for h, v in got.items() if v == ("block", "host")} == {"casino.spam.info", "pills.spam.info", "fresh.spam.info"}
+    assert got["bad.example.com"] == ("allow", "rule") and got["thin.shop.info"] == got["fresh.shop.info"] == got["fresh.else.info"] == ("allow", "default")
+
+
 PLAIN = "<p>The first paragraph says, at some length, what this article is about.</p>"
 REST = "<p>The second paragraph goes on, and nothing of it may be lost.</p><p>A third one closes the article, as they do.</p>"
 INSERTS = [
