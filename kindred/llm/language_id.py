@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by gradient descent in numpy.
 
 A text is the mean of the embeddings of all its words' character n-grams. The softmax is calibrated by a temperature on rows
-the training did not see, and rejects texts whose calibrated score is below a threshold found on the same rows.
+the training did not see, and rejects texts whose calibrated score is below a fixed low quantile of the scores of those rows.
 """
 
 import unicodedata
@@ -18,7 +18,12 @@ BUCKET_BITS = 13
 BUCKETS = 1 << BUCKET_BITS
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
-ROWS_PER_LANGUAGE = 1000
+ROWS_PER_LANGUAGE = 1500
+SLICES = 16
+# With fewer labelled rows every row calibrates, scored by a model that did not see it; else every tenth does.
+CROSS_FIT_BELOW, FOLDS = 1000, 5
+# Of texts in a known language about this share is rejected, however many rows calibrate.
+REJECTED_SHARE = 0.01
 EPOCHS = 12
 BATCH = 64
 SMOOTHING = 0.02
@@ -83,13 +88,19 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
     """lang and bucket counts of at most so many rows of each language, those with the smallest hash of their doc_id.
 
-    Spark prunes the ranking on the map side up to 1,000 rows of a language (spark.sql.optimizer.windowGroupLimitThreshold).
+    Ranked in two steps, by language and hash slice and then by language: the first step needs few rows of a slice, so Spark
+    prunes it on the map side (spark.sql.optimizer.windowGroupLimitThreshold), and no task gathers a whole language. A slice
+    keeps twice its even share and 50 more, which no hash of that many different ids exceeds.
     """
     from pyspark.sql import Window
 
     labelled = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang", rank.alias("_rank")).where(F.col("_rank") <= rows_per_language)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sliced = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("_slice"))
+    first = F.row_number().over(Window.partitionBy("lang", "_slice").orderBy(*order))
+    few = sliced.withColumn("_first", first).where(F.col("_first") <= min(rows_per_language, 2 * -(-rows_per_language // SLICES) + 50))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = few.select("doc_id", "lang", rank.alias("_rank")).where(F.col("_rank") <= rows_per_language)
     rows = labelled.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", "text")
 
     def count(batches):
@@ -117,30 +128,20 @@ def _dense(rows: list) -> np.ndarray:
     return x
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
-    """Trains on the given rows (doc_id, text, lang): at most `rows_per_language` of each language, of which every tenth calibrates.
-
-    Without labelled rows the model knows no language and answers `und` always.
-    """
-    rows = sorted(sample(docs, rows_per_language).collect(), key=lambda r: (zlib.crc32(r.key.encode()), r.key, r.lang))
-    languages = sorted({r.lang for r in rows})
-    if not rows:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    held = rows[::10] if len(rows) >= 50 else rows
-    train = [r for k, r in enumerate(rows) if k % 10] if len(rows) >= 50 else rows
+def _train(rows: list, languages: list[str], epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and bias."""
     rng = np.random.default_rng(7)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
-    code = {l: i for i, l in enumerate(languages)}
-    target = np.array([code[r.lang] for r in train])
-    balance = len(train) / (len(languages) * np.bincount(target, minlength=len(languages)).clip(1))
+    target = np.array([languages.index(r.lang) for r in rows], np.int64)
+    balance = len(rows) / (len(languages) * np.bincount(target, minlength=len(languages)).clip(1))
     seen_e, seen_w = np.full(BUCKETS, 1e-12, np.float32), np.full_like(weight, 1e-12)
     for epoch in range(epochs):
         rate = 0.5 * (1 - epoch / epochs)
-        order = rng.permutation(len(train))
-        for a in range(0, len(train), BATCH):
+        order = rng.permutation(len(rows))
+        for a in range(0, len(rows), BATCH):
             pick = order[a : a + BATCH]
-            x = _dense([train[k] for k in pick])
+            x = _dense([rows[k] for k in pick])
             hidden = x @ embed
             error = softmax(hidden @ weight + bias)
             error[np.arange(len(pick)), target[pick]] -= 1
@@ -152,9 +153,35 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int
             weight -= rate * step_w / np.sqrt(seen_w)
             bias -= 0.1 * rate * error.sum(0)
             embed -= rate * step_e / np.sqrt(seen_e)[:, None]
-    logits = embed.astype(float) @ weight.astype(float)
-    z = np.concatenate([_dense(held[a : a + 256]) @ logits for a in range(0, len(held), 256)]) + bias
-    truth = np.array([code[r.lang] for r in held])
+    return embed.astype(float) @ weight.astype(float), bias.astype(float)
+
+
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
+    """Trains on the given rows (doc_id, text, lang), at most `rows_per_language` of each language.
+
+    Every tenth row calibrates and trains nothing. Below CROSS_FIT_BELOW rows all of them train the model, and each calibrates
+    by the score of another one that was trained without its fold. The threshold is the REJECTED_SHARE quantile of the
+    calibrated scores of rightly predicted calibration rows. Without labelled rows the model knows no language and answers
+    `und` always.
+    """
+    rows = sorted(sample(docs, rows_per_language).collect(), key=lambda r: (zlib.crc32(r.key.encode()), r.key, r.lang))
+    languages = sorted({r.lang for r in rows})
+    if not rows:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+
+    def scores(held, logits, bias):
+        return np.concatenate([_dense(held[a : a + 256]) @ logits for a in range(0, len(held), 256)]) + bias
+
+    if len(rows) >= CROSS_FIT_BELOW:
+        held = rows[::10]
+        logits, bias = _train([r for k, r in enumerate(rows) if k % 10], languages, epochs)
+        z = scores(held, logits, bias)
+    else:
+        logits, bias = _train(rows, languages, epochs)
+        folds = [rows[k::FOLDS] for k in range(min(FOLDS, len(rows)))]
+        held = [r for fold in folds for r in fold]
+        z = np.concatenate([scores(fold, *_train([r for other in folds if other is not fold for r in other], languages, epochs)) for fold in folds])
+    truth = np.array([languages.index(r.lang) for r in held])
     temperatures = np.geomspace(0.05, 50, 80)
     # Smoothed targets: rows that are all right would else ask for endless confidence.
     goal = np.eye(len(languages))[truth] * (1 - SMOOTHING) + SMOOTHING / len(languages)
@@ -162,8 +189,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int
     temperature = float(temperatures[int(np.argmin(losses))])
     p = softmax(z / temperature)
     right = p.max(1)[p.argmax(1) == truth]
-    threshold = float(min(0.5, right.min() * 0.9)) if len(right) else 0.0
-    return Model(languages, logits, bias.astype(float), temperature, threshold)
+    threshold = float(np.quantile(right, REJECTED_SHARE)) if len(right) else 0.0
+    return Model(languages, logits, bias, temperature, threshold)
 
 
 def held_out(doc_id) -> "F.Column":

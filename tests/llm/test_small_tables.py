@@ -118,6 +118,24 @@ def test_urls_of_all_kinds(spark):
     assert url_reputation.filter_urls(pages.limit(0), labels).count() == 0 and url_reputation.filter_urls(pages, labels.limit(0)).count() == 12
 
 
+@pytest.mark.parametrize("unseen", ["es", "fr"])
+def test_texts_in_an_unseen_language_are_rejected(spark, folder, unseen):
+    """The model calibrates on few rows here; it judges all texts, of which it has seen those of the other languages."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language_id.fit(docs.where(F.col("lang") != unseen))
+    got = docs.select("doc_id", "lang").join(language_id.predict(docs, model), "doc_id").collect()
+    new, known = [r.rejected for r in got if r.lang == unseen], [r.rejected for r in got if r.lang != unseen]
+    assert sum(new) >= 0.95 * len(new) and sum(known) <= 0.02 * len(known)
+
+
+def test_ranked_slices_choose_the_same_rows(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS lang", "'word' AS text")
+    for limit in (5, 1500):
+        got = {(r.lang, r.key) for r in language_id.sample(docs, limit).collect()}
+        order = docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+        assert got == {(r.lang, str(r.doc_id)) for lang in "ab" for r in [r for r in order if r.lang == lang][:limit]}
+
+
 def plain_reputations(outcomes, hosts, z=url_reputation.Z):
     """Posterior bound of every host, level by level; names here have one-label suffixes and no ports."""
     cut = {h: (h.split(".")[-1], ".".join(h.split(".")[-2:]), h) for h in {h for h, _ in outcomes} | set(hosts)}
