@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, exact_dedup, html_extract, jaccard_tiles, language_id, packing, sharding, substring_dedup, suffix_dedup, url_reputation
+from kindred.llm import (
+    decontaminate, exact_dedup, html_extract, jaccard_tiles, language_id, packing, periodic_runs, piece_encoding, prefix_trie, sharding, substring_dedup,
+    suffix_dedup, url_reputation,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -81,3 +84,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 @query
 def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(pages(spark, folder))
+
+
+@query
+def op11_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_encoding.digest(documents(spark, folder))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.nodes(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.ORACLE
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digest(documents(spark, folder))
