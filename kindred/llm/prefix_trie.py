@@ -263,13 +263,20 @@ def trie(turns: DataFrame, lengths: DataFrame, band: int = BAND, shard_bytes: in
 
     turns: conv_id, depth (1, 2, ...), turn_id, bytes; lengths: conv_id and length of each conversation, 0 included.
     """
-    wide = F.floor((F.col("depth") - 1) / band) + 1
-    turns = materialize(turns.withColumn("band", F.length(F.bin(wide.cast("long"))) - 1))
+    def band_of(depth):
+        return F.length(F.bin((F.floor((depth - 1) / band) + 1).cast("long"))) - 1
+
+    turns = materialize(turns.withColumn("band", band_of(F.col("depth"))))
     pieces = turns.groupBy("conv_id", "band").agg(*[F.bit_xor(F.xxhash64("turn_id", "depth", F.lit(k))).alias(f"x{k}") for k in (0, 1)])
+    # A conversation that ends where a band ends is a member of that last node, but does not go on.
+    stop = lengths.where("length > 0").select("conv_id", band_of(F.col("length")).alias("last"), band_of(F.col("length") + 1).alias("band"))
+    pieces = pieces.withColumn("goes_on", F.lit(True)).unionByName(
+        stop.where("band > last").select("conv_id", "band", *[F.lit(0).cast("long").alias(f"x{k}") for k in (0, 1)], F.lit(False).alias("goes_on"))
+    )
     before = Window.partitionBy("conv_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select("conv_id", "band", *[F.bit_xor(f"x{k}").over(before).alias(f"x{k}") for k in (0, 1)]).where("band > 0")
-    groups = starts.groupBy("band", "x0", "x1").agg(F.count("*").alias("members"), F.min("conv_id").alias("start_conv"))
-    deep = materialize(starts.join(groups, ["band", "x0", "x1"]))
+    starts = pieces.select("conv_id", "band", "goes_on", *[F.bit_xor(f"x{k}").over(before).alias(f"x{k}") for k in (0, 1)]).where("band > 0")
+    groups = starts.groupBy("band", "x0", "x1").agg(F.count_if("goes_on").alias("members"), F.min("conv_id").alias("start_conv"))
+    deep = materialize(starts.where("goes_on").join(groups, ["band", "x0", "x1"]))
     shared = deep.where("members > 1").select("conv_id", "band", F.col("x0").alias("start"), "start_conv")
     done, carry = [], None
     for k in sorted((r.band for r in shared.select("band").distinct().collect()), reverse=True):
@@ -285,12 +292,12 @@ def trie(turns: DataFrame, lengths: DataFrame, band: int = BAND, shard_bytes: in
     arrays = arrays.withColumn("ids", F.coalesce("ids", nothing)).withColumn("sizes", F.coalesce("sizes", nothing))
     nodes, _ = _band(_carried(arrays, carry, band), 0, 0, shard_bytes)
     done.append(nodes.withColumn("parent_conv_id", F.when(F.col("depth") > 0, F.col("parent_conv_id"))))
-    alone = deep.where("members = 1").select("conv_id", "band")
+    alone = deep.where("members = 1").select("conv_id", "band", "start_conv")
     chain = turns.join(alone, ["conv_id", "band"]).join(lengths, "conv_id")
-    last = F.col("depth") == F.col("length")
+    last, head = F.col("depth") == F.col("length"), band_of(F.col("depth") - 1) < F.col("band")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     done.append(chain.select(
-        "conv_id", "depth", F.col("conv_id").alias("parent_conv_id"), one.alias("n_convs"), F.when(last, none).otherwise(one).alias("n_children"), one.alias("n_leaves"),
+        "conv_id", "depth", F.when(head, F.col("start_conv")).otherwise(F.col("conv_id")).alias("parent_conv_id"), one.alias("n_convs"), F.when(last, none).otherwise(one).alias("n_children"), one.alias("n_leaves"),
         none.alias("saved_tokens"), F.sha2(F.when(last, F.col("conv_id").cast("string")).otherwise("").cast("binary"), 256).alias("ends_sha256"),
     ))
     return list(accumulate(done, DataFrame.unionByName))[-1]
