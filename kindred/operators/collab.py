@@ -89,15 +89,18 @@ def _neighbour_scores(near: np.ndarray, values: np.ndarray, k: int, skip_top: bo
     if skip_top:
         near[sim.order_keys(near.T).argmax(1), np.arange(near.shape[1])] = sim.BARRED
     near[near == sim.BARRED] = 0.0
-    weight = np.abs(near).sum(0)
-    return np.where(weight > 0, values @ near / np.where(weight > 0, weight, 1.0), 0.0)
+    weight, total = np.abs(near).sum(0), values @ near
+    if (values < 0).any() or (near < 0).any():  # terms that cancel leave rounding errors
+        total[np.abs(total) <= min(keep, len(near)) * sim.EPSILON * (np.abs(values) @ np.abs(near))] = 0.0
+    return np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), 0.0)
 
 
 def _similarities(targets: pa.Table, candidates: pa.Table, table: pa.Table):
     """Candidates x targets products of a task; those with a long vector come ready-made in rows of side 3."""
     target_ids, candidate_ids = targets.column("tid").to_numpy(), candidates.column("cid").to_numpy()
-    scores = sim.block_product(
-        len(candidate_ids), sim.unpack(candidates, "dims", "ws"), len(target_ids), sim.unpack(targets, "dims", "ws")
+    scores = sim.block_scores(
+        len(candidate_ids), sim.unpack(candidates, "dims", "ws"), sim.norms_of(candidates),
+        len(target_ids), sim.unpack(targets, "dims", "ws"), sim.norms_of(targets),
     )
     if "sim" in table.column_names:
         given = table.filter(pa.compute.equal(table.column("side"), 3))
@@ -246,7 +249,7 @@ def neighbour_predictions(
     long_ids = None if long is None else long.select("id").distinct()
     if long_ids is not None:  # long rows take part without their vector
         none = [F.array().cast(packed.schema[x].dataType).alias(x) for x in ("dims", "ws")]
-        packed = packed.unionByName(long_ids.select("id", *none))
+        packed = packed.unionByName(long_ids.select("id", *none, F.lit(1.0).alias("norm")))
     wanted, wanted_rows = packed, size.rows
     if targets is not None:
         ids = targets.select("id").distinct()
@@ -261,10 +264,10 @@ def neighbour_predictions(
     plain = predicted.join(hot, "dim", "left_anti") if is_hot else predicted
 
     left = wanted.select(i.alias("i"), sim.every_block(down).alias("c"), F.lit(0).alias("side"),
-                         F.col("id").alias("tid"), "dims", "ws")
+                         F.col("id").alias("tid"), "dims", "ws", "norm")
     in_block = plain.groupBy("id", c.alias("c")).agg(F.collect_list(F.struct("dim", "w")).alias("v"))
     right = packed.join(in_block, "id").select(
-        sim.every_block(across).alias("i"), "c", F.lit(1).alias("side"), F.col("id").alias("cid"), "dims", "ws",
+        sim.every_block(across).alias("i"), "c", F.lit(1).alias("side"), F.col("id").alias("cid"), "dims", "ws", "norm",
         F.col("v.dim").alias("columns"), F.col("v.w").alias("values"),
     )
     rows = left.unionByName(right, allowMissingColumns=True)
@@ -308,10 +311,10 @@ def _hot_predictions(cells, packed, wanted, edges, hot, across, rows, k, skip_to
     filled = cells.join(hot, "dim", "left_semi").groupBy("id").agg(F.collect_list(F.struct("dim", "w")).alias("v"))
     right = packed.join(filled, "id").select(
         sim.every_block(across).alias("i"), sim.block_of("id", down).alias("j"), F.lit(1).alias("side"),
-        F.col("id").alias("cid"), "dims", "ws", F.col("v.dim").alias("columns"), F.col("v.w").alias("values"),
+        F.col("id").alias("cid"), "dims", "ws", "norm", F.col("v.dim").alias("columns"), F.col("v.w").alias("values"),
     )
     left = wanted.select(sim.block_of("id", across).alias("i"), sim.every_block(down).alias("j"), F.lit(0).alias("side"),
-                         F.col("id").alias("tid"), "dims", "ws")
+                         F.col("id").alias("tid"), "dims", "ws", "norm")
     id_type, dim_type = (cells.schema[x].dataType.simpleString() for x in ("id", "dim"))
     tasks = left.unionByName(right, allowMissingColumns=True)
     if edges is not None:
@@ -324,9 +327,9 @@ def _hot_predictions(cells, packed, wanted, edges, hot, across, rows, k, skip_to
     ranked = partial.withColumn("place", F.row_number().over(pair)).filter(F.col("place") <= keep)
     if skip_top:
         ranked = ranked.filter("place > 1")
-    found = ranked.groupBy("target_id", "item_id").agg(
-        F.coalesce(F.try_divide(F.sum(F.col("sim") * F.col("value")), F.sum(F.abs("sim"))), F.lit(0.0)).alias("score")
-    )
+    term = F.col("sim") * F.col("value")
+    total = sim.settled(F.sum(term), F.sum(F.abs(term)), F.count(F.lit(1)))
+    found = ranked.groupBy("target_id", "item_id").agg(F.coalesce(F.try_divide(total, F.sum(F.abs("sim"))), F.lit(0.0)).alias("score"))
     rated = cells.select(F.col("id").alias("target_id"), F.col("dim").alias("item_id"))
     if asked is None:
         return found.join(rated, ["target_id", "item_id"], "left_anti").filter("score > 0")

@@ -26,6 +26,7 @@ MAX_PARTITIONS = 50_000
 ABOVE_ZERO = 5e-324  # the smallest positive number: only zero and negative scores are below it
 BARRED = -np.inf  # marks a pair that may not come back
 STRIP = 2048
+EPSILON = float(np.finfo(float).eps)
 _EXPAND = 4_000_000
 
 
@@ -69,26 +70,28 @@ def by_task(rows: DataFrame, tasks: int):
     return rows.repartitionById(min(tasks, MAX_PARTITIONS), "task").groupBy("task")
 
 
-def unit_cells(cells: DataFrame) -> DataFrame:
-    """Scale every vector of (id, dim, w) to length 1; zero vectors vanish."""
+def normed_cells(cells: DataFrame) -> DataFrame:
+    """(id, dim, w, norm) with every vector's norm; zero vectors vanish."""
     norms = cells.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return (
-        cells.join(norms.filter("norm > 0"), "id")
-        .select("id", "dim", (F.col("w") / F.col("norm")).alias("w"))
-        .filter("w <> 0")
-    )
+    return cells.filter("w <> 0").join(norms.filter("norm > 0"), "id").select("id", "dim", "w", "norm")
+
+
+def settled(total: Column, size: Column, terms: Column) -> Column:
+    """A sum of that many terms, 0 where rounding alone may have made it; ``size`` is the sum of the terms' absolute values."""
+    return F.when(F.abs(total) <= terms * F.lit(EPSILON) * size, 0.0).otherwise(total)
 
 
 def pack(cells: DataFrame, scale: bool = False) -> DataFrame:
-    """One row per vector: (id, dims, ws), scaled to length 1 on demand. Long vectors are split off before."""
+    """One row per vector: (id, dims, ws), on demand with its norm, by which products are divided. Long vectors are split off before.
+
+    Weights stay as they are: products of whole numbers then cancel exactly, which those of scaled weights do not.
+    """
     rows = cells.groupBy("id").agg(
         F.collect_list(F.struct("dim", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
     if not scale:
         return rows.select("id", F.col("v.dim").alias("dims"), F.col("v.w").alias("ws"))
-    return rows.filter("norm > 0").select(
-        "id", F.col("v.dim").alias("dims"), F.transform("v.w", lambda w: w / F.col("norm")).alias("ws")
-    )
+    return rows.filter("norm > 0").select("id", F.col("v.dim").alias("dims"), F.col("v.w").alias("ws"), "norm")
 
 
 def unpack(table: pa.Table, lists: str, values: str | None = None):
@@ -146,6 +149,26 @@ def block_product(na, left, nb, right) -> np.ndarray:
     return out
 
 
+def block_scores(na, left, left_norms, nb, right, right_norms) -> np.ndarray:
+    """Products of two blocks, divided by the vectors' norms where there are some.
+
+    A sum that is within the rounding error of its own terms counts as 0. Only where weights differ in sign can terms cancel.
+    """
+    out = block_product(na, left, nb, right)
+    if (left[2] < 0).any() or (right[2] < 0).any():
+        size = block_product(na, (left[0], left[1], np.abs(left[2])), nb, (right[0], right[1], np.abs(right[2])))
+        terms = min(np.bincount(side[0]).max(initial=0) for side in (left, right))
+        out[np.abs(out) <= terms * EPSILON * size] = 0.0
+    if left_norms is not None:
+        out /= left_norms[:, None]
+        out /= right_norms[None, :]
+    return out
+
+
+def norms_of(table: pa.Table) -> np.ndarray | None:
+    return table.column("norm").to_numpy() if "norm" in table.column_names else None
+
+
 def order_keys(scores: np.ndarray) -> np.ndarray:
     """Scores as the ranking compares them: rounded to 9 digits, in units of the last. Any finite score and -inf are fine."""
     return np.rint(scores * 1e9)
@@ -214,6 +237,7 @@ def _best_of_block(n: int, floor: float | None, clip: tuple | None, skip_self: b
         if not len(target_ids) or not len(candidate_ids):
             return scores_table([], [], [], table)
         left, right = encode(unpack(targets, "dims", "ws"), unpack(candidates, "dims", "ws"))
+        target_norms, norms = norms_of(targets), norms_of(candidates)
         barred = None
         if masked.num_rows:
             rows, ids, _ = unpack(masked, "masked")
@@ -223,7 +247,7 @@ def _best_of_block(n: int, floor: float | None, clip: tuple | None, skip_self: b
             ids = candidate_ids[start: start + STRIP]
             part = slice(*np.searchsorted(right[0], [start, start + len(ids)]))
             strip = right[0][part] - start, right[1][part], right[2][part]
-            scores = block_product(len(target_ids), left, len(ids), strip)
+            scores = block_scores(len(target_ids), left, target_norms, len(ids), strip, None if norms is None else norms[start: start + STRIP])
             if clip:
                 np.clip(scores, *clip, out=scores)
             if floor is not None:
@@ -260,18 +284,18 @@ def block_topn(
 ) -> DataFrame:
     """The n best candidates of each target by dot product: (target_id, item_id, score, rank).
 
-    ``targets`` and ``candidates`` are packed vectors (id, dims, ws). Scores below ``floor`` do not count; None keeps
+    ``targets`` and ``candidates`` are packed vectors (id, dims, ws), both with a norm or both without. Scores below ``floor`` do not count; None keeps
     all. ``exclude`` holds pairs (id, dim) of target and candidate that may not come back.
     """
     across = blocks(target_rows, TARGET_BLOCK, cores(targets))
     down = blocks(candidate_rows, CANDIDATE_BLOCK)
     left = targets.select(
         block_of("id", across).alias("i"), every_block(down).alias("j"), F.lit(0).alias("side"),
-        F.col("id").alias("tid"), "dims", "ws",
+        F.col("id").alias("tid"), *vector(targets),
     )
     right = candidates.select(
         every_block(across).alias("i"), block_of("id", down).alias("j"), F.lit(1).alias("side"),
-        F.col("id").alias("cid"), "dims", "ws",
+        F.col("id").alias("cid"), *vector(candidates),
     )
     rows = left.unionByName(right, allowMissingColumns=True)
     if exclude is not None:
@@ -286,6 +310,10 @@ def block_topn(
     return top_n(best, n, ["target_id"], digits=digits)
 
 
+def vector(packed: DataFrame) -> list[str]:
+    return [c for c in ("dims", "ws", "norm") if c in packed.columns]
+
+
 def pair_schema(targets: DataFrame, target: str, items: DataFrame, item: str) -> str:
     kinds = targets.schema[target].dataType.simpleString(), items.schema[item].dataType.simpleString()
     return f"target_id {kinds[0]}, item_id {kinds[1]}, score double"
@@ -294,8 +322,9 @@ def pair_schema(targets: DataFrame, target: str, items: DataFrame, item: str) ->
 def _pairs_of_block(table: pa.Table) -> pa.Table:
     targets, candidates, _ = sides(table)
     target_ids, candidate_ids = targets.column("tid").to_numpy(), candidates.column("cid").to_numpy()
-    scores = block_product(
-        len(target_ids), unpack(targets, "dims", "ws"), len(candidate_ids), unpack(candidates, "dims", "ws")
+    scores = block_scores(
+        len(target_ids), unpack(targets, "dims", "ws"), norms_of(targets),
+        len(candidate_ids), unpack(candidates, "dims", "ws"), norms_of(candidates),
     )
     rows, columns = np.nonzero(scores)
     ids, others = target_ids[rows], candidate_ids[columns]
@@ -309,12 +338,12 @@ def _pairs_of_block(table: pa.Table) -> pa.Table:
 def split_long(
     cells: DataFrame, size: Extent, longest: int, normalized: bool
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Packed unit vectors and, where some are too long for one row, all unit cells and those of the long ones."""
+    """Packed vectors and, where some are too long for one row, all cells with their norms and those of the long ones."""
     if size.longest <= longest:
         return pack(cells, scale=not normalized), None, None
-    unit = cells if normalized else unit_cells(cells)
+    normed = cells.withColumn("norm", F.lit(1.0)) if normalized else normed_cells(cells)
     names = cells.groupBy("id").count().filter(F.col("count") > longest).select("id")
-    return pack(unit.join(names, "id", "left_anti")), unit, unit.join(names, "id", "left_semi")
+    return pack(cells.join(names, "id", "left_anti"), scale=not normalized), normed, normed.join(names, "id", "left_semi")
 
 
 def both_ways(unit: DataFrame, long: DataFrame) -> DataFrame:
@@ -332,11 +361,14 @@ def long_products(cells: DataFrame, long: DataFrame) -> DataFrame:
     At most (all cells / longest) vectors are long, so a cell meets a bounded number of partners and
     the sums combine before the shuffle.
     """
-    other = long.select("dim", F.col("id").alias("other"), F.col("w").alias("other_w"))
-    return (
-        cells.join(other, "dim").filter("id <> other")
-        .groupBy("id", "other").agg(F.sum(F.col("w") * F.col("other_w")).alias("score"))
+    other = long.select("dim", F.col("id").alias("other"), F.col("w").alias("other_w"), F.col("norm").alias("other_norm"))
+    product = F.col("w") * F.col("other_w")
+    sums = cells.join(other, "dim").filter("id <> other").groupBy("id", "other").agg(
+        F.sum(product).alias("total"), F.sum(F.abs(product)).alias("size"), F.count(F.lit(1)).alias("terms"),
+        F.first("norm").alias("norm"), F.first("other_norm").alias("other_norm"),
     )
+    score = settled(F.col("total"), F.col("size"), F.col("terms")) / F.col("norm") / F.col("other_norm")
+    return sums.select("id", "other", score.alias("score"))
 
 
 def cosine_pairs(
@@ -352,9 +384,9 @@ def cosine_pairs(
     count = blocks(size.rows, 4 * TARGET_BLOCK, cores(cells))
     mine = block_of("id", count)
     left = packed.select(mine.alias("i"), F.explode(F.sequence(mine, F.lit(count - 1))).alias("j"),
-                         F.lit(0).alias("side"), F.col("id").alias("tid"), "dims", "ws")
+                         F.lit(0).alias("side"), F.col("id").alias("tid"), *vector(packed))
     right = packed.select(F.explode(F.sequence(F.lit(0), mine)).alias("i"), mine.alias("j"),
-                          F.lit(1).alias("side"), F.col("id").alias("cid"), "dims", "ws")
+                          F.lit(1).alias("side"), F.col("id").alias("cid"), *vector(packed))
     rows = left.unionByName(right, allowMissingColumns=True)
     rows = rows.withColumn("task", (F.col("j") * (F.col("j") + 1) / 2).cast("int") + F.col("i"))
     pairs = by_task(rows, count * (count + 1) // 2).applyInArrow(
@@ -363,7 +395,7 @@ def cosine_pairs(
     if long is not None:
         once = long_products(unit, long).join(
             long.select(F.col("id").alias("id")).distinct().withColumn("both", F.lit(True)), "id", "left"
-        ).filter("both is null or id < other")
+        ).filter("(both is null or id < other) and score <> 0")
         pairs = pairs.unionByName(once.select(
             F.least("id", "other").alias("target_id"), F.greatest("id", "other").alias("item_id"), "score"
         ))
@@ -375,13 +407,11 @@ def dense_topn(targets: DataFrame, rows: DataFrame, n: int, floor: float | None
 
     Vectors of length 0 have no neighbours. With ``floor=None`` similarities of either sign count.
     """
-    def unit(packed: DataFrame) -> DataFrame:
+    def normed(packed: DataFrame) -> DataFrame:
         length = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda total, w: total + w * w))
-        return packed.withColumn("_length", length).filter("_length > 0").select(
-            "id", "dims", F.transform("ws", lambda w: w / F.col("_length")).alias("ws")
-        )
+        return packed.withColumn("norm", length).filter("norm > 0").select("id", "dims", "ws", "norm")
 
-    return block_topn(unit(targets), unit(rows), n, targets.count(), rows.count(), skip_self=True, floor=floor)
+    return block_topn(normed(targets), normed(rows), n, targets.count(), rows.count(), skip_self=True, floor=floor)
 
 
 def cosine_topn(

@@ -202,6 +202,27 @@ def _(spark, folder):
     return collab.recommend_item_based(signed_ratings(spark, folder))
 
 
+_SIGNED_SIMS = _signed("user_id", "item_id", "").split("filled AS")[0].rstrip().rstrip(",")
+_SIGNED_ITEM_SIMS = _signed("item_id", "user_id", "").split("filled AS")[0].rstrip().rstrip(",")
+
+
+@query("user_cosine_signed", _SIGNED_SIMS + " SELECT t AS a, s AS b, round(sim, 6) AS sim FROM sims WHERE t < s")
+def _(spark, folder):
+    return _rounded_pairs(collab.user_cosine(signed_ratings(spark, folder)))
+
+
+@query("similar_users_signed", _SIGNED_SIMS + ", found AS (SELECT t AS user_id, s AS neighbour_id, sim AS score FROM sims WHERE sim > 0) "
+       + best("found", 5, "user_id", "user_id, neighbour_id", "neighbour_id"))
+def _(spark, folder):
+    return collab.similar_users(signed_ratings(spark, folder))
+
+
+@query("similar_items_signed", _SIGNED_ITEM_SIMS + ", found AS (SELECT t AS item_id, s AS neighbour_id, sim AS score FROM sims WHERE sim > 0) "
+       + best("found", 5, "item_id", "item_id, neighbour_id", "neighbour_id"))
+def _(spark, folder):
+    return collab.similar_items(signed_ratings(spark, folder))
+
+
 @query("user_liked", with_(RATINGS, LIKED, "SELECT user_id, item_id FROM liked"))
 def _(spark, folder):
     return collab.user_liked(wh.ratings(spark, folder)).select("user_id", "item_id")

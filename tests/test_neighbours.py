@@ -205,6 +205,40 @@ def test_signed_predictions_match_brute_force(spark, options):
     assert columns and pairs(collab.predict_user_based(frame(spark, cells), frame(spark, cells), k=5, **options)) == want
 
 
+def cancelling_ratings(seed):
+    """Whole numbers of which many products cancel: every row is made of pairs of opposite ratings."""
+    rng, cells = random.Random(seed), {}
+    for u in range(30):
+        for i in range(0, 24, 2):
+            if rng.random() < 0.4:
+                r = rng.choice([1, 2, 3])
+                cells[u, i], cells[u, i + 1] = r, r * rng.choice([1, -1])
+        cells[u, 24 + u % 5] = rng.choice([-2, 2, 5])
+    return cells
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_column": 4}, {"longest": 8}, {"hot_column": 4, "longest": 8}])
+def test_products_that_cancel_are_zero(spark, options):
+    """Dots are whole numbers here; a row similar by exactly 0 must not become a neighbour through rounding."""
+    cells = cancelling_ratings(13)
+    sims, rows, columns = brute_cosine(cells), {a for a, _ in cells}, {b for _, b in cells}
+    assert len(sims) < len(rows) * (len(rows) - 1) * 0.9
+    longest = {"longest": options["longest"]} if "longest" in options else {}
+    found = pairs(sim.cosine_pairs(collab.user_cells(frame(spark, cells)), **longest), 9)
+    assert found == {k: pytest.approx(v, abs=1e-9) for k, v in sims.items() if k[0] < k[1]}
+    nearest = sim.cosine_topn(collab.user_cells(frame(spark, cells)), 40, **longest).collect()
+    assert {(r["target_id"], r["item_id"]) for r in nearest} == {k for k, v in sims.items() if v > 0}
+    want = {}
+    for t in rows:
+        for c in columns:
+            near = sorted((-round(sims.get((t, s), 0.0), 9), s) for s in rows if s != t and (s, c) in cells)[:5]
+            weight = math.fsum(abs(sims.get((t, s), 0.0)) for _, s in near)
+            total = math.fsum(sims.get((t, s), 0.0) * cells[s, c] for _, s in near)
+            want[t, c] = pytest.approx(total / weight if weight else 0.0, abs=2e-6)
+    every = frame(spark, cells).select("user_id").distinct().crossJoin(frame(spark, cells).select("item_id").distinct())
+    assert pairs(collab.predict_user_based(frame(spark, cells), every, k=5, **options)) == want
+
+
 def test_scores_of_any_size_are_ranked(spark):
     rows = spark.createDataFrame([(i, [0], [w]) for i, w in enumerate([9e9, 5e9, 3e9, 2e9, 1e3, -5e4, -8e12])], "id bigint, dims array<int>, ws array<double>")
     one = spark.createDataFrame([(99, [0], [1.0])], "id bigint, dims array<int>, ws array<double>")
