@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from kindred.llm.blocks import found
+from kindred.llm.hashing import hash_words, runs
 from kindred.llm.numbering import numbered
 from kindred.session import materialize
 
@@ -27,9 +29,16 @@ TOKENIZER = "byte_bpe_50k.json"
 # Fixed value: the tokenizer's one special token.
 SPECIAL = "<|endoftext|>"
 UNCUT = re.compile(r" (?:\s|\Z)")
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 TEXT_SLICE = 1 << 20
 LINES = 500
+# Bytes of ASCII signs that are no white space, and letters and digits of these.
+SIGN, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+SIGN[0x21:0x7F] = True
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+# Keys of what follows a word without a space; words without one before them have keys of their own.
+SIGNS = {",": 1, ".": 2, "\n": 3}
+BARE = 0x5851F42D4C957F2D
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,10 +48,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Little-endian 32-bit ids. Words seen before are kept with what follows them, new ones go to the tokenizer in batches.
+    """Little-endian 32-bit ids of whole texts from the ids of their units, each of which the tokenizer sees once.
 
     The tokenizer never joins a space and a following sign with what is before them, so a text can be cut before each such
-    space. Texts where a space comes before white space or the end, or with the special token's own signs, are not cut.
+    space. A line end between two signs is a token of its own, and so is a comma or full stop at the end of a word, after a
+    letter or digit. Texts where a space comes before white space or the end, or with the special token's own signs, are not
+    cut. Units are the same when their 64-bit hashes are; those seen lately are kept as arrays, some 40 bytes for each.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,65 +61,100 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.tails = {sign: self.whole(sign) for sign in ",."}
-        self.known: dict[str, bytes] = {}
+        fixed = {key: self.whole(sign) for sign, key in SIGNS.items()}
+        self.line_end = np.frombuffer(fixed[SIGNS["\n"]], "<u4")[0]
+        self.fixed = np.array(sorted(fixed), np.uint64), [fixed[k] for k in sorted(fixed)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begin, self.size = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+        self.table = np.zeros(0, "<u4")
+        self._remember(*self.fixed)
+
+    def _remember(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        begin = len(self.table) + np.cumsum(size) - size
+        self.table = np.concatenate([self.table, np.frombuffer(b"".join(ids), "<u4")])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.size = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.begin, begin), (self.size, size)))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if SPECIAL in text or UNCUT.search(text) else text.split(" ") for text in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        self._learn({part for own in parts if own for part in own[1:] if part not in self.known})
-        known = self.known.__getitem__
-        return [self.whole(text) if own is None else self.whole(own[0]) + b"".join(map(known, own[1:])) for text, own in zip(texts, parts, strict=True)]
-
-
-    def _learn(self, new: set[str]) -> None:
-        """Words go as lines of some short texts, much faster than one by one.
-
-        A comma or full stop at the end of a word, after a letter or digit, is always a token of its own, and so is a single
-        line end between two words.
-        """
-        known, tails, ended, broken, rest, plain = self.known, self.tails, [], [], [], set()
-        for part in new:
-            if part.isprintable():
-                if part[-1] in tails and part[-2:-1].isalnum():
-                    ended.append(part)
-                    part = part[:-1]
-                if part not in known:
-                    plain.add(part)
-                continue
-            left, _, right = part.partition("\n")
-            if left and right and left.isprintable() and right.isprintable():
-                broken.append((part, left, "\n" + right))
-                plain.update(x for x in (left, "\n" + right) if x not in known)
+        out: list[bytes] = [b""] * len(texts)
+        cut = []
+        for k, text in enumerate(texts):
+            if SPECIAL in text or UNCUT.search(text):
+                out[k] = self.whole(text)
             else:
-                rest.append(part)
-        plain = list(plain)
-        # A word at the start of a line is kept with the line end before it.
-        lines = [part if part[0] == "\n" else f" {part}" for part in plain]
-        for k in range(0, len(plain), LINES):
-            group = plain[k : k + LINES]
-            found = self.tokenizer.encode_batch_fast(["\n".join(x.lstrip("\n") for x in lines[k : k + LINES]) + "\n"], add_special_tokens=False)[0]
-            ids = np.array(found.ids, "<u4")
+                cut.append(k)
+        if not cut:
+            return out
+        data = [texts[k].encode() for k in cut]
+        whole = b" ".join(data) + b" "
+        buffer = np.frombuffer(whole, np.uint8)
+        place = np.cumsum([0] + [len(x) + 1 for x in data])
+        line = np.flatnonzero(buffer == 0x0A)
+        line = line[(line > 0) & SIGN[buffer[line - 1]] & SIGN[buffer[line + 1]]]
+        apart = buffer == 0x20
+        apart[line] = True
+        starts, ends = runs(~apart)
+        # No space is before the first word of a text and after a line end.
+        bare = (starts == 0) | (buffer[starts - 1] != 0x20)
+        bare[np.isin(starts, place[:-1])] = True
+        last = buffer[ends - 1]
+        tail = (ends - starts > 1) & ((last == 0x2C) | (last == 0x2E)) & ALNUM[buffer[ends - 2]]
+        signs = ends[tail] - 1
+        ends = ends - tail
+        keys = hash_words(buffer, starts, ends)
+        keys[bare] ^= np.uint64(BARE)
+        points = np.where(buffer[signs] == 0x2C, np.uint64(SIGNS[","]), np.uint64(SIGNS["."]))
+        all_starts = np.concatenate([starts, signs, line])
+        order = np.argsort(all_starts, kind="stable")
+        all_keys = np.concatenate([keys, points, np.full(len(line), SIGNS["\n"], np.uint64)])[order]
+        different, chosen, unit = np.unique(all_keys, return_index=True, return_inverse=True)
+        new = found(different, self.keys) < 0
+        if new.any():
+            k = order[chosen[new]]  # signs are always known, so these are words
+            words = [(whole[a:b].decode(), c) for a, b, c in zip(starts[k].tolist(), ends[k].tolist(), bare[k].tolist(), strict=True)]
+            self._remember(different[new], self._learn(words))
+        at = found(different, self.keys)
+        sizes, begin = self.size[at], self.begin[at]
+        each = sizes[unit]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = self.table[np.repeat(begin[unit] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+        edges = 4 * upto[np.searchsorted(all_starts[order], place)]
+        for k, a, b in zip(cut, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
+        if len(self.keys) > CACHE_ENTRIES:
+            kept = [self.table[a : a + n].tobytes() for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+            known = np.isin(different, self.fixed[0])
+            self._forget()
+            self._remember(different[~known], [x for x, k in zip(kept, known.tolist(), strict=True) if not k])
+        return out
+
+    def _learn(self, words: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of new words; printable ones go as lines of some short texts, much faster than one by one."""
+        out: list[bytes] = [b""] * len(words)
+        lines, rest = [], []
+        for k, (word, _) in enumerate(words):
+            (lines if word.isprintable() else rest).append(k)
+        texts = [word if bare else f" {word}" for word, bare in words]
+        for start in range(0, len(lines), LINES):
+            group = lines[start : start + LINES]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([texts[k] for k in group]) + "\n"], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) != len(group):
                 rest += group
                 continue
             data, at = ids.tobytes(), 0
-            for part, end in zip(group, (4 * ends).tolist(), strict=True):
-                known[part] = data[at:end]
+            for k, end in zip(group, (4 * ends).tolist(), strict=True):
+                out[k] = data[at:end]
                 at = end + 4
-        for part, found in zip(rest, self.tokenizer.encode_batch_fast([part[1:] if part[0] == "\n" else f" {part}" for part in rest], add_special_tokens=False), strict=True):
-            known[part] = array("I", found.ids).tobytes()
-        for part in ended:
-            known[part] = known[part[:-1]] + tails[part[-1]]
-        line_end = array("I", [self.line_end]).tobytes()
-        for part, left, right in broken:
-            known[part] = known[left] + line_end + known[right]
+        for k, coded in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = array("I", coded.ids).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
