@@ -25,7 +25,10 @@ TILE_ROWS = 4096
 CELL_ROWS = 512
 # Bits of a counted shingle beyond those that number the bytes of the table.
 COUNT_BITS = 18
-PAIRS_AT_ONCE = 500
+# Bytes of texts whose shingle arrays are held at once, and signatures that are compared at once.
+SETS_BYTES = 8 << 20
+ROWS_AT_ONCE = 256
+KEYS_SEEN = 100_000
 
 
 def shingle_sets(texts: list, width: int):
@@ -89,6 +92,8 @@ class Tile:
 
         A bit that one signature has and the other lacks stands for a shingle at least that is not shared.
         """
+        if len(others) > ROWS_AT_ONCE:
+            return np.concatenate([self.passing(k, others[a : a + ROWS_AT_ONCE]) for a in range(0, len(others), ROWS_AT_ONCE)])
         n, m = self.n[k], self.n[others]
         only_n = np.bitwise_count(self.bits[k] & ~self.bits[others]).sum(1, dtype=np.int64)
         only_m = np.bitwise_count(self.bits[others] & ~self.bits[k]).sum(1, dtype=np.int64)
@@ -143,8 +148,8 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1).to_pylist(), width))
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), batch.column(2)]
+            signed = [(len(s), set_key(s)) for s in shingle_sets(batch.column(1).to_pylist(), width)]
+            columns = [batch.column(0), pa.array([n for n, _ in signed], pa.int64()), pa.array([k for _, k in signed], pa.binary()), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "text_md5"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.md5("text").alias("text_md5"))
@@ -152,13 +157,13 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _distinct_texts(docs: DataFrame, width: int) -> DataFrame:
-    """(key, compressed text) with one text of each class for each task."""
+    """(key, compressed text) with one text of each class. A task sends few copies of a class, an aggregate leaves one."""
 
     def first(batches):
         seen: set = set()
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            if len(seen) > 1_000_000:
+            if len(seen) > KEYS_SEEN:
                 seen.clear()
             keep, texts = [], batch.column(0).to_pylist()
             for text, shingles in zip(texts, shingle_sets(texts, width), strict=True):
@@ -167,7 +172,8 @@ def _distinct_texts(docs: DataFrame, width: int) -> DataFrame:
                     keep.append((key, press.compress(text)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.binary()), pa.array([t for _, t in keep], pa.binary())], names=["key", "text"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(first, "key binary, text binary")
+    sent = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(first, "key binary, text binary")
+    return materialize(sent.groupBy("key").agg(F.first("text").alias("text")))
 
 
 def candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -219,13 +225,46 @@ def _sets(texts, width: int):
     return shingle_sets([unpress(text) for text in texts], width)
 
 
+def _some(weights: list[int]):
+    """Slices of neighbouring places that weigh about SETS_BYTES together."""
+    start, total = 0, 0
+    for k, weight in enumerate(weights):
+        if total and total + weight > SETS_BYTES:
+            yield start, k
+            start, total = k, 0
+        total += weight
+    if start < len(weights):
+        yield start, len(weights)
+
+
+class SetsOf:
+    """Shingle sets of compressed texts, made when asked for; those asked for last are held, of about SETS_BYTES of text."""
+
+    def __init__(self, texts: list[bytes], width: int) -> None:
+        self.texts, self.width = texts, width
+        self.held: dict[int, np.ndarray] = {}
+        self.bytes = 0
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        if k in self.held:
+            self.held[k] = self.held.pop(k)
+            return self.held[k]
+        (own,) = _sets([self.texts[k]], self.width)
+        self.held[k] = own
+        self.bytes += own.nbytes
+        while self.bytes > SETS_BYTES and len(self.held) > 2:
+            self.bytes -= self.held.pop(next(iter(self.held))).nbytes
+        return own
+
+
 def _verified(pairs: DataFrame, classes_: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sorted shingle arrays are linked. The arrays are made again from the texts, which are smaller."""
 
     def check(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, PAIRS_AT_ONCE):
-                rows = list(zip(*(batch.slice(start, PAIRS_AT_ONCE).column(i).to_pylist() for i in range(4)), strict=True))
+            sizes = [sum(map(zstandard.frame_content_size, texts)) for texts in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True)]
+            for start, end in _some(sizes):
+                rows = list(zip(*(batch.slice(start, end - start).column(i).to_pylist() for i in range(4)), strict=True))
                 texts = {k: t for a, b, x, y in rows for k, t in ((a, x), (b, y))}
                 sets = dict(zip(texts, _sets(texts.values(), width), strict=True))
                 yield _pairs([(a, b) for a, b, _, _ in rows if _linked_sets(sets[a], sets[b], percent)])
@@ -303,7 +342,7 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_rows
     def compare(batches):
         for table, tile in _tiles(batches, "cell", percent):
             keys, roots_ = table.column("key").to_pylist(), table.column("root").to_pylist()
-            sets = list(_sets(table.column("text").to_pylist(), width))
+            sets = SetsOf(table.column("text").to_pylist(), width)
             parent, out = {r: r for r in roots_}, []
 
             def top(r, parent=parent):
