@@ -7,6 +7,7 @@ choice exists, so an ancestor and its descendants never contradict each other.
 """
 
 import html
+import random
 import re
 from dataclasses import dataclass, field
 
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 400
+SAMPLE_PAGES, MADE_PAGES = 400, 300
 TREES, DEPTH, BINS, RATE = 40, 3, 16, 0.3
 SPLIT_COST = 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)", re.S)
+BETWEEN, NAME, EQUALS, UNQUOTED = (re.compile(p) for p in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,8 +70,9 @@ def parse(page: str) -> Page:
     left open is lost.
     """
     out, stack, at, n = Page(), [0], 0, len(page)
+    last, unclosed, unended = page.rfind(">"), set(), set()
     while at < n:
-        match = TOKEN.search(page, at)
+        match = TOKEN.search(page, at, last + 1) if at <= last else None
         if match is None:
             out.texts.append((stack[-1], page[at:]))
             break
@@ -89,6 +91,7 @@ def parse(page: str) -> Page:
         if not match[2]:
             continue
         name = match[2].lower()
+        at, tokens, empty = _attributes(page, at, unclosed)
         if name == "br":
             out.texts.append((stack[-1], " "))
         if name in VOID:
@@ -96,27 +99,55 @@ def parse(page: str) -> Page:
         if name in RAW:
             # In a drawing or formula these may be empty (`<title/>`), and one left open ends with it at the latest.
             foreign = any(out.tag[k] in FOREIGN for k in stack)
-            if not (foreign and match[3].rstrip().endswith("/")):
+            if not (foreign and empty) and name not in unended:
                 end = re.compile(rf"</{re.escape(name)}\s*>" + (r"|(?=</(?:svg|math)\s*>)" if foreign else ""), re.I).search(page, at)
                 at = end.end() if end else at if foreign else n
+                if not end:
+                    unended.add(name)
             continue
         if name in CLOSES_P:
             _close(out, stack, {"p"}, frozenset())
         if name in SELF_CLOSING:
             _close(out, stack, SELF_CLOSING[name], LIST_SCOPE)
-        tokens = set()
-        for key, a, b, c in ATTRIBUTE.findall(match[3]):
-            if key.lower() in ("class", "id", "role", "itemprop"):
-                tokens.update(WORD.findall((a or b or c).lower()))
         out.tag.append(name)
         out.parent.append(stack[-1])
         out.words.append(frozenset(tokens))
-        if not match[3].rstrip().endswith("/") or name in BLOCK:
+        if not empty or name in BLOCK:
             stack.append(len(out.tag) - 1)
     _end(out, stack, 1)
     return out
 
 
+def _attributes(page: str, at: int, unclosed: set) -> tuple[int, set, bool]:
+    """Where the tag ends whose name ends at `at`, the words of its telling attributes, and whether it closes itself.
+
+    One pass by state: a quote opens a value only right behind `=`. A quote that the page never closes is an ordinary sign;
+    `unclosed` remembers it, so that the page is not searched for it again.
+    """
+    tokens: set = set()
+    n, value_end = len(page), -1
+    while at < n:
+        at = BETWEEN.match(page, at).end()
+        if page[at : at + 1] in (">", ""):
+            break
+        name = NAME.match(page, at)
+        at = name.end()
+        if equals := EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            end = page.find(quote, at + 1) if quote in ("'", '"') and quote not in unclosed else -1
+            if end >= 0:
+                value, at = page[at + 1 : end], end + 1
+            else:
+                if quote in ("'", '"'):
+                    unclosed.add(quote)
+                value = UNQUOTED.match(page, at)[0]
+                at = value_end = at + len(value)
+            if name[0].lower() in ("class", "id", "role", "itemprop"):
+                tokens.update(WORD.findall(value.lower()))
+    return min(at + 1, n), tokens, at != value_end and page[at - 1 : at] == "/"
+
+
 def _end(page: Page, stack: list[int], k: int, closed: bool = False) -> None:
     """Ends the nodes from stack[k] on; `closed` says that stack[k] has its end tag.
 
@@ -294,13 +325,67 @@ def text_of(page: Page, kept: np.ndarray) -> str:
     return "\n\n".join(b for b in cleaned if b)
 
 
+def made_pages(n: int = MADE_PAGES):
+    """(page, its bare twin) of invented pages in many layouts, with comments, footers, menus of any length, notices and forms.
+
+    The twin has the same nodes, but plain `div` and no attributes, where the page names its parts in half of the cases. What a
+    collection's own pages never show, such as reader comments with paragraphs like an article's, is learned from these.
+    """
+    rng = random.Random(20240917)
+
+    def words(k):
+        return " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(k))
+
+    def prose(tag="p", low=12, high=90):
+        return f"<{tag}>{words(rng.randrange(low, high)).capitalize()}, {words(rng.randrange(3, 15))}.</{tag}>"
+
+    def links(k):
+        return "<ul>" + "".join(f"<li><a>{words(rng.randrange(1, 3))}</a></li>" for _ in range(k)) + "</ul>"
+
+    def named(kind):
+        tag, name = rng.choice(kind)
+        if not name or tag != "div" and rng.random() < 0.5:
+            return f"<{tag}>", f"</{tag}>"
+        return f'<{tag} {rng.choice(["class", "id"])}="{name}">', f"</{tag}>"
+
+    def wrap(kind, inner):
+        start, end = named(kind)
+        return start + inner + end
+
+    def comment():
+        return wrap([("div", "comment"), ("li", "comment"), ("article", "comment reply")], prose(low=3, high=40) * rng.randrange(1, 3))
+
+    def comments():
+        return wrap([("section", "comments"), ("div", "comments"), ("div", "comment list")], "".join(comment() for _ in range(rng.randrange(1, 6))))
+
+    for _ in range(n):
+        article = [f"<h1>{words(6)}</h1>"] + [rng.choice([prose, prose, prose, lambda: prose("blockquote"), lambda: f"<ul>{prose('li', 4, 15) * 3}</ul>"])() for _ in range(rng.randrange(1, 9))]
+        if rng.random() < 0.3:
+            article.insert(rng.randrange(1, len(article) + 1), wrap([("div", "ad"), ("aside", "related"), ("div", "newsletter"), ("div", "share social")], prose(low=3, high=20)))
+        if rng.random() < 0.25:
+            article.append(comments())
+        body = wrap([("article", ""), ("main", ""), ("div", "content"), ("div", "post entry"), ("article", "story")], "".join(article))
+        top = [wrap([("nav", ""), ("div", "menu"), ("div", "navbar"), ("header", "")], rng.choice([links, lambda k: f"<a>{words(k % 3 + 1)}</a>"])(rng.randrange(1, 9)))]
+        if rng.random() < 0.4:
+            top.append(wrap([("div", "cookie notice"), ("div", "banner"), ("form", "login"), ("aside", "sidebar")], prose(low=3, high=30)))
+        foot = [comments()] if rng.random() < 0.4 else []
+        foot += [wrap([("footer", ""), ("div", "footer"), ("footer", "footer")], prose(low=2, high=25) + (links(rng.randrange(1, 5)) if rng.random() < 0.4 else ""))]
+        page = "<html><body>" + "".join(top) + body + "".join(foot) + "</body></html>"
+        bare = re.sub(r"<(/?)(?:nav|header|footer|aside|main|article|form|section)(?: [^>]*)?>", r"<\1div>", page)
+        yield page, re.sub(r"<(\w+) [^>]*>", r"<\1>", bare)
+
+
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Trees:
-    """Learns from the landmarks of at most `sample_pages` pages, those with the smallest hash of their url and page_id.
+    """Learns from the landmarks of at most `sample_pages` pages, those with the smallest hash of their url and page_id, and from
+    MADE_PAGES invented ones.
 
     A second copy of every row hides the landmarks' own tags and tokens, so that the trees also learn from the other features.
+    Of rows that share their page_id no more are taken either.
     """
-    chosen = pages.select("page_id", "url").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample_pages)
-    rows = pages.select("page_id", "html").join(F.broadcast(chosen.select("page_id").distinct()), "page_id", "left_semi")
+    order = [F.xxhash64("page_id", "url"), F.col("page_id"), F.col("url")]
+    chosen = pages.select("page_id", "url").orderBy(*order).limit(sample_pages)
+    rows = pages.select("page_id", "url", "html").join(F.broadcast(chosen.select("page_id").distinct()), "page_id", "left_semi")
+    rows = rows.orderBy(*order, F.xxhash64("html")).limit(sample_pages).select("page_id", "html")
 
     def label(batches):
         for batch in batches:
@@ -317,7 +402,14 @@ def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Trees:
     y = np.concatenate([np.zeros(0), *[np.frombuffer(r.y, np.int8).astype(float) for r in got]])
     hidden = x.copy()
     hidden[:, [FEATURES - 6, FEATURES - 5, FEATURES - 4, FEATURES - 3]] = 0
-    return boost(np.concatenate([x, hidden]), np.concatenate([y, y]))
+    xs, ys = [x, hidden], [y, y]
+    for page, bare in made_pages() if len(y) else ():
+        tree = parse(page)
+        marks = landmarks(tree)
+        for twin in (tree, tree, parse(bare)):
+            xs.append(features(twin)[marks >= 0])
+            ys.append(marks[marks >= 0].astype(float))
+    return boost(np.concatenate(xs), np.concatenate(ys))
 
 
 def extract(pages: DataFrame, model: Trees | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:

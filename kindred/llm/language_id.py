@@ -101,7 +101,10 @@ def sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
     few = sliced.withColumn("_first", first).where(F.col("_first") <= min(rows_per_language, 2 * -(-rows_per_language // SLICES) + 50))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     chosen = few.select("doc_id", "lang", rank.alias("_rank")).where(F.col("_rank") <= rows_per_language)
-    rows = labelled.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", "text")
+    rows = labelled.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    # An id may have come with many rows.
+    again = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.xxhash64("text")))
+    rows = rows.withColumn("_rank", again).where(F.col("_rank") <= rows_per_language).select("lang", "doc_id", "text")
 
     def count(batches):
         for batch in batches:

@@ -242,3 +242,38 @@ def test_shards_are_numbered_without_gaps(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert {(r.size, r.text_crc32) for r in got if r.doc_id == 2} == {(1, 0)}
     assert {r.size for r in docs.transform(sharding.assign).where(F.col("doc_id") == 10).collect()} == {len(TEXTS[12][1].encode()) + 1}
+
+
+def test_pages_in_layouts_of_their_own(folder, spark):
+    from probes import PAGES
+
+    assert not {page for page, _ in html_extract.made_pages()} & {page for page, _ in PAGES.values()}
+    rows = [(i, name, page) for i, (name, (page, _)) in enumerate(PAGES.items())]
+    model = html_extract.train(spark.read.parquet(f"{folder}/pages.parquet"))
+    got = {r.url: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert got == {name: text for name, (_, text) in PAGES.items()}
+
+
+@pytest.mark.parametrize("part", ['<p a="', "<p data-a='x ", "<!", "<p a", "<svg><title>", "<p a=it's ", "</b", "<p a=\"x'"])
+def test_a_megabyte_of_slips_is_read_in_one_pass(part):
+    import time
+
+    for end in ("", ">", ">\"'"):
+        page = "<p>before</p>" + part * (1_000_000 // len(part)) + end
+        start = time.time()
+        tree = html_extract.parse(page)
+        assert time.time() - start < 5 and "before" in "".join(t for _, t in tree.texts)
+
+
+def test_training_rows_are_bounded_though_ids_repeat(spark):
+    docs = spark.range(20_000).selectExpr("cast(1 as long) doc_id", "concat('text number ', id % 50) text", "'en' lang")
+    assert len(language_id.sample(docs, 5).collect()) == 5
+    pages = spark.range(3000).selectExpr("cast(1 as long) page_id", "'u' url", "concat('<article><p>', id, '</p></article>') html")
+    seen = []
+    original, html_extract.boost = html_extract.boost, lambda x, y: seen.append(len(y)) or original(x, y)
+    try:
+        html_extract.train(pages, 7)
+        html_extract.train(pages, 9)
+    finally:
+        html_extract.boost = original
+    assert seen[1] - seen[0] == 2 * 2 * 2  # two more pages of two nodes, each seen twice
