@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.ranking import OUTPUT_DIGITS, top_n
 from kindred.operators import similarity as sim
+from kindred.operators import sparse_join
 
 HOT_COLUMN = 8192
 STRIP = 128
@@ -62,7 +63,7 @@ def item_cosine(ratings: DataFrame) -> DataFrame:
 def similar_users(ratings: DataFrame, n: int = 5, targets: DataFrame | None = None) -> DataFrame:
     """(user_id, neighbour_id, score, rank); ``targets`` (user_id) limits who is asked for."""
     ids = None if targets is None else targets.select(F.col("user_id").alias("id"))
-    return sim.cosine_topn(user_cells(ratings), n, ids).withColumnsRenamed(
+    return sparse_join.cosine_topn(user_cells(ratings), n, ids).withColumnsRenamed(
         {"target_id": "user_id", "item_id": "neighbour_id"}
     )
 
@@ -70,7 +71,7 @@ def similar_users(ratings: DataFrame, n: int = 5, targets: DataFrame | None = No
 def similar_items(ratings: DataFrame, n: int = 5, targets: DataFrame | None = None) -> DataFrame:
     """(item_id, neighbour_id, score, rank); ``targets`` (item_id) limits what is asked for."""
     ids = None if targets is None else targets.select(F.col("item_id").alias("id"))
-    found = sim.cosine_topn(item_cells(ratings), n, ids)
+    found = sparse_join.cosine_topn(item_cells(ratings), n, ids)
     return found.withColumnRenamed("item_id", "neighbour_id").withColumnRenamed("target_id", "item_id")
 
 

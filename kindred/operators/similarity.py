@@ -36,16 +36,18 @@ class Extent:
 
     rows: int
     longest: int
+    cells: int = 0
+    lowest: float | None = None
 
 
 def extent(cells: DataFrame, key: str = "id") -> Extent:
-    """Number of vectors and length of the longest, measured with one small aggregation."""
+    """Number of vectors, length of the longest, number of cells and lowest weight, measured with one small aggregation."""
     row = (
-        cells.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
+        cells.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("low"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("longest"), F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.min("low").alias("lowest"))
         .first()
     )
-    return Extent(row["rows"], row["longest"])
+    return Extent(row["rows"], row["longest"], row["cells"], row["lowest"])
 
 
 def blocks(rows: int, block: int, at_least: int = 1) -> int:
@@ -422,6 +424,7 @@ def cosine_topn(
     longest: int = LONG_VECTOR,
     normalized: bool = False,
     size: Extent | None = None,
+    digits: int | None = OUTPUT_DIGITS,
 ) -> DataFrame:
     """The n nearest neighbours by cosine of all vectors, or of the ids in ``targets``.
 
@@ -435,10 +438,10 @@ def cosine_topn(
         wanted, wanted_rows = packed.join(ids, "id", "left_semi"), ids.count()
     best = block_topn(wanted, packed, n, wanted_rows, size.rows, skip_self=True, floor=floor, digits=None)
     if long is None:
-        return best.withColumn("score", F.round("score", OUTPUT_DIGITS))
+        return best if digits is None else best.withColumn("score", F.round("score", digits))
     more = both_ways(unit, long)
     if targets is not None:
         more = more.join(targets.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi")
     if floor is not None:
         more = more.filter(F.col("score") >= floor)
-    return top_n(best.drop("rank").unionByName(more), n, ["target_id"])
+    return top_n(best.drop("rank").unionByName(more), n, ["target_id"], digits=digits)
