@@ -237,6 +237,11 @@ def session_funnel(activity: DataFrame, gap: str = "30 minutes", steps: Sequence
         )
     else:
         grouped = session_table(activity, gap, firsts, [F.min(f"first_{s}").alias(f"first_{s}") for s in steps])
+    return funnel_depth(grouped, steps)
+
+
+def funnel_depth(sessions_: DataFrame, steps: Sequence[str] = FUNNEL) -> DataFrame:
+    """Adds how many of the steps were taken in order, from their first times."""
     depth, reached = F.lit(0), F.lit(True)
     for at, step in enumerate(steps):
         here = F.col(f"first_{step}").isNotNull()
@@ -244,7 +249,7 @@ def session_funnel(activity: DataFrame, gap: str = "30 minutes", steps: Sequence
             here = here & (F.col(f"first_{step}") >= F.col(f"first_{steps[at - 1]}"))
         reached = reached & here
         depth = depth + F.coalesce(reached, F.lit(False)).cast("int")
-    return grouped.withColumn("depth", depth)
+    return sessions_.withColumn("depth", depth)
 
 
 def trace_audit(traces: DataFrame, targets: DataFrame | None = None) -> DataFrame:

@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from kindred.operators import activity as act
-from kindred.plans.catalog.registry import ACTIVITY, CATALOGUE, GENRES, RATINGS, best, query, user_based, with_  # noqa: F401
+from kindred.plans.catalog.registry import ACTIVITY, CATALOGUE, GENRES, ORACLES, RATINGS, best, query, user_based, with_
 from kindred.session import scratch_folder
 from kindred.sources import files
 from kindred.sources import warehouse as wh
-from kindred.streaming import streams
+from kindred.streaming import funnel, streams
 
 PREFERENCES = """tastes AS (SELECT user_id, name, count(*) AS n FROM ratings JOIN genres USING (item_id) GROUP BY 1, 2),
 preferences AS (SELECT user_id, name FROM tastes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, name) <= 3)"""
@@ -209,6 +209,13 @@ def _(spark, folder):
     return micros(appended(spark, streams.session_stream(flushed(spark, folder), "6 hours")), "session_start", "session_end")
 
 
+@query("session_funnel_stream", ORACLES["session_funnel"])
+def _(spark, folder):
+    """The same rows as `session_funnel`, from an append sink: the state closes every session but that of the flushing event."""
+    found = appended(spark, funnel.funnel_stream(flushed(spark, folder), "6 hours")).drop("session_end")
+    return micros(found, "session_start", "first_search", "first_view", "first_add_watchlist")
+
+
 @query("sessions", with_(ACTIVITY, SESSIONS, """SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOURS) AS session_end, count(*) AS events
   FROM numbered GROUP BY user_id, no"""))
 def _(spark, folder):
