@@ -8,10 +8,11 @@ import os
 import re
 import time
 
-from kindred.operators import collab, content, features
+from kindred.operators import collab, content, factor, features, serving
 from kindred.plans.catalog import QUERIES
-from kindred.session import local_session
+from kindred.session import local_session, scratch_folder
 from kindred.sources import warehouse
+from kindred.sources.store import Store
 
 HEADLINE = [
     "similar_content", "similar_items", "similar_users", "recommend_user_based", "recommend_item_based", "recommend_for_liked",
@@ -21,12 +22,22 @@ HEADLINE = [
 
 
 def one_target(spark, folder):
-    """The same answers for a single user or item, which is what a request asks for."""
+    """The same answers for a single user or item, which is what a request asks for; `stored` ones from saved state."""
     ratings = warehouse.ratings(spark, folder)
     user, item = ratings.select("user_id").limit(1), ratings.select("item_id").limit(1)
     docs = warehouse.text_catalogue(spark, folder)
     weights, size = features.tfidf(docs, "plot"), features.tfidf_extent(docs)
+    store = Store(spark, scratch_folder(spark))
+    users, items = factor.mf_fit(ratings)
+    store.save({
+        "weights": (features.tfidf_cells(weights), "id"), "users": (serving.factor_cells(users), "id"),
+        "items": (serving.factor_cells(items), "id"), "ratings": (ratings, "user_id"),
+    })
+    state = store.load()
+    one_user, one_item = user.first()[0], docs.select("item_id").first()[0]
     return {
+        "one_similar_content_stored": lambda: serving.similar_content(state["weights"], [one_item]),
+        "one_mf_recommend_stored": lambda: serving.mf_recommend(state["users"], state["items"], state["ratings"], [one_user]),
         "one_similar_content": lambda: content.similar_content(weights, size, targets=docs.select("item_id").limit(1)),
         "one_similar_items": lambda: collab.similar_items(ratings, targets=item),
         "one_recommend_user_based": lambda: collab.recommend_user_based(ratings, targets=user),

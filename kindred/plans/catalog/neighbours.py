@@ -6,10 +6,12 @@ from kindred.operators import collab, content, factor, features
 from kindred.operators import similarity as sim
 from kindred.plans import workflows
 from kindred.plans.catalog.registry import (
-    CASTS, CATALOGUE, DOC_TEXT, GENRES, ITEM_SIMS, ITEM_TEXT, LIKED, RATINGS, TFIDF, USER_SIMS,
+    CASTS, CATALOGUE, DOC_TEXT, GENRES, ITEM_SIMS, ITEM_TEXT, LIKED, ORACLES, RATINGS, TFIDF, USER_SIMS,
     best, for_liked, item_based, query, user_based, with_,
 )
+from kindred.session import scratch_folder
 from kindred.sources import warehouse as wh
+from kindred.sources.store import Store
 
 
 def _rounded_pairs(pairs):
@@ -295,6 +297,25 @@ def _(spark, folder):
     return factor.mf_recommend(wh.ratings(spark, folder), *given_factors(spark, folder))
 
 
+@query("similar_content_stored", ORACLES["similar_content"])
+def _(spark, folder):
+    """The nearest texts of all items from reloaded term weights."""
+    weights, size = doc_weights(spark, folder)
+    state = Store(spark, scratch_folder(spark))
+    state.save({"weights": (weights, "item_id")})
+    return content.similar_content(state.load()["weights"], size)
+
+
+@query("mf_recommend_stored", ORACLES["mf_recommend_given"])
+def _(spark, folder):
+    """The lists of all users from reloaded factors and ratings."""
+    users, items = given_factors(spark, folder)
+    state = Store(spark, scratch_folder(spark))
+    state.save({"users": (users, "user_id"), "items": (items, "item_id"), "ratings": (wh.ratings(spark, folder), "user_id")})
+    tables = state.load()
+    return factor.mf_recommend(tables["ratings"], tables["users"], tables["items"])
+
+
 @query("mf_recommend")
 def _(spark, folder):
     r = wh.ratings(spark, folder)
