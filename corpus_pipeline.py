@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import decontaminate, exact_dedup, jaccard_tiles, language_id, packing
+from kindred.llm import decontaminate, exact_dedup, jaccard_tiles, language_id, memory, packing
 from kindred.session import scratch_folder
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -51,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        memory.give_back(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
