@@ -232,6 +232,17 @@ def _(spark, folder):
     return act.trace_audit(wh.traces(spark, folder))
 
 
+@query("trace_external_calls", """SELECT user_id AS trace_id, event_id AS pos, event_type AS api, round(value * 1000, 2) AS latency_ms
+FROM events WHERE event_type NOT IN ('signup', 'purchase')""")
+def _(spark, folder):
+    """All external calls of every trace in long form, from a log of events: sign-ups are requests, purchases predictions."""
+    kind = F.when(F.col("event_type") == "signup", "request").when(F.col("event_type") == "purchase", "prediction").otherwise("external_api")
+    log = wh.table(spark, folder, "events").select(
+        F.col("user_id").alias("trace_id"), F.col("event_id").alias("pos"), kind.alias("type"), F.col("event_type").alias("api"), F.round(F.col("value") * 1000, 2).alias("latency_ms")
+    )
+    return act.external_calls(log).drop("type")
+
+
 @query("trace_stream", TRACE_SQL)
 def _(spark, folder):
     out = scratch_folder(spark)

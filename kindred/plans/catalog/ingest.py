@@ -234,12 +234,16 @@ def _(spark, folder):
     return files.read_traces(spark, path).select("trace_id", "type", "data", "latency_ms")
 
 
-@query("csv_sink", with_(RATINGS, "SELECT count(*) AS rows, round(sum(rating), 2) AS total FROM ratings"))
+@query("csv_sink", with_(RATINGS, CATALOGUE, """SELECT user_id, r.item_id, round(r.rating, 6) AS rating, title || '; "' || director || '", ' || plot AS note
+  FROM ratings r JOIN catalogue c ON r.item_id = c.item_id"""))
 def _(spark, folder):
+    """Every row as it comes back, with commas and quotes in its text."""
     path = scratch_folder(spark) + "/out"
-    files.csv_sink(wh.ratings(spark, folder), path)
-    back = files.read_csv(spark, path, ["user_id", "item_id", "rating"], {"rating": "double"})
-    return back.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("rating"), 2).alias("total"))
+    note = F.concat("title", F.lit('; "'), "director", F.lit('", '), "plot").alias("note")
+    items = wh.catalogue(spark, folder).select("item_id", note)
+    files.csv_sink(wh.ratings(spark, folder).join(items, "item_id").select("user_id", "item_id", "rating", "note"), path)
+    back = files.read_csv(spark, path, ["user_id", "item_id", "rating"], {"user_id": "long", "item_id": "long", "rating": "double"})
+    return back.withColumn("rating", F.round("rating", 6))
 
 
 @query("feature_store_io", with_(CATALOGUE, "SELECT item_id, title, votes FROM catalogue"))
