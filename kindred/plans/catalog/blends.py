@@ -7,7 +7,7 @@ from kindred.operators import blend, collab, explain, factor
 from kindred.plans.catalog.lookups import ALL_LISTS, category_lists
 from kindred.plans.catalog.neighbours import FACTORS, given_factors, liked_list
 from kindred.plans.catalog.registry import (
-    CASTS, CATALOGUE, ITEM_SIMS, ITEM_TEXT, LIKED, RATINGS, TFIDF, USER_SIMS, best, for_liked, query, user_based, with_,
+    CASTS, CATALOGUE, ITEM_SIMS, ITEM_TEXT, LIKED, ORACLES, RATINGS, TFIDF, USER_SIMS, best, for_liked, item_based, query, user_based, with_,
 )
 from kindred.sources import warehouse as wh
 
@@ -110,7 +110,6 @@ TOP_RATED = """recs AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVE
 
 
 def top_rated(ratings, n=10):
-
     return rank_by(ratings, n, ["user_id"], [F.round("rating", 9).desc(), F.col("item_id")]).select("user_id", "item_id")
 
 
@@ -190,3 +189,42 @@ def _(spark, folder):
     items = wh.catalogue(spark, folder, with_cast=True).withColumnRenamed("cast", "actors")
     found = explain.feature_importance(top_rated(r), collab.user_liked(r), items)
     return found.select("user_id", "item_id", *[F.round(c, 6).alias(c) for c in ("genre", "director", "actors", "year", "rating")])
+
+
+# The same explanations of the lists that the recommenders really give: the parts after the asked pairs stay as they are.
+def _why(key: str, *lists: str) -> str:
+    asked, rest = ORACLES[key].split(TOP_RATED + ",\n")
+    return "WITH " + ",\n".join(lists) + ",\n" + rest.replace("near", "five")
+
+
+@query("explain_user_cf_recommended", _why("explain_user_cf", RATINGS, user_based(10), "recs AS (SELECT user_id, item_id FROM cf)"))
+def _(spark, folder):
+    r = wh.ratings(spark, folder)
+    told = explain.explain_user_cf(collab.recommend_user_based(r), collab.similar_users(r), r)
+    return told.select("user_id", "item_id", "n_users", F.round("average_rating", 6).alias("average_rating"), "text")
+
+
+@query("explain_item_cf_recommended", _why("explain_item_cf", RATINGS, CATALOGUE, item_based(10), "recs AS (SELECT user_id, item_id FROM cf)"))
+def _(spark, folder):
+    r = wh.ratings(spark, folder)
+    told = explain.explain_item_cf(collab.recommend_item_based(r), collab.similar_items(r), r, wh.catalogue(spark, folder))
+    return told.select("user_id", "item_id", "n_items", "text")
+
+
+@query("explain_content_recommended", _why("explain_content", RATINGS, CATALOGUE, CASTS, ITEM_TEXT, TFIDF, for_liked(10), "recs AS (SELECT user_id, item_id FROM cb)")
+       .replace(LIKED + ",\npeople", "people"))
+def _(spark, folder):
+    r = wh.ratings(spark, folder)
+    items = wh.catalogue(spark, folder, with_cast=True).withColumnRenamed("cast", "actors")
+    told = explain.explain_content(liked_list(spark, folder, 10), collab.user_liked(r), items)
+    return told.select("user_id", "item_id", F.array_join("genres", "|").alias("genres"), "director", F.array_join("actors", "|").alias("actors"), "text")
+
+
+@query("feature_importance_recommended", _why("feature_importance", *BOTH, WEIGHTED, f"recs AS (SELECT user_id, item_id FROM ({best('mixed', 10, 'user_id', 'user_id, item_id')}))")
+       .replace(LIKED + ",\npeople", "people"))
+def _(spark, folder):
+    r = wh.ratings(spark, folder)
+    items = wh.catalogue(spark, folder, with_cast=True).withColumnRenamed("cast", "actors")
+    recs = blend.hybrid_weighted(*both_lists(spark, folder), cf_weight=0.6, cb_weight=0.4)
+    found = explain.feature_importance(recs, collab.user_liked(r), items)
+    return found.select("user_id", "item_id", *[F.round(c, 6).alias(c) for c in ("genre", "director", "actors", "year", "rating")])
