@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences; each stage reads what its predecessor wrote."""
+"""From raw documents to packed training sequences; each stage reads what its predecessor wrote.
+
+Nulls: a document without text or letters has no language and goes in the first stage; given to a later one, a null text counts
+as empty, has no shingle and no benchmark word, stays, and packs to the single id 0. A null doc_id is a document like others.
+An empty table stays empty, and columns beyond those of documents are kept up to the last stage.
+"""
 
 import uuid
 
