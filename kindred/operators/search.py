@@ -1,12 +1,10 @@
 """Titles: resolving, indexing, linking and completing."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from kindred.functions.ranking import rank_by
+from kindred.operators.grams import best_similar
 
 
 def resolve_title(requests: DataFrame, items: DataFrame, keep: str = "first", trim: bool = False) -> DataFrame:
@@ -50,20 +48,12 @@ def title_candidates(items: DataFrame, titles: DataFrame) -> DataFrame:
     return items.select("title", "item_id", "year").join(titles.select("title").distinct(), "title", "left_semi")
 
 
-def edit_ratio(query: Column, title: Column) -> Column:
-    """1 - edit distance / longer length."""
-    return 1 - F.levenshtein(query, title) / F.greatest(F.length(query), F.length(title))
-
-
-def autocomplete(
-    queries: DataFrame, items: DataFrame, n: int = 10, cutoff: float = 0.4,
-    ratio: Callable[[Column, Column], Column] = edit_ratio,
-) -> DataFrame:
+def autocomplete(queries: DataFrame, items: DataFrame, n: int = 10, cutoff: float = 0.4) -> DataFrame:
     """Completions of each query of two or more characters: (query, item_id, title, year, rank).
 
     Up to n titles that start with the query, filled up with similar titles, then their items. Prefixes are
-    an equi-join on the prefixes of the distinct titles that have the length of a query. Similar titles must have a length within
-    the cutoff's reach, which bounds the ratio, so they meet on their length.
+    an equi-join on the prefixes of the distinct titles that have the length of a query. Similar titles come from an
+    index of the titles' q-grams (grams.py).
     """
     asked = queries.select(F.lower(F.trim("query")).alias("query")).filter(F.length("query") >= 2).distinct()
     titles = items.select("title").distinct().withColumn("key", F.lower("title"))
@@ -73,17 +63,7 @@ def autocomplete(
     starts = rank_by(prefixes.join(asked, "query", "left_semi"), n, ["query"], [F.col("title").asc()]).withColumn("stage", F.lit(1))
     have = starts.groupBy("query").agg(F.count(F.lit(1)).alias("have"))
     short = asked.join(have, "query", "left").filter(F.coalesce("have", F.lit(0)) < n)
-    size = F.length("query")
-    low, high = F.ceil(size * cutoff / (2 - cutoff)), F.floor(size * (2 - cutoff) / cutoff)
-    reach = short.select("query", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"))
-    similar = (
-        titles.withColumn("size", F.length("key")).join(reach, "size")
-        .withColumn("score", ratio(F.col("query"), F.col("key"))).filter(F.col("score") >= cutoff)
-    )
-    fuzzy = rank_by(
-        similar.join(starts.select("query", "title"), ["query", "title"], "left_anti"),
-        n, ["query"], [F.round("score", 9).desc(), F.col("title").asc()],
-    )
+    fuzzy = best_similar(short.select("query"), titles, starts, n, cutoff)
     listed = starts.select("query", "title", "stage", "rank").unionByName(
         fuzzy.select("query", "title", F.lit(2).alias("stage"), "rank")
     )
