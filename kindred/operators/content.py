@@ -132,11 +132,32 @@ def _from_shortlist(targets: DataFrame, shortlist: DataFrame, key: str, n: int,
     )
 
 
-def similar_genre(items: DataFrame, n: int = 10, targets: DataFrame | None = None) -> DataFrame:
+# Sets of up to so many genres offer all their subsets; of wider ones too many would exist.
+MOST_GENRES = 8
+
+
+def _subsets(names: Column) -> Column:
+    """All non-empty subsets of a sorted array, joined."""
+    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), MOST_GENRES) - 1)
+    own = F.filter(masks, lambda m: m < F.pow(F.lit(2), F.size(names)))
+    return F.transform(own, lambda m: F.array_join(F.filter(names, lambda _, i: F.getbit(m, i) == 1), _JOINER))
+
+
+def _overlaps(wanted: DataFrame, best: DataFrame) -> DataFrame:
+    """(genres, neighbour_id, rating, shared) for sets that meet on a genre."""
+    flat = best.select(F.col("genres").alias("other"), "names").distinct().select("other", F.explode("names").alias("name"))
+    pairs = wanted.select("genres", F.explode("names").alias("name")).join(flat, "name").groupBy("genres", "other").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.join(best.select(F.col("genres").alias("other"), "neighbour_id", "rating"), "other").drop("other")
+
+
+def similar_genre(items: DataFrame, n: int = 10, targets: DataFrame | None = None, most: int = MOST_GENRES) -> DataFrame:
     """Other items that share a genre: most shared genres first, then rating.
 
     Items with equal genre sets are interchangeable as to overlap, so only the n+1 best of each set can
-    ever be listed. Sets, not items, meet on a genre; a genre of a third of all items costs no more.
+    ever be listed. Every subset of genres keeps a list of the n+1 best items that have all of them, pruned before the shuffle.
+    A set reads the lists of its own subsets and no other set: an item that shares exactly the genres U is among the n+1 best
+    only if it is so in the list of U, as all that come before it there share U too. The longest subset that lists it is U.
+    Sets of more than `most` genres would have too many subsets; they meet the others on single genres.
     """
     rating = rating_column(items).cast("double")
     tagged = items.select(
@@ -145,17 +166,19 @@ def similar_genre(items: DataFrame, n: int = 10, targets: DataFrame | None = Non
     best = rank_by(
         tagged.select("genres", "names", F.col("item_id").alias("neighbour_id"), "rating"), n + 1, ["genres"], _better()
     ).drop("rank")
-    flat = best.select("genres", "names").distinct().select("genres", F.explode("names").alias("name"))
-    overlap = (
-        flat.join(flat.withColumnRenamed("genres", "other"), "name")
-        .groupBy("genres", "other").agg(F.count(F.lit(1)).alias("shared"))
-    )
+    asked = _targets(tagged, targets)
+    sets = asked.select("genres", "names").distinct()
+    narrow = F.size("names") <= min(most, MOST_GENRES)
+    lists = rank_by(
+        best.filter(narrow).select(F.explode(_subsets(F.col("names"))).alias("subset"), "neighbour_id", "rating"), n + 1, ["subset"], _better()
+    ).drop("rank")
+    subsets = sets.filter(narrow).select("genres", F.explode(_subsets(F.col("names"))).alias("subset"))
+    shared = F.size(F.split("subset", _JOINER))
+    listed = subsets.join(lists, "subset").groupBy("genres", "neighbour_id", "rating").agg(F.max(shared).cast("long").alias("shared"))
+    overlap = listed.unionByName(_overlaps(sets.filter(~narrow), best)).unionByName(_overlaps(sets.filter(narrow), best.filter(~narrow)))
     order = [F.col("shared").desc(), *_better()]
-    shortlist = rank_by(
-        overlap.join(best.select(F.col("genres").alias("other"), "neighbour_id", "rating"), "other").drop("other"),
-        n + 1, ["genres"], order,
-    )
-    return _from_shortlist(_targets(tagged, targets), shortlist, "genres", n, order)
+    shortlist = rank_by(overlap, n + 1, ["genres"], order)
+    return _from_shortlist(asked, shortlist, "genres", n, order)
 
 
 def same_director(items: DataFrame, n: int = 10, targets: DataFrame | None = None) -> DataFrame:

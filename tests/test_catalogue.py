@@ -48,8 +48,29 @@ def test_similar_genre_equals_brute_force(spark):
     for t in sets:
         near = sorted((-len(sets[t] & sets[o]), -rating[o], o) for o in sets if o != t and sets[t] & sets[o])[:3]
         want |= {(t, o, rank + 1) for rank, (_, _, o) in enumerate(near)}
-    got = {(r["item_id"], r["neighbour_id"], r["rank"]) for r in content.similar_genre(items, 3).collect()}
-    assert got == want
+    for most in (8, 2, 0):
+        got = {(r["item_id"], r["neighbour_id"], r["rank"]) for r in content.similar_genre(items, 3, most=most).collect()}
+        assert got == want
+    wide = spark.createDataFrame([(1, ",".join("ABCDEFGHIJ"), 1.0), (2, "A,B", 2.0), (3, "A,Z", 3.0)], "item_id bigint, genre string, rating double")
+    got = [(r["item_id"], r["neighbour_id"]) for r in content.similar_genre(wide, 3).orderBy("item_id", "rank").collect()]
+    assert got == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 2), (3, 1)]
+
+
+def test_similar_genre_with_many_sets_in_one_genre(spark):
+    """100,000 distinct sets share a genre: their pairs would be 10 billion."""
+    n = 100_000
+    pair = F.array_join(F.array(F.lit("All"), F.concat(F.lit("a"), F.floor(F.col("id") / 320)), F.concat(F.lit("b"), F.col("id") % 320)), ", ")
+    items = spark.range(n).select(F.col("id").alias("item_id"), pair.alias("genre"), (F.hash("id") % 1000).cast("double").alias("rating"))
+    targets = spark.range(0, n, 20_000).select(F.col("id").alias("item_id"))
+    rows = {r["item_id"]: (set(r["genre"].split(", ")), r["rating"]) for r in items.collect()}
+    want = set()
+    for t in range(0, n, 20_000):
+        near = sorted((-len(rows[t][0] & s), -rating, i) for i, (s, rating) in rows.items() if i != t)[:5]
+        want |= {(t, i, k + 1) for k, (_, _, i) in enumerate(near)}
+    every = content.similar_genre(items, 5)
+    assert {(r["item_id"], r["neighbour_id"], r["rank"]) for r in content.similar_genre(items, 5, targets).collect()} == want
+    assert {(r["item_id"], r["neighbour_id"], r["rank"]) for r in every.join(targets, "item_id").collect()} == want
+    assert every.count() == 5 * n
 
 
 def test_explanations(titles, spark):
