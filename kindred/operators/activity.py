@@ -36,7 +36,11 @@ def user_features(activity: DataFrame, preferences: DataFrame, fanout: bool = Fa
 
     ``fanout`` repeats every action once per favourite genre, as joining before counting does.
     """
-    counts = activity.filter("user_id is not null").groupBy("user_id").agg(*action_counts())
+    return with_favourites(activity.filter("user_id is not null").groupBy("user_id").agg(*action_counts()), preferences, fanout)
+
+
+def with_favourites(counts: DataFrame, preferences: DataFrame, fanout: bool = False) -> DataFrame:
+    """Per user counts with the favourite genres."""
     favourites = preferences.select("user_id", F.array_sort(F.array_distinct("favorite_genres")).alias("favorite_genres"),
                                     F.size("favorite_genres").alias("times"))
     joined = counts.join(favourites, "user_id", "left")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kindred.operators import activity as act
+from kindred.operators import incremental
 from kindred.plans.catalog.registry import ACTIVITY, CATALOGUE, GENRES, ORACLES, RATINGS, best, query, user_based, with_
 from kindred.session import scratch_folder
 from kindred.sources import files
@@ -51,6 +52,21 @@ def _(spark, folder):
     return _features(spark.read.parquet(path))
 
 
+@query("user_features_deltas", ORACLES["refresh_user_features"])
+def _(spark, folder):
+    """The view after three deltas: events that are later taken back, the rest of the events, and what was wrong taken back."""
+    events = wh.activity(spark, folder).select("event_id", "user_id", "action", "ts")
+    wrong = events.filter("event_id % 5 = 0").withColumns({"event_id": -1 - F.col("event_id"), "ts": F.col("ts") + F.expr("INTERVAL 400 DAYS")})
+    wrong = wrong.unionByName(events.filter("event_id % 7 = 0").withColumns({"event_id": -1 - F.col("event_id"), "action": F.lit("view")}))
+    odd = F.col("event_id") % 2 == 1
+    view = incremental.user_view(spark, scratch_folder(spark), most=2)
+    incremental.apply_delta(view, 0, events.filter(odd).unionByName(wrong))
+    for _ in range(2):  # a delta that is repeated changes nothing
+        incremental.apply_delta(view, 1, events.filter(~odd | odd.isNull()))
+    incremental.apply_delta(view, 2, events.limit(0), wrong, events)
+    return _features(incremental.read_user_view(view, preferences(spark, folder)))
+
+
 STATE = """states AS (SELECT user_id, item_id, arg_max(action, (ts, event_id)) FILTER (WHERE action IN ('add_watchlist', 'remove_watchlist')) AS state,
   max(ts) FILTER (WHERE action IN ('add_watchlist', 'remove_watchlist')) AS added_at, max(ts) FILTER (WHERE action = 'view') AS viewed_at
   FROM activity GROUP BY 1, 2),

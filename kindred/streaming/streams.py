@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from kindred.functions.ranking import rank_by
 from kindred.operators import activity as act
 from kindred.operators.clean import dedupe_first
+from kindred.sources.log import Log
 
 
 def read_folder(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", files: int | None = None) -> DataFrame:
@@ -81,53 +82,71 @@ def session_stream(events: DataFrame, gap: str = "30 minutes", lateness: str = "
     )
 
 
+def _newest_counts(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("window_start", "window_end", "item_id").agg(F.max_by("n", "version").alias("n"), F.max("version").alias("version"))
+
+
+def trending_log(spark: SparkSession, path: str, most: int = 16) -> Log:
+    return Log(spark, path, _newest_counts, most)
+
+
 def trending_windowed(events: DataFrame, path: str, checkpoint: str, width: str = "1 day", slide: str = "6 hours",
                       lateness: str = "1 day") -> StreamingQuery:
     """Counts per window and item in update mode; each batch stores the counts that changed.
 
-    A batch's folder is overwritten on a retry, so a batch that runs twice counts once.
+    A batch is a numbered part of a log that is merged now and then, so a batch that runs twice counts once and reading costs
+    the same after many batches.
     """
     counts = act.item_counts(events.withWatermark("ts", lateness), width, slide)
+    log = trending_log(events.sparkSession, path)
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        log.append(number, batch)
 
-    return counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start()
+    return counts.writeStream.outputMode("update").foreachBatch(store).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
 def read_trending(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
     """The n most used items per window from the newest stored counts."""
-    stored = spark.read.parquet(path)
-    newest = stored.groupBy("window_start", "window_end", "item_id").agg(F.max_by("n", "version").alias("n"))
+    newest = _newest_counts(trending_log(spark, path).read()).drop("version")
     return rank_by(newest, n, ["window_start"], [F.col("n").desc(), F.col("item_id")])
 
 
+def _merged_traces(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("trace_id").agg(
+        F.max("request").alias("request"), F.max("prediction").alias("prediction"), F.sum("external_calls").alias("external_calls"),
+        F.max("version").alias("version"),
+    )
+
+
+def trace_log(spark: SparkSession, path: str, most: int = 16) -> Log:
+    return Log(spark, path, _merged_traces, most)
+
+
 def trace_stream(traces: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Trace records kept current: each batch stores its own audit rows, readers combine them.
+    """Trace records kept current: each batch stores its own audit rows in a log, readers combine them.
 
     A trace's latest request and prediction are maxima by position and its calls are a sum, so partial
     records of batches merge exactly and no state is held.
     """
+    log = trace_log(traces.sparkSession, path)
+
     def store(batch: DataFrame, number: int) -> None:
         def latest(kind: str):
             at = F.when(F.col("type") == kind, F.col("pos"))
             return F.max(F.when(at.isNotNull(), F.struct(at.alias("pos"), "data"))).alias(kind)
 
-        part = batch.groupBy("trace_id").agg(
+        log.append(number, batch.groupBy("trace_id").agg(
             latest("request"), latest("prediction"), F.count_if(F.col("type") == "external_api").alias("external_calls")
-        )
-        part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        ))
 
     return traces.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_trace_records(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(path)
-    merged = stored.groupBy("trace_id").agg(
-        F.max("request").alias("request"), F.max("prediction").alias("prediction"), F.sum("external_calls").alias("external_calls")
-    )
+    merged = _merged_traces(trace_log(spark, path).read())
     return merged.select("trace_id", F.col("request.data").alias("request"), F.col("prediction.data").alias("prediction"), "external_calls")
 
 
