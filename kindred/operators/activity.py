@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions.percentiles import group_percentiles
 from kindred.functions.ranking import rank_by
 from kindred.functions.text import known_names
 
@@ -281,13 +282,14 @@ def external_calls(traces: DataFrame) -> DataFrame:
 def api_report(entries: DataFrame) -> DataFrame:
     """(api, status, calls, mean_ms, max_ms, p50_ms, p95_ms) over the external_api entries.
 
-    The percentiles are exact and interpolated. They count distinct latencies, of which a log in hundredths of milliseconds has
-    few.
+    The percentiles are exact and interpolated (functions/percentiles.py).
     """
-    return entries.filter("type = 'external_api'").groupBy("api", "status").agg(
-        F.count(F.lit(1)).alias("calls"), F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("p50_ms"), F.percentile("latency_ms", F.lit(0.95)).alias("p95_ms"),
+    calls = entries.filter("type = 'external_api'").select(F.struct("api", "status").alias("group"), F.col("latency_ms").alias("value"))
+    means = calls.groupBy("group").agg(F.count(F.lit(1)).alias("calls"), F.avg("value").alias("mean_ms"), F.max("value").alias("max_ms"))
+    shares = group_percentiles(calls, [0.5, 0.95]).groupBy("group").agg(
+        F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("p50_ms"), F.max(F.when(F.col("share") == 0.95, F.col("value"))).alias("p95_ms")
     )
+    return means.join(shares, "group", "left").select("group.api", "group.status", "calls", "mean_ms", "max_ms", "p50_ms", "p95_ms")
 
 
 def training_report(entries: DataFrame) -> DataFrame:
