@@ -202,27 +202,30 @@ FUNNEL = ("search", "view", "add_watchlist")
 
 
 def session_table(activity: DataFrame, gap: str = "30 minutes", extra: Sequence[Column] = (), merge: Sequence[Column] = ()) -> DataFrame:
-    """(user_id, session_start, session_end, events, ...) from gaps between a user's events, in two steps.
+    """(user_id, session_start, session_end, events, ...) from gaps between a user's events, in three steps.
 
-    Sessions are first cut inside day-long slices of a user's time line, then neighbouring pieces are
-    joined. Only finished pieces meet per user, so one user with a third of all events is no single task's
-    burden. ``extra`` aggregates a piece and ``merge`` combines those columns over pieces.
+    Events of a user in one cell of half a gap belong together without a look at any other, so they are summed up to one piece
+    before they are sent. Pieces join over a day and the results over the user's time line. What meets in a task
+    grows with the time that a user was active, never with the number of events. ``extra`` aggregates a piece and ``merge``
+    combines those columns over pieces.
     """
     length = F.expr(f"INTERVAL {gap}")
-    known = activity.filter("user_id is not null and ts is not null").withColumn("day", F.to_date("ts"))
+    micros = F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {gap}) - unix_micros(timestamp_seconds(0))")
+    cell = F.floor(F.unix_micros("ts") / F.greatest(F.lit(1), F.floor(micros / 2)))
+    known = activity.filter("user_id is not null and ts is not null")
+    cells = known.groupBy("user_id", cell.alias("cell")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"), *extra
+    ).drop("cell").withColumn("day", F.to_date("first_ts"))
 
-    def numbered(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy(start)
-        fresh = F.coalesce(F.col(start) > F.lag(end).over(order) + length, F.lit(True)).cast("int")
-        return df.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(order))
+    def joined(df: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("first_ts")
+        fresh = F.coalesce(F.col("first_ts") > F.lag("last_ts").over(order) + length, F.lit(True)).cast("int")
+        return df.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(order)).groupBy(*keys, "piece").agg(
+            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events"), *merge
+        ).drop("piece")
 
-    pieces = numbered(known, ["user_id", "day"], "ts", "ts").groupBy("user_id", "day", "piece").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"), *extra
-    ).drop("piece")
-    return numbered(pieces, ["user_id"], "first_ts", "last_ts").groupBy("user_id", "piece").agg(
-        F.min("first_ts").alias("session_start"), (F.max("last_ts") + length).alias("session_end"),
-        F.sum("events").alias("events"), *merge,
-    ).drop("piece")
+    found = joined(joined(cells, ["user_id", "day"]), ["user_id"])
+    return found.withColumn("last_ts", F.col("last_ts") + length).withColumnsRenamed({"first_ts": "session_start", "last_ts": "session_end"})
 
 
 def sessions(activity: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -32,6 +32,29 @@ def test_sessions_span_midnight(spark):
     assert got == [(1, 0), (3, 3)]
 
 
+def test_sessions_of_a_user_with_a_third_of_all_events_on_one_day(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(2), datetime(2024, 1, 1)
+    rows = [(k, 0, rng.choice(act.FUNNEL), 1, start + timedelta(minutes=rng.choice([0, 1, 5, 6, 7, 8, 14]) * 100 + rng.randrange(60), microseconds=k)) for k in range(1000)]
+    rows += [(1000 + k, 1 + k % 40, rng.choice(act.FUNNEL), 1, start + timedelta(hours=rng.random() * 90)) for k in range(2000)]
+    rows += [(5000 + k, 50, "view", 1, start + timedelta(minutes=m)) for k, m in enumerate((0, 30, 60, 91, 91, 121))]  # exactly a gap apart is together
+    log = spark.createDataFrame(rows, "event_id long, user_id long, action string, item_id long, ts timestamp")
+    want = set()
+    for user in {r[1] for r in rows}:
+        mine, held = sorted((r[4], r[2]) for r in rows if r[1] == user), []
+        for at, action in [*mine, (datetime.max, None)]:
+            if held and at - held[-1][0] > timedelta(minutes=30):
+                firsts = [min((t for t, a in held if a == step), default=None) for step in act.FUNNEL]
+                want.add((user, held[0][0], held[-1][0] + timedelta(minutes=30), len(held), *firsts))
+                held = []
+            held.append((at, action))
+    got = act.session_funnel(log).select("user_id", "session_start", "session_end", "events", *[f"first_{s}" for s in act.FUNNEL])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {tuple(r) for r in act.sessions(log).collect()} == {w[:4] for w in want}
+
+
 def test_constraints_and_names(spark):
     profiles = spark.createDataFrame([(1, "Good_one", "b"), (2, "x", "b"), (3, "bad name", "b" * 501), (4, "good_ONE", None)], "user_id bigint, username string, bio string")
     watch = spark.createDataFrame([(1, "12", None), (1, "12", None), (2, "abc", "n" * 1001)], "user_id bigint, item_id string, notes string")
