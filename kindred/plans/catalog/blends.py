@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from kindred.functions.ranking import rank_by
-from kindred.operators import blend, collab, explain, factor
-from kindred.plans.catalog.lookups import ALL_LISTS, category_lists
-from kindred.plans.catalog.neighbours import FACTORS, given_factors, liked_list
+from kindred.operators import blend, collab, content, explain, factor
+from kindred.plans.catalog.lookups import ALL_LISTS, ITEM_LIST, category_lists
+from kindred.plans.catalog.neighbours import FACTORS, given_factors, item_model, liked_list
 from kindred.plans.catalog.registry import (
     CASTS, CATALOGUE, ITEM_SIMS, ITEM_TEXT, LIKED, ORACLES, RATINGS, TFIDF, USER_SIMS, best, for_liked, item_based, query, user_based, with_,
 )
@@ -88,6 +88,33 @@ def _(spark, folder):
     return blend.dispatch(asked, {"cf": cf, "cb": cb, "hybrid": blend.hybrid_weighted(*both, 20, 0.6, 0.4)}).withColumn("score", F.round("score", 6))
 
 
+@query("recommend_requests", with_(*BOTH, WEIGHTED, f"hybrid AS ({best('mixed', 20, 'user_id', 'user_id, item_id')})", FACTORS + f"""mf AS ({best('unrated', 20, 'user_id', 'user_id, item_id', digits=False)})""",
+ITEM_LIST, """lists AS (SELECT 'cf' AS method, * FROM cf UNION ALL SELECT 'cb', * FROM cb UNION ALL SELECT 'mf', * FROM mf UNION ALL SELECT 'hybrid', * FROM hybrid),
+requests AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 11 > 0 THEN c_custkey END AS user_id, CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 7 END AS asked,
+  ['cf', 'cb', 'mf', 'hybrid', 'other'][c_custkey % 5 + 1] AS method, c_nationkey % 5 + 3 AS n FROM customer)""", """
+SELECT request_id, method AS answered_by, item_id, round(score, 6) AS score, rank FROM requests JOIN lists USING (user_id, method) WHERE asked IS NULL AND rank <= n
+UNION ALL SELECT request_id, 'item', neighbour_id, score, rank FROM requests JOIN content_list ON asked = item_id WHERE rank <= n"""))
+def _(spark, folder):
+    """Each method works for the users that ask for it, and similar items are looked up for the items that are named."""
+    key = F.col("c_custkey")
+    asked = wh.table(spark, folder, "customer").select(
+        key.alias("request_id"), F.when(key % 11 > 0, key).alias("user_id"), F.when(key % 4 == 0, key + 7).alias("item_id"),
+        F.get(F.array(*[F.lit(m) for m in ("cf", "cb", "mf", "hybrid", "other")]), (key % 5).cast("int")).alias("method"), (F.col("c_nationkey") % 5 + 3).alias("n"),
+    )
+    of_users = asked.filter("item_id is null and user_id is not null")
+    wants = lambda *names: of_users.filter(F.col("method").isin(*names)).select("user_id").distinct()
+    ratings = wh.ratings(spark, folder)
+    cf = collab.recommend_user_based(ratings, 20, digits=None, targets=wants("cf", "hybrid"))
+    cb = liked_list(spark, folder, 20, None, wants("cb", "hybrid"))
+    mf = factor.mf_recommend(ratings, *given_factors(spark, folder), n=20, targets=wants("mf"), digits=None)
+    both = [part.join(wants("hybrid"), "user_id", "left_semi") for part in (cf, cb)]
+    items, weights, size = item_model(spark, folder)
+    named = asked.filter("item_id is not null").select("item_id").distinct().join(items.select("item_id"), "item_id", "left_semi")
+    similar = content.similar_content(weights, size, 10, named)
+    lists = {"cf": cf, "cb": cb, "mf": mf, "hybrid": blend.hybrid_weighted(*both, 20, 0.6, 0.4)}
+    return blend.answer(asked, lists, similar).withColumn("score", F.round("score", 6))
+
+
 @query("recs_denormalize", with_(*ALL_LISTS, """SELECT l.item_id, category, neighbour_id, score, rank, title, CAST(year AS VARCHAR) AS year,
   round(rating, 6) AS rating, genre, director, substring(plot, 1, 200) AS overview FROM lists l JOIN catalogue c ON neighbour_id = c.item_id"""))
 def _(spark, folder):

@@ -202,3 +202,12 @@ def test_synthetic_tables_repeat(spark):
     per_user = [r["count"] for r in ratings.groupBy("user_id").count().collect()]
     assert len(per_user) == 20 and min(per_user) >= 5 and max(per_user) <= 20
     assert ratings.groupBy("user_id", "item_id").count().filter("count > 1").count() == 0
+
+
+def test_requests_for_items_and_users(spark):
+    recs = lambda base: spark.createDataFrame([(u, base + k, 1.0 / k, k) for u in (1, 2) for k in (1, 2, 3)], "user_id long, item_id long, score double, rank int")
+    similar = spark.createDataFrame([(7, 70, 0.9, 1), (7, 71, 0.8, 2), (7, 72, 0.7, 3)], "item_id long, neighbour_id long, score double, rank int")
+    rows = [(1, 1, None, "cf", 2), (2, 1, None, "mf", 1), (3, 2, 7, "cf", 2), (4, None, 7, None, 1), (5, 1, None, "other", 5), (6, None, None, "cf", 5), (7, 9, None, "cf", 5), (8, 1, 8, "cf", 5), (9, 1, None, "cf", 1)]
+    asked = spark.createDataFrame(rows, "request_id long, user_id long, item_id long, method string, n int")
+    got = {(r["request_id"], r["answered_by"], r["item_id"], r["rank"]) for r in blend.answer(asked, {"cf": recs(10), "mf": recs(20)}, similar).collect()}
+    assert got == {(1, "cf", 11, 1), (1, "cf", 12, 2), (2, "mf", 21, 1), (3, "item", 70, 1), (3, "item", 71, 2), (4, "item", 70, 1), (9, "cf", 11, 1)}
