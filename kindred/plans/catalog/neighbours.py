@@ -255,6 +255,14 @@ def _(spark, folder):
     return name(users, "user").unionByName(name(items, "item"))
 
 
+@query("mf_fit_krylov")
+def _(spark, folder):
+    """The factors to a residual of a thousandth, with the rounds that took."""
+    found = factor.mf_fit_krylov(wh.ratings(spark, folder), tolerance=1e-3)
+    told = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).alias("id"), F.posexplode("factors").alias("factor", "value"))
+    return told(found.users, "user").unionByName(told(found.items, "item")).withColumn("rounds", F.lit(found.rounds))
+
+
 @query("mf_fit_als")
 def _(spark, folder):
     users, items = factor.mf_fit_als(wh.ratings(spark, folder))
