@@ -54,7 +54,7 @@ def ingest_with_quarantine(events: DataFrame, good: str, bad: str, checkpoint: s
     spark = events.sparkSession
     no_user = no_user or f"{bad.rstrip('/')}_no_user"
 
-    def store(batch: DataFrame, number: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         batch.filter(WRONG_EVENT).write.mode("overwrite").parquet(f"{bad}/batch={number}")
         batch.filter(f"user_id is null and not ({WRONG_EVENT})").withColumn("reason", F.lit("no user")).write.mode("overwrite").parquet(f"{no_user}/batch={number}")
         fresh = batch.filter(f"user_id is not null and not ({WRONG_EVENT})").dropDuplicates(["event_id"])
@@ -67,6 +67,13 @@ def ingest_with_quarantine(events: DataFrame, good: str, bad: str, checkpoint: s
             fresh = fresh.join(known, "event_id", "left_anti")
         fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket", "day").parquet(f"{good}/batch={number}")
 
+    def store(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()  # written three times, read from its files once
+        try:
+            write(kept, number)
+        finally:
+            kept.unpersist()
+
     return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
