@@ -267,3 +267,16 @@ def test_medians_with_extreme_outliers(spark):
     got = {r["feature"]: (r["lo"], r["hi"], r["median"]) for r in stats.column_stats(rows, ["a", "b"]).collect()}
     b = [v for v in values if v != 7.0]
     assert got == {"a": (-1e300, 1e300, float(np.median(values))), "b": (-1e300, 1e300, float(np.median(b)))}
+
+
+def test_predictions_send_the_table_once_for_a_large_block_of_targets(spark, monkeypatch):
+    """Many rows of a sparse table: the number of grid tasks, each of which is sent whole rows, follows the targets alone."""
+    monkeypatch.setattr(sim, "CANDIDATE_BLOCK", 20)
+    asked_for = []
+    by_task = sim.by_task
+    monkeypatch.setattr(sim, "by_task", lambda rows, tasks: asked_for.append(tasks) or by_task(rows, tasks))
+    rows = [(u, (u * 7 + x * x) % 150, float(1 + (u + x) % 9)) for u in range(300) for x in range(6)]
+    ratings = frame(spark, {(u, i): r for u, i, r in rows})
+    collab.predict_user_based(ratings, ratings, k=3)
+    collab.recommend_user_based(ratings, n=3, k=3)
+    assert max(asked_for) <= sim.cores(ratings)
