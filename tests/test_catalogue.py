@@ -211,3 +211,15 @@ def test_requests_for_items_and_users(spark):
     asked = spark.createDataFrame(rows, "request_id long, user_id long, item_id long, method string, n int")
     got = {(r["request_id"], r["answered_by"], r["item_id"], r["rank"]) for r in blend.answer(asked, {"cf": recs(10), "mf": recs(20)}, similar).collect()}
     assert got == {(1, "cf", 11, 1), (1, "cf", 12, 2), (2, "mf", 21, 1), (3, "item", 70, 1), (3, "item", 71, 2), (4, "item", 70, 1), (9, "cf", 11, 1)}
+
+
+def test_explained_pairs_meet_after_their_features(spark):
+    """The lists of a user are joined last, so no shuffle carries their product with all names."""
+    from kindred.operators import explain
+    items = spark.createDataFrame([(i, "A, B", "D", "X, Y", 1990 + i) for i in range(4)], "item_id bigint, genre string, director string, actors string, year int")
+    recs = spark.createDataFrame([(1, 0), (1, 1)], "user_id bigint, item_id bigint")
+    liked = spark.createDataFrame([(1, 2), (1, 3)], "user_id bigint, item_id bigint")
+    found = explain.feature_importance(recs, liked, items)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert "user_id" in joins[1] and "liked_id" not in joins[1]
+    assert sorted((r.user_id, r.item_id, r.genre, r.year) for r in found.collect()) == [(1, 0, 1.0, 1.0), (1, 1, 1.0, 1.0)]

@@ -280,3 +280,30 @@ def test_predictions_send_the_table_once_for_a_large_block_of_targets(spark, mon
     collab.predict_user_based(ratings, ratings, k=3)
     collab.recommend_user_based(ratings, n=3, k=3)
     assert max(asked_for) <= sim.cores(ratings)
+
+
+def test_rows_are_sent_to_few_blocks(spark, monkeypatch):
+    """All pairs and top-n of many rows: the number of tasks, and with it how often a row is sent, stays at what the cores ask for."""
+    monkeypatch.setattr(sim, "TARGET_BLOCK", 4)
+    asked_for = []
+    by_task = sim.by_task
+    monkeypatch.setattr(sim, "by_task", lambda rows, tasks: asked_for.append(tasks) or by_task(rows, tasks))
+    rows = [(u, (u * 7 + x * x) % 150, float(1 + (u + x) % 9)) for u in range(600) for x in range(4)]
+    cells = collab.user_cells(frame(spark, {(u, i): r for u, i, r in rows}))
+    most = max(sim.cores(cells), -(-600 // (4 * sim.SENT_BLOCKS)))
+    sim.cosine_pairs(cells)
+    sim.cosine_topn(cells, 3)
+    assert asked_for[0] <= most * (most + 1) // 2 and asked_for[1] <= most
+
+
+def test_strips_of_pairs_and_targets_lose_nothing(spark, monkeypatch):
+    rows = {(u, (u * 7 + x * x) % 40): float(1 + (u + x) % 9) for u in range(90) for x in range(6)}
+    cells = collab.user_cells(frame(spark, rows))
+    whole = sorted(map(tuple, sim.cosine_pairs(cells).select("a", "b", "sim").collect()))
+    nearest = sorted(map(tuple, sim.cosine_topn(cells, 4).collect()))
+    for name, value in (("PAIR_STRIP", 200), ("TARGET_BLOCK", 3), ("PAIR_ROWS", 25)):
+        monkeypatch.setattr(sim, name, value)
+    cut = sorted(map(tuple, sim.cosine_pairs(cells).select("a", "b", "sim").collect()))
+    assert [x[:2] for x in cut] == [x[:2] for x in whole]
+    assert [x[2] for x in cut] == pytest.approx([x[2] for x in whole])
+    assert sorted(map(tuple, sim.cosine_topn(cells, 4).collect())) == nearest
