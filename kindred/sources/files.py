@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.functions.ranking import number_rows, rank_by
+from kindred.functions.ranking import number_rows
 
 # Other spellings of the ratings columns.
 RATING_ALIASES = {"userId": "user_id", "movieId": "movie_id", "item_id": "movie_id"}
@@ -78,9 +78,9 @@ def _draw(seed: int, salt: str, low: int, high: int, *keys: str) -> Column:
     return F.pmod(_digest(f"{salt}{seed}", *keys), F.lit(high - low + 1)) + low
 
 
-def _digest(salt: str, *keys: str) -> Column:
+def _digest(salt: str, *keys: str | Column) -> Column:
     """32 bits of the MD5 of ``key|key|salt``."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(salt))
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(salt))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
@@ -116,18 +116,18 @@ def sample_rows(spark: SparkSession, n: int) -> DataFrame:
 def synth_ratings(users: DataFrame, items: DataFrame, low: int = 5, high: int = 29, seed: int = 42) -> DataFrame:
     """low..high distinct items per user with ratings 1..10, the same on every run.
 
-    Each user draws ``high`` numbered slots and looks their items up by position, so users never meet the
-    whole catalogue. Slots that hit the same item count once; spare slots make up for them.
+    Each user draws numbered slots and looks their items up by position, so users never meet the
+    whole catalogue. Slots that hit the same item count once; spare slots make up for them. A user's slots stay in one row until
+    the spare ones are dropped.
     """
     ids = items.select("item_id").distinct().withColumn("h", _digest(f"item{seed}", "item_id"))
     size = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
     placed = number_rows(ids, "h", "item_id", "place").drop("h")
-    slots = users.select("user_id").distinct().select(
-        "user_id", _draw(seed, "count", low, high, "user_id").alias("wanted"),
-        F.explode(F.sequence(F.lit(0), F.lit(4 * high))).alias("slot"),
-    ).withColumn("place", F.pmod(_digest(f"slot{seed}", "user_id", "slot"), size))
-    drawn = slots.groupBy("user_id", "wanted", "place").agg(F.min("slot").alias("slot"))
-    kept = rank_by(drawn, high, ["user_id"], [F.col("slot")]).filter(F.col("rank") <= F.col("wanted"))
+    slots = F.sequence(F.lit(0), F.lit(4 * high))
+    places = F.array_distinct(F.transform(slots, lambda slot: F.pmod(_digest(f"slot{seed}", F.col("user_id"), slot), F.col("size"))))
+    kept = users.select("user_id").distinct().withColumn("size", size).select(
+        "user_id", F.explode(F.slice(places, F.lit(1), _draw(seed, "count", low, high, "user_id").cast("int"))).alias("place")
+    )
     return kept.join(placed, "place").select(
         "user_id", "item_id", _draw(seed, "rating", 1, 10, "user_id", "item_id").cast("double").alias("rating")
     )
