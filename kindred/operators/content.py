@@ -125,9 +125,19 @@ def _targets(items: DataFrame, targets: DataFrame | None) -> DataFrame:
 
 
 def _from_shortlist(targets: DataFrame, shortlist: DataFrame, key: str, n: int, order: list[Column]) -> DataFrame:
-    """Answer targets from n+1 pre-ranked candidates per key: one of them can only be the target itself."""
-    joined = targets.select("item_id", key).join(shortlist.drop("rank"), key).filter("item_id <> neighbour_id")
-    return rank_by(joined, n, ["item_id"], order).select(
+    """Answer targets from n+1 pre-ranked candidates per key: one of them can only be the target itself.
+
+    A key's candidates are one sorted list, so the answer is cut from it and no candidate is sorted again for a target. Only where
+    an id has several rows their candidates are ranked together.
+    """
+    own = targets.groupBy("item_id").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias(key))
+    lists = shortlist.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour_id", "rating"))).alias("listed"))
+    others = F.filter("listed", lambda x: x["neighbour_id"] != F.col("item_id"))
+    cut = own.filter("copies = 1").join(lists, key).select("item_id", F.posexplode(F.slice(others, 1, n)).alias("at", "found"))
+    repeated = targets.join(own.filter("copies > 1").select("item_id"), "item_id", "left_semi")
+    joined = repeated.select("item_id", key).join(shortlist.drop("rank"), key).filter("item_id <> neighbour_id")
+    found = cut.select("item_id", "found.neighbour_id", "found.rating", (F.col("at") + 1).alias("rank"))
+    return found.unionByName(rank_by(joined, n, ["item_id"], order).select("item_id", "neighbour_id", "rating", "rank")).select(
         "item_id", "neighbour_id", F.round("rating", 6).alias("score"), "rank"
     )
 
