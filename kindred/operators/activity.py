@@ -13,12 +13,18 @@ from kindred.functions.text import known_names
 DEFAULT_LANGUAGES = ["en", "hi"]
 USERNAME_PATTERN = "^[a-zA-Z0-9_]+$"
 USERNAME_MIN, USERNAME_MAX, BIO_MAX, NOTES_MAX = 3, 30, 500, 1000
+RATINGS_PER_TASK = 500_000
 
 
 def preferences_from_ratings(ratings: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
-    """(user_id, favorite_genres): each user's n most rated genres, ties by name."""
-    genres = items.select("item_id", F.explode(known_names(F.col("genre"))).alias("name"))
-    counts = ratings.join(genres, "item_id").groupBy("user_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    """(user_id, favorite_genres): each user's n most rated genres, ties by name.
+
+    A user's genres are counted, ranked and listed where their ratings are sent, once, in as many parts as keep a task small.
+    """
+    names = items.select("item_id", known_names(F.col("genre")).alias("names"))
+    parts = max(ratings.sparkSession.sparkContext.defaultParallelism, -(-ratings.count() // RATINGS_PER_TASK))
+    sent = ratings.select("item_id", "user_id").join(names, "item_id").select("user_id", "names").repartition(parts, "user_id")
+    counts = sent.select("user_id", F.explode("names").alias("name")).groupBy("user_id", "name").agg(F.count(F.lit(1)).alias("n"))
     best = rank_by(counts, n, ["user_id"], [F.col("n").desc(), F.col("name")])
     return best.groupBy("user_id").agg(F.array_sort(F.collect_list("name")).alias("favorite_genres"))
 

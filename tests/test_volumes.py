@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from kindred.operators import collab
+from kindred.operators import activity, collab, content
 from kindred.operators import similarity as sim
 from kindred.sources import files, warehouse
 
@@ -55,3 +55,24 @@ def test_spare_slots_never_leave_the_row_of_their_user(spark):
         places = list(dict.fromkeys(digest(user, slot, "slot42") % 40 for slot in range(117)))[: digest(user, "count42") % 25 + 5]
         expected |= {(user, ids[p], float(digest(user, ids[p], "rating42") % 10 + 1)) for p in places}
     assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_lists_are_cut_from_one_list_of_a_key(spark):
+    rows = [(i, f"d{i % 3}", float(i % 5)) for i in range(40)] + [(7, "d2", 9.0), (7, "d1", 9.0), (None, "d0", 9.0)]
+    found = content.same_director(spark.createDataFrame(rows, "item_id long, director string, rating double"), 4)
+    assert "posexplode" in plan(found)
+    met = {}
+    for item, director, _ in rows:
+        if item is not None:
+            ranked = sorted((r for r in rows if r[1] == director), key=lambda r: (-r[2], r[0] if r[0] is not None else -1))[:5]
+            met.setdefault(item, []).extend((-r[2], r[0]) for r in ranked if r[0] is not None and r[0] != item)
+    expected = {(item, other, -rating, rank) for item, others in met.items() for rank, (rating, other) in enumerate(sorted(others)[:4], 1)}
+    assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_tastes_are_counted_where_they_are_listed(spark):
+    ratings = spark.createDataFrame([(u, i) for u in (1, 2, None) for i in range(6)] + [(1, 5)], "user_id long, item_id long")
+    items = spark.createDataFrame([(0, "b, a"), (1, "a"), (2, "c, Unknown"), (3, "d"), (4, None), (5, "d, d"), (5, "e")], "item_id long, genre string")
+    found = activity.preferences_from_ratings(ratings, items)
+    assert "RepartitionByExpression [user_id" in plan(found)
+    assert {r["user_id"]: r["favorite_genres"] for r in found.collect()} == {1: ["a", "d", "e"], 2: ["a", "b", "d"], None: ["a", "b", "d"]}
