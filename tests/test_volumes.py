@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from kindred.operators import activity, collab, content
+from kindred.operators import activity, collab, content, factor
 from kindred.operators import similarity as sim
 from kindred.sources import files, warehouse
 
@@ -76,3 +76,15 @@ def test_tastes_are_counted_where_they_are_listed(spark):
     found = activity.preferences_from_ratings(ratings, items)
     assert "RepartitionByExpression [user_id" in plan(found)
     assert {r["user_id"]: r["favorite_genres"] for r in found.collect()} == {1: ["a", "d", "e"], 2: ["a", "b", "d"], None: ["a", "b", "d"]}
+
+
+def test_ratings_of_users_without_a_list_are_not_sent(spark, monkeypatch):
+    sent = []
+    whole = sim.block_topn
+    monkeypatch.setattr(sim, "block_topn", lambda *args, exclude, **more: sent.append(exclude) or whole(*args, exclude=exclude, **more))
+    ratings = spark.createDataFrame([(u, i, 5.0) for u in range(50) for i in range(3)], "user_id long, item_id long, rating double")
+    users = spark.createDataFrame([(4, [1.0, 2.0]), (60, [2.0, 1.0])], "user_id long, factors array<double>")
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "item_id long, factors array<double>")
+    found = factor.mf_recommend(ratings, users, items, n=3)
+    assert {r["id"] for r in sent[0].collect()} == {4}
+    assert [(r["user_id"], r["item_id"]) for r in found.orderBy("user_id", "rank").collect()] == [(4, 4), (4, 3), (60, 4), (60, 3), (60, 2)]
