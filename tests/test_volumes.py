@@ -3,6 +3,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import functions as F
 
 from kindred.operators import activity, collab, content, factor
@@ -88,3 +90,22 @@ def test_ratings_of_users_without_a_list_are_not_sent(spark, monkeypatch):
     found = factor.mf_recommend(ratings, users, items, n=3)
     assert {r["id"] for r in sent[0].collect()} == {4}
     assert [(r["user_id"], r["item_id"]) for r in found.orderBy("user_id", "rank").collect()] == [(4, 4), (4, 3), (60, 4), (60, 3), (60, 2)]
+
+
+def test_a_block_lets_go_of_what_it_was_sent():
+    ids, cells = 3000, 100
+    lists = lambda kind, values: pa.ListArray.from_arrays(np.arange(0, ids * cells + 1, cells, dtype=np.int32), pa.compute.add(pa.array(values, kind), 0))
+    none, own = pa.nulls(ids, pa.int64()), pa.array(np.arange(ids))
+    fill = pa.array([None] * ids, pa.list_(pa.int64()))
+
+    def sent():
+        for side in (0, 1):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(ids, side, dtype=np.int32)), own if side == 0 else none, own if side else none,
+                lists(pa.int64(), np.tile(np.arange(cells), ids)), lists(pa.float64(), np.ones(ids * cells)), fill,
+            ], ["side", "tid", "cid", "dims", "ws", "masked"])
+
+    before = pa.total_allocated_bytes()
+    found = sim._best_of_block(3, None, None, True)(sent())
+    next(found)
+    assert pa.total_allocated_bytes() - before < 2 * ids * cells * 16
