@@ -109,3 +109,30 @@ def test_a_block_lets_go_of_what_it_was_sent():
     found = sim._best_of_block(3, None, None, True)(sent())
     next(found)
     assert pa.total_allocated_bytes() - before < 2 * ids * cells * 16
+
+
+def test_tasks_of_predictions_read_the_rows_from_files(spark):
+    """No row is shuffled for every block of targets: the tasks' lists are joined with stored packs, and nothing is joined after."""
+    ratings = spark.createDataFrame([(u, i, float(1 + u * i % 7)) for u in range(300) for i in range(u % 5, 40, 5)], "user_id long, item_id long, rating double")
+    for found in (collab.predict_user_based(ratings, ratings), collab.recommend_user_based(ratings), collab.recommend_item_based(ratings)):
+        told = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in told and "SortMergeJoin" not in told and "FlatMapGroupsInArrow" not in told
+
+
+def test_every_cell_asked_for_is_told_once_from_many_blocks(spark, monkeypatch):
+    """Also those that repeat, are null or have a user or an item without ratings."""
+    rows = [(u, i, float(1 + (u * i + u) % 9)) for u in range(60) for i in range(u % 3, 30, 3)]
+    kind = "user_id long, item_id long, rating double"
+    ratings = spark.createDataFrame(rows, kind)
+    odd = [(1, 4, 0.0), (1, 4, 0.0), (1, 3, 0.0), (777, 4, 0.0), (1, 888, 0.0), (None, 4, 0.0), (1, None, 0.0), (777, 888, 0.0)]
+    asked = spark.createDataFrame(odd, kind)
+    told = lambda df: sorted(((r["user_id"], r["item_id"], round(r["score"], 9)) for r in df.collect()), key=str)
+    whole = told(collab.predict_user_based(ratings, asked, k=3, hot_column=1))  # the other path
+    assert len(whole) == len(odd) and sum(s > 0 for *_, s in whole) >= 2
+    one, lists = told(collab.predict_user_based(ratings, asked, k=3)), told(collab.recommend_item_based(ratings, n=4, k=3, hot_column=1))
+    monkeypatch.setattr(collab, "TARGET_ROWS", 3)
+    assert told(collab.predict_user_based(ratings, asked, k=3)) == one == whole
+    assert told(collab.recommend_item_based(ratings, n=4, k=3)) == lists
+    none = ratings.limit(0)
+    assert told(collab.predict_user_based(none, asked)) == sorted(((u, i, 0.0) for u, i, _ in odd), key=str)
+    assert told(collab.recommend_item_based(none)) == []
