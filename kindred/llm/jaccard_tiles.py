@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm import memory
 from kindred.llm.blocks import BLOCK_BYTES, found, gathered, in_blocks, repeated
 from kindred.llm.components import components
 from kindred.llm.hashing import chunks, hash_words, rolling, split_words
@@ -274,6 +275,12 @@ def _verified(pairs: DataFrame, classes_: DataFrame, width: int, percent: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
+def _components(edges: DataFrame) -> DataFrame:
+    """Components of materialised edges. Their many rounds need no Python worker, so these first give back what they hold."""
+    memory.give_back(edges.sparkSession)
+    return components(edges)
+
+
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_rows: int = TILE_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Verified links (a, b) between set keys that connect exactly what all links connect.
 
@@ -306,14 +313,14 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile_rows
     pairs = materialize(parts.mapInArrow(offer, "a binary, b binary").distinct())
 
     nearest = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), found_, width, percent))
-    roots = components(nearest)
+    roots = _components(nearest)
     ends = pairs
     for end in ("a", "b"):
         ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     apart = ends.where("root_a <> root_b").groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p"))
     first = materialize(nearest.unionByName(_verified(apart.select("p.a", "p.b"), found_, width, percent)))
 
-    roots = components(first)
+    roots = _components(first)
     placed = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = placed.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
     sides = F.ceil(F.col("rows") / cell_rows)
@@ -373,7 +380,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     names one with other ids. An empty table gives an empty table; other columns are ignored.
     """
     rows = materialize(classes(docs, width))
-    roots = components(links(docs, width, percent)).withColumnRenamed("node", "key")
+    roots = _components(links(docs, width, percent)).withColumnRenamed("node", "key")
     placed = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_least"))
     named = placed.join(names, "root", "left")

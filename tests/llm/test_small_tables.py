@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kindred.llm import decontaminate, exact_dedup, html_extract, jaccard_tiles, language_id, packing, sharding, substring_dedup, suffix_dedup, url_reputation
+from kindred.llm import decontaminate, exact_dedup, html_extract, jaccard_tiles, language_id, memory, packing, sharding, substring_dedup, suffix_dedup, url_reputation
 
 LONG = " ".join(f"w{i % 97}x{i % 53}" for i in range(40_000))
 TEXTS = [
@@ -55,6 +55,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs, nothing, bench,
     assert stage(spark, nothing, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_a_stage_gives_back_memory_whoever_calls_it(spark, docs, bench, tmp_path, monkeypatch, name, stage):
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    calls = []
+    monkeypatch.setattr(memory, "give_back", calls.append)
+    stage(spark, docs.limit(3), str(tmp_path)).count()
+    assert len(calls) >= (4 if name == "jaccard_join" else 1)  # there also before each search for components
+
+
 def test_stage_decisions(spark, docs, bench, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     ids = lambda stage: sorted(str(r.doc_id) for r in stage(spark, docs, str(tmp_path)).collect())
