@@ -1,7 +1,7 @@
 """Collaborative filtering: ratings tables, neighbours, neighbour predictions and recommendations."""
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,9 @@ LONG_PARTS = 64
 TARGET_ROWS = 8192  # targets of a task, which reads the table once
 ASKED_ROWS = 4_000_000  # cells asked for of a task
 BLOCK_CELLS = 40_000_000  # cells of the columns that a task predicts
-_BUFFER, _ROWS_OUT = 2_000_000, 200_000
+FEW_VALUES = 65_536  # distinct weights that are held as numbers of two bytes
+NAMES_AT_ONCE = 4_000_000
+_BUFFER, _ROWS_OUT = 500_000, 200_000
 
 
 def user_item(ratings: DataFrame) -> DataFrame:
@@ -95,11 +97,11 @@ def _places(group: np.ndarray, near: np.ndarray, ids: np.ndarray, zeros: np.ndar
     return places + np.where(near < 0, zeros[group], 0)
 
 
-def _neighbour_scores(group, count: int, near, values, ids, zeros, k: int, skip_top: bool) -> np.ndarray:
+def _neighbour_scores(group, count: int, near, values, ids: Callable, zeros, k: int, skip_top: bool) -> np.ndarray:
     """sum(sim * value) / sum(|sim|) over the k most similar rows of every group, 0 where there are none.
 
-    ``zeros`` counts a group's rows that share nothing with the target. Only groups with more positive rows than places, or with
-    negative ones, are ranked.
+    ``ids`` gives the order of the rows at some places by their ids. ``zeros`` counts a group's rows that share nothing with the
+    target. Only groups with more positive rows than places, or with negative ones, are ranked.
     """
     keep = k + 1 if skip_top else k
     negative = near < 0
@@ -111,7 +113,7 @@ def _neighbour_scores(group, count: int, near, values, ids, zeros, k: int, skip_
         crowded[:] = True
     if crowded.any():
         some = np.flatnonzero(crowded[group])
-        places = _places(group[some], near[some], ids[some], zeros)
+        places = _places(group[some], near[some], ids(some), zeros)
         out = some[(places > keep) | (places == 1)] if skip_top else some[places > keep]
         near = near.copy()
         near[out] = 0.0
@@ -158,18 +160,49 @@ def _grouped(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return group, np.flatnonzero(group == numbers)
 
 
+class _Names:
+    """Distinct values, gathered part by part; more than ``most`` of them are not told."""
+
+    def __init__(self, most: int | None = None):
+        self.most, self.held, self.size, self.off = most, [], 0, False
+
+    def add(self, values: np.ndarray) -> None:
+        if self.off:
+            return
+        self.held.append(np.sort(pd.unique(values)))
+        self.size += len(self.held[-1])
+        if self.size > NAMES_AT_ONCE:
+            self.fold()
+
+    def fold(self) -> None:
+        if len(self.held) > 1:
+            self.held = [np.sort(pd.unique(np.concatenate(self.held)))]
+        self.size = 0
+        if self.most is not None and self.held and len(self.held[0]) > self.most:
+            self.off, self.held = True, []
+
+    def told(self) -> np.ndarray | None:
+        self.fold()
+        return None if self.off else self.held[0]
+
+
 class _Block:
-    """The sparse rows of one task, gathered batch by batch: targets, candidates by row and by column, wishes and given similarities.
+    """The sparse rows of one task: targets, candidates by row and by column, wishes and given similarities.
 
     Columns are numbered in the order of their names, candidates as they arrive; a long row arrives in parts, which all bear its id.
+    Rows are read part by part, twice: first names are counted, then cells put in their places, so no other form of the whole table is
+    held. A weight is held as the number of its value where there are few values. Rows are kept by row only where predictions look
+    there: for cells that are asked for, the columns are enough.
     """
 
-    def __init__(self, kinds: tuple, targets: list | None, cells: list | None, wishes: list | None, given: list | None):
-        """``targets`` are rows of their own, or ids alone where they are among the cells."""
-        self.kinds, self.targets, self.cells, self.wishes, self.given = kinds, targets, cells, wishes, given
-        self.empty = targets is None or cells is None
+    def __init__(self, kinds: tuple, targets: list | None, parts: Callable[[], Iterator[tuple]] | None, wishes: list | None, given: list | None):
+        """``parts`` gives the rows each time it is called; ``targets`` are rows of their own, or ids alone where they are among them."""
+        self.kinds, self.targets, self.wishes, self.given = kinds, targets, wishes, given
+        self.empty = targets is None or parts is None
         if not self.empty:
-            self._index()
+            self._count(parts)
+            self._fill(parts)
+            self._look_up()
 
     @classmethod
     def of_rows(cls, batches: Iterator[pa.RecordBatch]) -> "_Block":
@@ -182,10 +215,11 @@ class _Block:
             own = table.column("c")[0].as_py() if table.num_rows else own
             for s in np.unique(side):
                 held[s].append(cls._taken(table.filter(pa.array(side == s)), int(s), own))
-        return cls(kinds, *(cls._joined(held.pop(s)) for s in range(4)))
+        rows = held[1]
+        return cls(kinds, cls._joined(held[0]), (lambda: iter(rows)) if rows else None, cls._joined(held[2]), cls._joined(held[3]))
 
     @classmethod
-    def of_packs(cls, lists: list[pa.Table], rows: list[tuple], kinds: tuple) -> "_Block":
+    def of_packs(cls, lists: list[pa.Table], packs: list[bytes], kinds: tuple) -> "_Block":
         """``lists`` names the targets (id), the columns predicted here (dim; by default all) or the cells asked for (id, dim)."""
         held = {}
         for table in lists:
@@ -193,11 +227,13 @@ class _Block:
         plain = lambda names, column: np.concatenate([t.column(column).to_numpy() for t in held[names]])
         wishes = [plain("id,dim", "id"), plain("id,dim", "dim")] if "id,dim" in held else None
         targets = plain("id", "id") if "id" in held else None if wishes is None else pd.unique(wishes[0])
-        cells = cls._joined(rows)
-        if cells is not None and "dim" in held:
-            cells[6] = pd.Index(plain("dim", "dim")).get_indexer(cells[2]) >= 0
-        return cls(kinds, None if targets is None else [targets], cells, wishes, None)
+        own = pd.Index(plain("dim", "dim")) if "dim" in held else None
 
+        def parts() -> Iterator[tuple]:
+            for pack in packs:
+                yield cls._of_pack(sim.unpacked(pack), own)
+
+        return cls(kinds, None if targets is None else [targets], parts if packs else None, wishes, None)
 
     @staticmethod
     def _taken(part: pa.Table, side: int, own: int) -> tuple:
@@ -213,56 +249,90 @@ class _Block:
         return plain("cid"), lengths, flat("dims"), flat("ws"), plain("norm"), plain("whole"), flat("spot") == own
 
     @staticmethod
-    def _of_pack(rows: pa.Table) -> tuple:
+    def _of_pack(rows: pa.Table, own: pd.Index | None) -> tuple:
         owner, dims, weights = sim.unpack(rows, "dims", "ws")
         lengths = np.bincount(owner, minlength=rows.num_rows)
-        return (rows.column("id").to_numpy(), lengths, dims, weights, rows.column("norm").to_numpy(),
-                np.ones(len(lengths), dtype=bool), np.ones(len(dims), dtype=bool))
+        here = np.ones(len(dims), dtype=bool) if own is None else own.get_indexer(dims) >= 0
+        return rows.column("id").to_numpy(), lengths, dims, weights, rows.column("norm").to_numpy(), np.ones(len(lengths), dtype=bool), here
 
     @staticmethod
     def _joined(parts: list[tuple]) -> list[np.ndarray] | None:
         return [np.concatenate(x) for x in zip(*parts)] if parts else None
 
-    def _index(self) -> None:
-        ids, lengths, dims, self.ws, self.norms, self.whole, here = self.cells
-        self.cells = None
-        codes, names = pd.factorize(dims, sort=True)
-        del dims
-        self.names, count = np.asarray(names), len(names)
-        self.codes = codes.astype(np.int32)
-        del codes
-        self.rows = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        order = np.argsort(self.codes, kind="stable")
-        self.by_column = self.rows[order], self.ws[order]
-        del order
-        self.columns = _edges(self.codes, count)
-        self.predicted = np.zeros(count, dtype=bool)
-        self.predicted[self.codes[here]] = True
+    def _count(self, parts: Callable[[], Iterator[tuple]]) -> None:
+        """Names of columns, cells of each, distinct weights, and what is known of every row."""
+        rows, names, values, known = [], _Names(), _Names(FEW_VALUES), 0
+        for ids, lengths, dims, weights, norms, whole, here in parts():
+            names.add(dims)
+            values.add(weights)
+            rows.append((ids, lengths, norms, whole, np.bincount(np.repeat(np.arange(len(ids)), lengths)[here], minlength=len(ids))))
+            known += len(dims)
+        self.ids, self.lengths, self.norms, self.whole, self.own_lengths = self._joined(rows)
+        self.names, self.values, self.cells = names.told(), values.told(), known
+        self.name_index = pd.Index(self.names)
         self.whole_only = bool(self.whole.all())
-        whole_rows = self.starts, self.codes, self.ws
-        if not here.all():  # only some of the columns are predicted here
-            rows, self.codes, self.ws = self.rows[here], self.codes[here], self.ws[here]
-            self.starts = _edges(rows, len(lengths))
-        del self.rows
-        self.ids, self.rank = ids, np.empty(len(ids), dtype=np.int64)
-        sorted_ids = np.argsort(ids, kind="stable")
-        self.rank[sorted_ids] = np.arange(len(ids))
-        self.sorted_ids = ids[sorted_ids], sorted_ids
-        self.place_row, self.place_column = np.empty(len(ids), dtype=np.int32), np.empty(count, dtype=np.int32)
-        self.signed = bool((self.by_column[1] < 0).any())
-        if len(self.targets) == 1:  # ids alone
-            at = pd.Index(ids).get_indexer(self.targets[0])
-            at = at[at >= 0]
-            starts, codes, weights = whole_rows
-            self.target_spans = starts[at], starts[at + 1]
-            self.targets = ids[at], codes, weights, self.norms[at]
-        else:
-            target_ids, lengths, dims, weights, norms = self.targets
-            ends = np.cumsum(lengths)
-            self.target_spans = ends - lengths, ends
-            self.targets = target_ids, self._numbered(dims), weights, norms
+        self.rank = np.empty(len(self.ids), dtype=np.int32)
+        self.sorted_rows = np.argsort(self.ids, kind="stable")
+        self.rank[self.sorted_rows] = np.arange(len(self.ids))
+
+    def _coded(self, weights: np.ndarray) -> np.ndarray:
+        return weights if self.values is None else np.searchsorted(self.values, weights).astype(np.uint16)
+
+    def weights(self, held: np.ndarray, at) -> np.ndarray:
+        return held[at] if self.values is None else self.values[held[at]]
+
+    def _fill(self, parts: Callable[[], Iterator[tuple]]) -> None:
+        """Puts the cells in their places: all of them by column, those predicted here by row, and the targets' own."""
+        count, kind = len(self.names), np.float64 if self.values is None else np.uint16
+        filled = np.zeros(count, dtype=np.int64)
+        for _, _, dims, *_ in parts():
+            filled += np.bincount(self._numbered(dims), minlength=count)
+        self.columns = np.concatenate([[0], np.cumsum(filled)])
+        del filled
+        self.by_column = np.empty(self.cells, dtype=np.int32), np.empty(self.cells, dtype=kind)
+        by_row = self.wishes is None or not self.whole_only
+        self.starts = np.concatenate([[0], np.cumsum(self.own_lengths)])
+        held = int(self.starts[-1]) if by_row else 0
+        self.codes, self.ws = np.empty(held, dtype=np.int32), np.empty(held, dtype=kind)
+        self.predicted = np.zeros(count, dtype=bool)
+        self.signed = False
+        wanted = None if len(self.targets) > 1 else pd.Index(self.targets[0]).get_indexer(self.ids) >= 0
+        found, next_place, at, row = [], self.columns[:-1].copy(), 0, 0
+        for ids, lengths, dims, weights, _, _, here in parts():
+            codes, held = self._numbered(dims).astype(np.int32), self._coded(weights)
+            rows = np.repeat(np.arange(row, row + len(ids), dtype=np.int32), lengths)
             self.signed |= bool((weights < 0).any())
+            order = np.argsort(codes, kind="stable")
+            ordered = codes[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, dtype=np.int64)
+            many = np.diff(np.append(first, len(ordered)))
+            places = _stretches(next_place[ordered[first]], many)
+            self.by_column[0][places], self.by_column[1][places] = rows[order], held[order]
+            next_place[ordered[first]] += many
+            self.predicted[codes[here]] = True
+            if by_row:
+                some = codes[here]
+                self.codes[at: at + len(some)], self.ws[at: at + len(some)] = some, held[here]
+                at += len(some)
+            if wanted is not None:
+                mine = wanted[row: row + len(ids)]
+                cells = np.repeat(mine, lengths)
+                found.append((ids[mine], lengths[mine], codes[cells], weights[cells]))
+            row += len(ids)
+        if wanted is not None:  # ids alone
+            self.targets = [*self._joined(found), self.norms[wanted]]
+        else:
+            self.signed |= bool((self.targets[3] < 0).any())
+            self.targets[2] = self._numbered(self.targets[2])
+
+    def _look_up(self) -> None:
+        target_ids, lengths, codes, weights, norms = self.targets
+        ends = np.cumsum(lengths)
+        self.target_spans = ends - lengths, ends
+        self.targets = target_ids, codes, weights, norms
+        self.place_row, self.place_column = np.empty(len(self.ids), dtype=np.int32), np.empty(len(self.names), dtype=np.int32)
+        self.sorted_ids = None if self.given is None and self.whole_only else (self.ids[self.sorted_rows], self.sorted_rows)
+        del self.sorted_rows
         self.wished = self._by_target(self.wishes)
         self.given_rows = self._by_target(self.given)
         if self.wishes is not None:
@@ -270,7 +340,7 @@ class _Block:
             self.wishes[1] = self._numbered(self.wishes[1])
 
     def _numbered(self, dims: np.ndarray) -> np.ndarray:
-        return pd.Index(self.names).get_indexer(dims)
+        return self.name_index.get_indexer(dims)
 
     @staticmethod
     def _by_target(table: list | None) -> dict:
@@ -292,7 +362,7 @@ class _Block:
         own, w = own[known], w[known]
         lengths = self.columns[own + 1] - self.columns[own]
         at = _stretches(self.columns[own], lengths)
-        rows, terms = self.by_column[0][at], self.by_column[1][at] * np.repeat(w, lengths)
+        rows, terms = self.by_column[0][at], self.weights(self.by_column[1], at) * np.repeat(w, lengths)
         group, last = _grouped(rows, self.place_row)
         dots = np.bincount(group, terms, minlength=len(rows))[last]
         if self.signed:
@@ -334,19 +404,27 @@ class _Block:
 
 def _blocks_of(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[_Block]:
     """The blocks of a partition: each task comes as its lists and all packs, one after the other."""
-    number, lists, rows = None, [], []
+    number, lists, packs, batch, own, pack = None, [], [], None, None, None
     for batch in batches:
         for task, own, pack in zip(*batch.columns):
             if number is not None and task.as_py() != number:
-                yield _Block.of_packs(lists, rows, kinds)
-                lists, rows = [], []
+                yield _of_sent(lists, packs, kinds)
             number = task.as_py()
             if pack.is_valid:
-                rows.append(_Block._of_pack(sim.unpacked(pack.as_py())))
+                packs.append(pack.as_py())
             else:
                 lists.extend(sim.unpacked(x) for x in own.as_py())
+    del batch, own, pack
     if number is not None:
-        yield _Block.of_packs(lists, rows, kinds)
+        yield _of_sent(lists, packs, kinds)
+
+
+def _of_sent(lists: list[pa.Table], packs: list[bytes], kinds: tuple) -> _Block:
+    """The block of what was sent, which is let go."""
+    block = _Block.of_packs(lists, packs, kinds)
+    lists.clear()
+    packs.clear()
+    return block
 
 
 def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_target: bool, kinds: tuple | None = None):
@@ -406,7 +484,8 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
         own_rows[own] = True
         met = np.bincount(group, minlength=len(last))
         zeros = block.columns[shown + 1] - block.columns[shown] - own_rows[shown] - met
-        scores = _neighbour_scores(group, len(last), near, block.ws[at], block.rank[np.repeat(rows, lengths)], zeros, k, skip_top)
+        places = lambda some: block.rank[np.repeat(rows, lengths)[some]]
+        scores = _neighbour_scores(group, len(last), near, block.weights(block.ws, at), places, zeros, k, skip_top)
         keep = (scores > 0) & ~own_rows[shown]
         own_rows[own] = False
         return shown[keep], scores[keep]
@@ -425,7 +504,7 @@ def _predict_block(k: int, skip_top: bool, unrated: bool, best: int | None, per_
         zeros = lengths - own_rows[wanted] - np.bincount(group[some], minlength=len(wanted))
         own_rows[own] = False
         return wanted, _neighbour_scores(
-            group[some], len(wanted), found[some], block.by_column[1][at][some], block.rank[raters[some]], zeros, k, skip_top
+            group[some], len(wanted), found[some], block.weights(block.by_column[1], at[some]), lambda x: block.rank[raters[some][x]], zeros, k, skip_top
         )
 
     return run
@@ -560,9 +639,9 @@ def neighbour_predictions(
     the columns take part as neighbours, and only those cells of theirs are sent.
 
     A task holds a large block of targets and the rows that fill a block of columns, as an inverted index; it works through
-    the rows that share a column with each target only. Where all columns have up to ``BLOCK_CELLS`` cells, rows are stored once and
-    every task, of ``TARGET_ROWS`` targets, reads them; for the best of each column such tasks share out targets and columns, so that a column has lists from few
-    tasks. Else rows are sent once for every block of targets. Columns that more than ``hot_column`` rows fill are worked on by
+    the rows that share a column with each target only. Where all columns have up to ``BLOCK_CELLS`` cells, rows are packed once and
+    every task gets them; there are as many tasks as cores, as a task's memory does not grow with its targets. For the best of each
+    column such tasks share out targets and columns, so that a column has lists from few tasks. Else rows are sent once for every block of targets. Columns that more than ``hot_column`` rows fill are worked on by
     slices of those rows instead; the slices' partial neighbour lists are merged afterwards. The
     similarities of rows with more than ``longest`` cells are summed by a join first and handed to the tasks.
     """
@@ -598,6 +677,7 @@ def neighbour_predictions(
 
     if plain and down == 1 and not is_hot and long is None and shape["total"] == size.cells:
         arrow = tuple(to_arrow_type(x) for x in kinds[0])
+        across = min(across, sim.cores(cells))  # a task takes its targets one by one, so more of them need no more tasks
         predict = _predict_block(k, skip_top, asked is None, best, per_target, arrow)
         if asked is not None:
             across = max(across, -(-asked_rows // ASKED_ROWS))
